@@ -55,13 +55,13 @@ def domain_ordinal(c, options: list[str]) -> Column:
 # -- M4 / V2 ----------------------------------------------------------------
 def sentinel_null(c, threshold: float = S.READING_SENTINEL) -> Column:
     """Number or NULL: non-numeric text and values <= threshold become NULL."""
-    v = F.try_cast(_col(c).cast("string"), "double") if not isinstance(c, Column) else F.try_cast(c, "double")
+    v = _col(c).try_cast("double")
     return F.when(v > F.lit(float(threshold)), v)
 
 
 def try_number(c) -> Column:
     """V2: the value as a double, NULL where it is not numeric."""
-    return F.try_cast(_col(c), "double")
+    return _col(c).try_cast("double")
 
 
 # -- T1-T3 ------------------------------------------------------------------
@@ -112,7 +112,7 @@ def parse_hour(c) -> Column:
     12-hour (12AM = 0, 12PM = 12), otherwise 24-hour.  Unparseable -> NULL."""
     s = F.upper(F.regexp_replace(_col(c), r"\s+", ""))
     ok = s.rlike(_HOUR_FORM)
-    h = F.regexp_extract(s, _HOUR_FORM, 1).cast("int")
+    h = F.regexp_extract(s, _HOUR_FORM, 1).try_cast("int")
     marker = F.regexp_extract(s, _HOUR_FORM, 3)
     hour = (
         F.when(marker == "AM", F.when((h >= 1) & (h <= 12), h % 12))
@@ -136,7 +136,7 @@ def resolve_date(word, ref_date) -> Column:
     return (
         F.when(w == "today", ref)
         .when(w == "tomorrow", F.date_add(ref, 1))
-        .when(w.isin(_DAY_ABBR), F.next_day(F.date_sub(ref, 1), w))
+        .when(w.isin(_DAY_ABBR), F.call_function("next_day", F.date_sub(ref, 1), w))
     )
 
 

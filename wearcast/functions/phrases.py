@@ -70,7 +70,7 @@ def phrase_for(condition_type, value, wind_dir=None) -> Column:
     ``value`` is text; numeric phrases read it as a double."""
     kind = _col(condition_type)
     v = _col(value)
-    num = F.try_cast(v, "double")
+    num = v.try_cast("double")
     return (
         F.when(kind == "feels_like", temp_phrase(num))
         .when(kind == "wind_speed", wind_phrase(num, wind_dir) if wind_dir is not None else wind_phrase(num))
