@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["q_cleaning", "q_weather"]
+MODULES = ["q_cleaning", "q_weather", "q_lookup"]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
