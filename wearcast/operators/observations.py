@@ -11,6 +11,9 @@ from wearcast.functions import parsing as P
 from wearcast.functions import weather as W
 
 
+_POINT_FIELDS = [f.name for f in S.HOURLY_POINT.fields]
+
+
 def observations_from_points(
     points: DataFrame,
     location_col: str = "location",
@@ -27,7 +30,8 @@ def observations_from_points(
       to the wind chill, which hour points do not carry);
     * humidity is normalised to a fraction; a missing bearing counts as north;
     * the epoch is read as wall-clock time in ``tz``;
-    * ``units`` must be one of imperial/english/metric."""
+    * ``units`` must be one of imperial/english/metric;
+    * other document columns (envelope fields, source file) pass through."""
     if units not in S.UNITS:
         raise ValueError(f"units must be one of {S.UNITS}, got {units!r}")
     ts = W.epoch_to_local("time", tz)
@@ -46,7 +50,7 @@ def observations_from_points(
         P.sentinel_null(F.col("precipProbability"), sentinel).alias("precip_chance"),
         W.humidity_fraction(humidity).alias("pct_humidity"),
         F.lit(units).alias("units"),
-        *[c for c in points.columns if c in ("snapshot_ts", "source_file")],
+        *[c for c in points.columns if c not in _POINT_FIELDS and c not in (location_col, "point_pos")],
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["q_cleaning", "q_weather", "q_lookup", "q_scoring", "q_reply", "q_model", "q_io"]
+MODULES = ["q_cleaning", "q_weather", "q_lookup", "q_scoring", "q_reply", "q_model", "q_io", "q_stream"]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}

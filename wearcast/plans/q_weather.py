@@ -404,15 +404,9 @@ SELECT location AS location_key, date_trunc('hour', {ts}) AS obs_hour, CAST({ts}
 FROM p"""
 
 
-@register("nested_weather", _nested_sql())
-def nested_weather(spark, sf_dir):
-    """S4 + P14 + D5: forecast JSON documents (built per event as text and
-    written to the shared folder) read back with a fixed schema, exploded to
-    hour points and turned into observations."""
-    from wearcast.session import shared_path
-    from wearcast.sources.weather_json import explode_hourly, read_hourly_json
-
-    e = read_table(spark, sf_dir, "events")
+def event_hourly():
+    """Stand-in hourly payload of an event (a struct column over ``events``):
+    two hour points, or NULL (no ``hourly``) for every 17th event."""
     base = W.local_to_epoch(W.truncate_hour("ts"))
     icon = F.expr(_case("event_id % 11", _ICONS))
 
@@ -431,9 +425,22 @@ def nested_weather(spark, sf_dir):
             ((F.col("event_id") * 29) % 103).cast("double").alias("humidity"),
         )
 
-    hourly = F.when(F.col("event_id") % 17 != 0, F.struct(F.array(point(0), point(1)).alias("data")))
+    return F.when(F.col("event_id") % 17 != 0, F.struct(F.array(point(0), point(1)).alias("data")))
+
+
+@register("nested_weather", _nested_sql())
+def nested_weather(spark, sf_dir):
+    """S4 + P14 + D5: forecast JSON documents (built per event as text and
+    written to the shared folder) read back with a fixed schema, exploded to
+    hour points and turned into observations."""
+    from wearcast.session import shared_path
+    from wearcast.sources.weather_json import explode_hourly, read_hourly_json
+
+    e = read_table(spark, sf_dir, "events")
     docs = e.select(
-        F.to_json(F.struct(F.col("user_id").cast("string").alias("location"), hourly.alias("hourly"))).alias("value")
+        F.to_json(F.struct(F.col("user_id").cast("string").alias("location"), event_hourly().alias("hourly"))).alias(
+            "value"
+        )
     )
     path = shared_path(spark, "forecast_docs")
     docs.write.mode("overwrite").text(path)
