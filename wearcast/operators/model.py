@@ -3,9 +3,10 @@
 * ``fit_dual`` (ddt): categorical labels through a string index, boolean
   labels as 0/1 classes; ``fit_single`` (sdt): booleans first become Yes/No
   categories, then every label is categorical.
-* Features are assembled once and persisted; the trees are fitted from a
-  small thread pool so their per-level jobs overlap (each fit is itself
-  data-parallel: one aggregation of split statistics per tree level).
+* Training rows are grouped to weighted distinct combinations, assembled
+  once and persisted; the trees are fitted from a thread pool so their
+  per-level jobs overlap (each fit is itself data-parallel: one aggregation
+  of split statistics per tree level).
 * The fitted model is one ``PipelineModel`` (assembler, trees, label
   converters), so prediction is a single narrow transform and the
   model saves and loads with the standard ML writer.
@@ -32,13 +33,18 @@ from wearcast.operators.scoring import label_accuracy, score_table
 FEATURES_COL = "_features"
 
 
+WEIGHT_COL = "_weight"
+
+
 def _tree(label_col: str, prefix: str, max_depth: int, max_bins: int, seed: int) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(
         featuresCol=FEATURES_COL,
         labelCol=label_col,
+        weightCol=WEIGHT_COL,
         predictionCol=f"{prefix}_pred",
-        rawPredictionCol=f"{prefix}_raw",
-        probabilityCol=f"{prefix}_prob",
+        # Only the predicted class is used: no raw or probability vectors.
+        rawPredictionCol="",
+        probabilityCol="",
         maxDepth=max_depth,
         maxBins=max_bins,
         impurity="gini",
@@ -70,14 +76,26 @@ def fit_trees(
     max_depth: int = 4,
     max_bins: int = 256,
     seed: int = 42,
-    parallelism: int = 4,
+    parallelism: int = 10,
+    compress: bool = True,
 ) -> PipelineModel:
     """One tree per label: categorical labels are string-indexed (alphabetical,
     so indices do not depend on frequencies), boolean labels are 0/1.
 
+    With ``compress`` the training rows are first grouped to distinct
+    (features, labels) combinations weighted by their count: every split
+    statistic is a weighted class count, so the trees are the same, while
+    each per-level pass reads the distinct combinations instead of all rows
+    (weather readings are low precision, so combinations are far fewer than
+    rows at scale).  The grouping is one partially aggregated shuffle.
+
     The returned model needs only the feature columns: assembler, the trees,
     then converters back to label values (``pred_<label>``)."""
     categorical, boolean, features = list(categorical), list(boolean), list(features)
+    if compress:
+        df = df.groupBy(*features, *categorical, *boolean).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
+    else:
+        df = df.select(*features, *categorical, *boolean, F.lit(1.0).alias(WEIGHT_COL))
     assembler = VectorAssembler(inputCols=features, outputCol=FEATURES_COL)
     assembled = assembler.transform(df)
     labels_of: dict[str, list[str]] = {}
@@ -91,7 +109,7 @@ def fit_trees(
         labels_of = {c: list(lbls) for c, lbls in zip(categorical, indexer.labelsArray)}
         assembled = indexer.transform(assembled)
     label_exprs = {f"_{b}_lbl": F.col(b).cast("double") for b in boolean}
-    keep = [FEATURES_COL] + [f"_{c}_idx" for c in categorical] + list(label_exprs)
+    keep = [FEATURES_COL, WEIGHT_COL] + [f"_{c}_idx" for c in categorical] + list(label_exprs)
     train = assembled.withColumns(label_exprs).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         specs = [
