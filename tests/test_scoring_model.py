@@ -25,8 +25,10 @@ def test_accuracy_nulls_and_drop_perfect(spark):
     kept = label_accuracy(df, ["a", "b", "c"], drop_perfect=True)
     assert sorted(r.label for r in kept.collect()) == ["a", "b"]
     assert overall_accuracy(kept).collect()[0].overall == pytest.approx(0.625)
-    table = {r.label: r.accuracy for r in score_table(kept).collect()}
-    assert table["overall"] == pytest.approx(0.625)
+    table = {r.label: r.accuracy for r in score_table(df, ["a", "b", "c"], drop_perfect=True).collect()}
+    assert table == {"a": 0.5, "b": 0.75, "overall": pytest.approx(0.625)}
+    all_perfect = {r.label: r.accuracy for r in score_table(df, ["c"], drop_perfect=True).collect()}
+    assert all_perfect == {"overall": None}
 
 
 def test_all_perfect_gives_null_overall(spark):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from wearcast import schema as S
 from wearcast.operators.cleaning import booleans_to_yes_no
-from wearcast.operators.scoring import label_accuracy, score_table
+from wearcast.operators.scoring import score_table
 
 FEATURES_COL = "_features"
 
@@ -154,7 +154,7 @@ def score_model(model: PipelineModel, df: DataFrame, strategy: str = "ddt", drop
     """Predict on a labelled table and score every label (plus overall)."""
     actual = booleans_to_yes_no(df, S.BOOLEAN_LABELS) if strategy == "sdt" else df
     pred = model.transform(actual)
-    return score_table(label_accuracy(pred, S.LABELS, drop_perfect=drop_perfect))
+    return score_table(pred, S.LABELS, drop_perfect=drop_perfect)
 
 
 # -- S8 / L7 / F7 -----------------------------------------------------------

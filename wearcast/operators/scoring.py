@@ -14,23 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _hit_counts(df: DataFrame, labels: Sequence[str], pred_prefix: str) -> DataFrame:
+    """One global aggregate: the row count and, per label, the rows where the
+    prediction equals the actual value (a NULL on either side is a miss)."""
+    hits = [
+        F.count_if(F.coalesce(F.col(pred_prefix + lab) == F.col(lab), F.lit(False))).alias(lab) for lab in labels
+    ]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *hits)
+
+
 def label_accuracy(
     df: DataFrame, labels: Sequence[str], pred_prefix: str = "pred_", drop_perfect: bool = False
 ) -> DataFrame:
     """A1 (+A2 with ``drop_perfect``): per-label share of rows where the
-    prediction equals the actual value."""
+    prediction equals the actual value, as ``(label, hits, n_rows, accuracy)``."""
     labels = list(labels)
-    hits = [
-        F.count_if(F.coalesce(F.col(pred_prefix + lab) == F.col(lab), F.lit(False))).alias(lab) for lab in labels
-    ]
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *hits)
-    long = wide.unpivot(["n_rows"], labels, "label", "hits")
-    out = long.select(
-        "label",
-        "hits",
-        "n_rows",
-        (F.col("hits") / F.col("n_rows")).alias("accuracy"),
-    )
+    long = _hit_counts(df, labels, pred_prefix).unpivot(["n_rows"], labels, "label", "hits")
+    out = long.select("label", "hits", "n_rows", (F.col("hits") / F.col("n_rows")).alias("accuracy"))
     if drop_perfect:
         out = out.filter(F.col("hits") != F.col("n_rows"))
     return out
@@ -46,13 +46,32 @@ def overall_accuracy(scores: DataFrame) -> DataFrame:
     )
 
 
+def score_table(df: DataFrame, labels: Sequence[str], pred_prefix: str = "pred_", drop_perfect: bool = False) -> DataFrame:
+    """A1-A3 in one pass: the long table of label accuracies plus an
+    ``overall`` row, all derived from the single aggregate row (the input is
+    scanned once; the unpivot works on one row)."""
+    labels = list(labels)
+    wide = _hit_counts(df, labels, pred_prefix)
+    n = F.col("n_rows")
+    kept = [F.col(lab) != n if drop_perfect else F.lit(True) for lab in labels]
+    kept_hits = sum(F.when(k, F.col(lab)).otherwise(F.lit(0)) for k, lab in zip(kept, labels))
+    kept_count = sum(F.when(k, F.lit(1)).otherwise(F.lit(0)) for k in kept)
+    with_overall = wide.withColumn(
+        "overall", F.when(kept_count > 0, kept_hits / (n * kept_count))
+    ).select(
+        *[F.when(k, F.col(lab) / n).alias(lab) for k, lab in zip(kept, labels)], "overall"
+    )
+    long = with_overall.unpivot([], [*labels, "overall"], "label", "accuracy")
+    return long.filter(F.col("accuracy").isNotNull() | (F.col("label") == "overall"))
+
+
 def weighted_accuracy(scores: DataFrame, weights: DataFrame | Mapping[str, float]) -> DataFrame:
     """A4: mean over the weighted labels of accuracy x weight (not divided by
     the weight sum).  A weighted label missing from ``scores`` fails the job."""
     if isinstance(weights, Mapping):
         spark = scores.sparkSession
         weights = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "label string, weight double")
-    joined = F.broadcast(weights).join(scores, on="label", how="left")
+    joined = weights.join(F.broadcast(scores), on="label", how="left")
     checked = joined.withColumn(
         "hits",
         F.when(F.col("hits").isNotNull(), F.col("hits")).otherwise(
@@ -63,10 +82,3 @@ def weighted_accuracy(scores: DataFrame, weights: DataFrame | Mapping[str, float
         (F.sum(F.col("hits") * F.col("weight")) / (F.max("n_rows") * F.count(F.lit(1)))).alias("weighted"),
         F.count(F.lit(1)).alias("n_weighted"),
     )
-
-
-def score_table(scores: DataFrame) -> DataFrame:
-    """Long table of label accuracies plus an ``overall`` row."""
-    per_label = scores.select("label", "accuracy")
-    overall = overall_accuracy(scores).select(F.lit("overall").alias("label"), F.col("overall").alias("accuracy"))
-    return per_label.unionByName(overall)

@@ -53,8 +53,7 @@ SELECT 'overall' AS label, SUM(hits) / (MAX(n_rows) * COUNT(*)) AS accuracy FROM
 def label_accuracy_query(spark, sf_dir):
     """A1-A3 + J6: per-label accuracy of same-row predictions, perfect labels
     dropped, and the macro overall."""
-    scores = label_accuracy(_scored(spark, sf_dir), S.LABELS, drop_perfect=True)
-    return score_table(scores)
+    return score_table(_scored(spark, sf_dir), S.LABELS, drop_perfect=True)
 
 
 _W_SQL = " UNION ALL ".join(f"SELECT '{k}' AS label, {v} AS weight" for k, v in WEIGHTS.items())
