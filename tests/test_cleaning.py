@@ -95,3 +95,10 @@ def test_workbook_rename_and_yes_no(spark):
     assert out.columns == ["outer_layer", "ears_hat", "Notes"]
     assert C.booleans_to_yes_no(out).collect()[0].ears_hat == "Yes"
     assert C.drop_columns(out, ["Notes", "absent"]).columns == ["outer_layer", "ears_hat"]
+
+
+def test_observed_drop_metric(spark):
+    df = spark.createDataFrame([("None", "None"), ("A", "None"), ("None", "B")], "outer_layer string, base_layer string")
+    observed, obs = C.observe_dropped_layers(df)
+    assert observed.filter(~C.no_layer()).count() == 2
+    assert obs.get == {"rows": 3, "dropped": 1}

@@ -108,3 +108,20 @@ def test_hours_and_dates(spark):
     words = spark.createDataFrame([("today",), ("tomorrow",), ("Sun",), ("Tue",), ("Someday",)], "w string")
     got = [r.d for r in words.select(P.resolve_date("w", ref).alias("d")).collect()]
     assert got == [ref, dt.date(2018, 12, 19), dt.date(2018, 12, 23), ref, None]
+
+
+def test_option_table(spark):
+    from wearcast.operators.reply import option_table
+
+    rows = {(r.label, r.ordinal): r.option for r in option_table(spark).collect()}
+    assert rows[("jacket", 0)] == "None" and rows[("jacket", 8)] == "Warm-Rain-Wind"
+    assert rows[("lower_body", 0)] == "Shorts"
+    assert (rows[("gloves", 0)], rows[("gloves", 1)]) == ("n", "y")
+    assert len(rows) == 5 + 5 + 9 + 5 + 3 + 2 * 5
+
+
+def test_activity_sentence_banks(spark):
+    df = spark.createDataFrame([(1, 80.0, 12.0, "Sleeveless")], "row_id long, feels_like double, wind_speed double, outer_layer string")
+    out = add_replies(df, profile(S.ROADBIKE), categorical=["outer_layer"], boolean=[], openings=["Saddle up:"],
+                      clothing_leads=["Pack"]).collect()[0].reply
+    assert out == "Saddle up: it is going to be hot and breezy.\nPack a sleeveless top. "

@@ -131,15 +131,22 @@ def describe(item, descriptions: Mapping[str, tuple], use_alt=None) -> Column:
 
 
 # -- T10 --------------------------------------------------------------------
-def reply(condition_phrases: Sequence, item_descriptions: Sequence, opening_index, clothing_index) -> Column:
+def reply(
+    condition_phrases: Sequence,
+    item_descriptions: Sequence,
+    opening_index,
+    clothing_index,
+    openings: Sequence[str] = S.OPENING_STATEMENTS,
+    clothing_leads: Sequence[str] = S.CLOTHING_STATEMENTS,
+) -> Column:
     """``<opening> it is going to be <conditions>.\\n<clothing lead> <items>. ``"""
     conditions = english_list(list(condition_phrases)) if condition_phrases else F.lit("")
     items = english_list(list(item_descriptions))
     return F.concat(
-        opening_prefix(opening_index),
+        opening_prefix(opening_index, openings),
         conditions,
         F.lit(".\n"),
-        clothing_prefix(clothing_index),
+        clothing_prefix(clothing_index, clothing_leads),
         F.lit(" "),
         items,
         F.lit(". "),

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from wearcast import schema as S
 from wearcast.functions.parsing import domain_ordinal, in_domain, parse_bool, yes_no
+from wearcast.functions.weather import humidity_fraction
 
 
 # -- P1 ---------------------------------------------------------------------
@@ -154,11 +155,23 @@ def booleans_to_yes_no(df: DataFrame, columns: Iterable[str] | None = None) -> D
 
 
 # -- L8 ---------------------------------------------------------------------
-def clean_activity_log(df: DataFrame, activity: str = S.RUN, features=S.FEATURES, labels=S.LABELS) -> DataFrame:
+def clean_activity_log(
+    df: DataFrame,
+    activity: str = S.RUN,
+    features=S.FEATURES,
+    labels=S.LABELS,
+    normalize_humidity: bool = True,
+) -> DataFrame:
     """The full clean-up, in order: fill missing values, normalise layers (drop
     rows without any), constrain categories to their domains, keep one
-    activity, drop bookkeeping columns, keep only features + labels."""
+    activity, drop bookkeeping columns, keep only features + labels.
+
+    ``normalize_humidity`` turns whole-percent humidity into the fraction that
+    observations carry, so training and serving see the same scale (off: the
+    log's values are kept as they are)."""
     out = fill_missing(df)
+    if normalize_humidity and "pct_humidity" in out.columns:
+        out = out.withColumn("pct_humidity", humidity_fraction("pct_humidity"))
     out = fix_layers(out)
     out = apply_domains(out)
     out = filter_activity(out, activity)

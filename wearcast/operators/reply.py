@@ -127,6 +127,8 @@ def add_replies(
     row_id: str = "row_id",
     seed: int = 17,
     include_boolean_items: bool = False,
+    openings: Sequence[str] = S.OPENING_STATEMENTS,
+    clothing_leads: Sequence[str] = S.CLOTHING_STATEMENTS,
     name: str = "reply",
 ) -> DataFrame:
     """Adds the English reply for each row's outfit and conditions.
@@ -134,7 +136,8 @@ def add_replies(
     Conditions are the temperature and wind phrases (the direction only when
     ``wind_dir`` is given); sentence leads are picked per row by
     ``opening_index``/``clothing_index`` or, by default, by a hash of the row
-    id and ``seed`` (independent of partitioning)."""
+    id and ``seed`` (independent of partitioning).  ``openings`` and
+    ``clothing_leads`` replace the sentence banks (an activity's own wording)."""
     conds = []
     if feels_like:
         conds.append(T.temp_phrase(feels_like))
@@ -143,4 +146,4 @@ def add_replies(
     items = item_descriptions(categorical, descriptions, boolean, include_boolean_items)
     oi = opening_index if opening_index is not None else T.hashed_index(row_id, seed)
     ci = clothing_index if clothing_index is not None else T.hashed_index(row_id, seed + 1)
-    return df.withColumn(name, T.reply(conds, items, oi, ci))
+    return df.withColumn(name, T.reply(conds, items, oi, ci, openings, clothing_leads))

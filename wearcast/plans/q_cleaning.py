@@ -162,6 +162,8 @@ def _clean_sql() -> str:
             sel.append(f"CASE WHEN {src} IN ({sql_list(S.CATEGORICAL_DOMAINS[c])}) THEN {src} END AS {c}")
         elif c == "gloves":
             sel.append("COALESCE(gloves, false) AS gloves")
+        elif c == "pct_humidity":
+            sel.append("CASE WHEN pct_humidity < 1 THEN pct_humidity ELSE pct_humidity / 100 END AS pct_humidity")
         else:
             sel.append(c)
     return f"""WITH s AS ({_SCEN}),
@@ -172,8 +174,8 @@ SELECT {", ".join(sel)} FROM f WHERE activity = 'Run'"""
 
 @register("clean_pipeline", _clean_sql())
 def clean_pipeline(spark, sf_dir):
-    """The whole clean-up in order (fill, layers, domains, activity,
-    drops, keep) over every event scenario."""
+    """The whole clean-up in order (fill, humidity scale, layers, domains,
+    activity, drops, keep) over every event scenario."""
     s = event_scenarios(spark, sf_dir)
     return C.clean_activity_log(s, activity=S.RUN, features=["row_id"] + S.FEATURES)
 

@@ -222,13 +222,22 @@ SELECT k.c_custkey, k.coord_key, d.latitude, d.longitude, d.location IS NOT NULL
 FROM k LEFT JOIN d ON k.coord_key = d.location""",
 )
 def coordinates(spark, sf_dir):
-    """Each customer's parsed place keyed ``ST-City``/zip and joined to a
-    coordinate dimension (broadcast only after a bounded size check)."""
+    """S5 + J1: a coordinate table derived from the nations is written as CSV
+    and read back through the coordinate source (keys stay text); each
+    customer's parsed place, keyed ``ST-City``/zip, is joined to it
+    (broadcast only after a bounded size check)."""
+    from wearcast.session import shared_path
+    from wearcast.sources.files import read_coordinates
+
     nation = read_table(spark, sf_dir, "nation")
     sel = lambda rows: [
         f"CAST({e} AS {'STRING' if n == 'location' else 'DOUBLE'}) AS {n}" for n, e in rows
     ]
-    coords = nation.selectExpr(*sel(_COORD_ROWS)).unionByName(nation.selectExpr(*sel(_ZIP_ROWS)))
+    path = shared_path(spark, "coordinates")
+    nation.selectExpr(*sel(_COORD_ROWS)).unionByName(nation.selectExpr(*sel(_ZIP_ROWS))).write.option(
+        "header", True
+    ).csv(path)
+    coords = read_coordinates(spark, path)
     c = read_table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_PLACE} AS place")
     p = parse_locations(c, "place", sep="-").withColumnRenamed("location_key", "coord_key")
     out = with_coordinates(p.select("c_custkey", "coord_key"), coords, key_col="coord_key")
