@@ -109,17 +109,16 @@ def parse_hour(c) -> Column:
     """Hour of day from ``10am``, ``10 PM``, ``10:30pm``, ``22:00``, ``22``.
 
     Spaces are removed and case folded; with an AM/PM marker the hour is
-    12-hour (12AM = 0, 12PM = 12), otherwise 24-hour.  Unparseable -> NULL."""
+    12-hour (12AM = 0, 12PM = 12), otherwise 24-hour.  Unparseable -> NULL
+    (a text that does not match extracts '', which is no number)."""
     s = F.upper(F.regexp_replace(_col(c), r"\s+", ""))
-    ok = s.rlike(_HOUR_FORM)
     h = F.regexp_extract(s, _HOUR_FORM, 1).try_cast("int")
     marker = F.regexp_extract(s, _HOUR_FORM, 3)
-    hour = (
-        F.when(marker == "AM", F.when((h >= 1) & (h <= 12), h % 12))
-        .when(marker == "PM", F.when((h >= 1) & (h <= 12), h % 12 + 12))
-        .otherwise(F.when(h <= 23, h))
+    twelve = (h >= 1) & (h <= 12)
+    return (
+        F.when(marker == "", F.when(h <= 23, h))
+        .when(twelve, F.pmod(h, F.lit(12)) + F.when(marker == "PM", F.lit(12)).otherwise(F.lit(0)))
     )
-    return F.when(ok, hour)
 
 
 _DAY_ABBR = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]

@@ -78,6 +78,7 @@ def fit_trees(
     seed: int = 42,
     parallelism: int = 10,
     compress: bool = True,
+    rows_per_partition: int = 1_000_000,
 ) -> PipelineModel:
     """One tree per label: categorical labels are string-indexed (alphabetical,
     so indices do not depend on frequencies), boolean labels are 0/1.
@@ -88,37 +89,46 @@ def fit_trees(
     each per-level pass reads the distinct combinations instead of all rows
     (weather readings are low precision, so combinations are far fewer than
     rows at scale).  The grouping is one partially aggregated shuffle.
+    The training rows are then held in about one partition per
+    ``rows_per_partition`` rows, so small inputs do not pay per-task overhead
+    at every tree level and large ones keep full parallelism.
 
     The returned model needs only the feature columns: assembler, the trees,
     then converters back to label values (``pred_<label>``)."""
     categorical, boolean, features = list(categorical), list(boolean), list(features)
+    cols = [*features, *categorical, *boolean]
     if compress:
-        df = df.groupBy(*features, *categorical, *boolean).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
+        base = df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
     else:
-        df = df.select(*features, *categorical, *boolean, F.lit(1.0).alias(WEIGHT_COL))
-    assembler = VectorAssembler(inputCols=features, outputCol=FEATURES_COL)
-    assembled = assembler.transform(df)
-    labels_of: dict[str, list[str]] = {}
-    if categorical:
-        indexer = StringIndexer(
-            inputCols=categorical,
-            outputCols=[f"_{c}_idx" for c in categorical],
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        ).fit(df.select(*categorical))
-        labels_of = {c: list(lbls) for c, lbls in zip(categorical, indexer.labelsArray)}
-        assembled = indexer.transform(assembled)
-    label_exprs = {f"_{b}_lbl": F.col(b).cast("double") for b in boolean}
-    keep = [FEATURES_COL, WEIGHT_COL] + [f"_{c}_idx" for c in categorical] + list(label_exprs)
-    train = assembled.withColumns(label_exprs).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+        base = df.select(*cols, F.lit(1.0).alias(WEIGHT_COL))
+    # Materialise the training rows once, before the indexer and the
+    # concurrent fits read them (otherwise every fit would recompute them).
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        n_rows = base.count()
+        parts = max(1, min(base.rdd.getNumPartitions(), -(-n_rows // rows_per_partition)))
+        assembler = VectorAssembler(inputCols=features, outputCol=FEATURES_COL)
+        train = assembler.transform(base.coalesce(parts))
+        labels_of: dict[str, list[str]] = {}
+        if categorical:
+            indexer = StringIndexer(
+                inputCols=categorical,
+                outputCols=[f"_{c}_idx" for c in categorical],
+                stringOrderType="alphabetAsc",
+                handleInvalid="keep",
+            ).fit(base.select(*categorical))
+            labels_of = {c: list(lbls) for c, lbls in zip(categorical, indexer.labelsArray)}
+            train = indexer.transform(train)
+        label_exprs = {f"_{b}_lbl": F.col(b).cast("double") for b in boolean}
+        keep = [FEATURES_COL, WEIGHT_COL] + [f"_{c}_idx" for c in categorical] + list(label_exprs)
+        train = train.withColumns(label_exprs).select(*keep)
         specs = [
             (f"_{c}_idx", len(labels_of[c]), _tree(f"_{c}_idx", f"_{c}", max_depth, max_bins, seed))
             for c in categorical
         ] + [(f"_{b}_lbl", None, _tree(f"_{b}_lbl", f"_{b}", max_depth, max_bins, seed)) for b in boolean]
         trees = _fit_known(train, specs, parallelism)
     finally:
-        train.unpersist()
+        base.unpersist()
     post = [IndexToString(inputCol=f"_{c}_pred", outputCol=f"pred_{c}", labels=labels_of[c]) for c in categorical]
     if boolean:
         casts = ", ".join(f"CAST(_{b}_pred = 1.0 AS BOOLEAN) AS pred_{b}" for b in boolean)
