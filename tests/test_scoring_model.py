@@ -83,3 +83,32 @@ def test_staleness(spark):
     assert (fitted, again, newer) == (True, False, True)
     with pytest.raises(ValueError):
         M.get_model(spark, train, base, "xyz")
+
+
+def test_recommend_consistent_with_model(spark):
+    import datetime as dt
+
+    from wearcast.operators.recommend import recommend
+    from wearcast.operators.reply import profile
+
+    train = lineitem_training(spark, SMALL)
+    model = M.fit_dual(train)
+    h = dt.datetime(2024, 1, 1, 10)
+    store_schema = "location_key string, obs_hour timestamp_ntz, feels_like double, wind_speed double, pct_humidity double"
+    forecasts = spark.createDataFrame([("a", h, 10.0, 8.0, 0.5), ("b", h, 45.0, 2.0, 0.2)], store_schema)
+    history = spark.createDataFrame([("a", h, 30.0, 1.0, 0.9), ("c", h, None, 1.0, 0.9)], store_schema)
+    req = spark.createDataFrame(
+        [(1, "a", h, 30.0, True), (2, "b", h, 60.0, False), (3, "a", h, 45.0, True), (4, "z", h, 45.0, True),
+         (5, "c", h, 45.0, True)],
+        "row_id long, location_key string, obs_hour timestamp_ntz, duration double, is_light boolean",
+    )
+    # 'now' before the hour: forecast store; after: history store
+    early = {r.row_id: r for r in recommend(req, forecasts, history, model, profile(S.RUN), "2024-01-01 00:00:00").collect()}
+    late = {r.row_id: r for r in recommend(req, forecasts, history, model, profile(S.RUN), "2024-01-02 00:00:00").collect()}
+    assert early[1].kind == "forecast" and early[1].feels_like == 10.0 and early[1].usable
+    assert late[1].kind == "history" and late[1].feels_like == 30.0
+    assert not early[4].found and early[4].reply is None and early[4].pred_outer_layer is None
+    assert late[5].found and not late[5].usable and late[5].reply is None
+    direct = M.predict_outfit(spark, model, feels_like=10.0, wind_speed=8.0, pct_humidity=0.5, duration=30.0, is_light=True)
+    assert {lab: getattr(early[1], f"pred_{lab}") for lab in S.LABELS} == direct
+    assert early[1].reply.endswith(". ")

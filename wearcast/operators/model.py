@@ -159,6 +159,18 @@ def predict_outfits(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (
     return out.select(*[c for c in keep if c in out.columns], *preds)
 
 
+def predict_outfit(spark: SparkSession, model: PipelineModel, **features) -> dict:
+    """L3: one scenario given as keyword features -> ``{label: value}``.
+    The same batch transform on a one-row frame; a missing feature fails."""
+    missing = [f for f in S.FEATURES if f not in features]
+    if missing:
+        raise ValueError(f"missing features: {missing}")
+    schema = "feels_like double, wind_speed double, pct_humidity double, duration double, is_light boolean"
+    row = (*[float(features[f]) for f in S.FEATURES[:4]], bool(features["is_light"]))
+    out = predict_outfits(model, spark.createDataFrame([row], schema), keep=()).collect()[0].asDict()
+    return {k[len("pred_"):]: v for k, v in out.items()}
+
+
 # -- L4 / L6 ----------------------------------------------------------------
 def score_model(model: PipelineModel, df: DataFrame, strategy: str = "ddt", drop_perfect: bool = False) -> DataFrame:
     """Predict on a labelled table and score every label (plus overall)."""

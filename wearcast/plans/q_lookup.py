@@ -44,7 +44,7 @@ _REQ_SQL = """SELECT event_id AS row_id, CAST(user_id + event_id % 2 AS VARCHAR)
 FROM events"""
 
 
-def _requests(spark, sf_dir):
+def _requests(spark, sf_dir, extra=()):
     e = read_table(spark, sf_dir, "events")
     when = F.timestamp_add("HOUR", F.col("event_id") % 5 - 2, F.col("ts"))
     return e.select(
@@ -52,6 +52,7 @@ def _requests(spark, sf_dir):
         (F.col("user_id") + F.col("event_id") % 2).cast("string").alias("location_key"),
         W.truncate_hour(when).alias("obs_hour"),
         F.to_date(when).alias("obs_date"),
+        *extra,
     )
 
 

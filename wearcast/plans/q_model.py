@@ -63,3 +63,40 @@ def model_roundtrip(spark, sf_dir):
     if not retrained or retrained_again:
         raise RuntimeError("model staleness check did not behave as expected")
     return M.predict_outfits(loaded, train)
+
+
+# -- E2 ---------------------------------------------------------------------
+@register("weather_recommendation")
+def weather_recommendation(spark, sf_dir):
+    """E2 end to end: every event's forecast document becomes observations
+    (newest write per place and hour, forecast and history stores); every
+    event is also a request some hours around its time; each request is
+    routed and looked up, its outfit predicted by trees fitted on every line
+    item, and answered with an English reply."""
+    from wearcast.operators.observations import observations_from_points
+    from wearcast.operators.recommend import recommend
+    from wearcast.operators.reply import profile
+    from wearcast.operators.store import latest_per_key
+    from wearcast.plans.q_lookup import FORECAST_TYPES, NOW, _requests
+    from wearcast.plans.q_weather import event_hourly
+    from wearcast.sources.weather_json import explode_hourly
+
+    e = read_table(spark, sf_dir, "events")
+    docs = e.select(
+        F.col("user_id").cast("string").alias("location"),
+        F.col("ts").alias("snapshot_ts"),
+        F.col("event_id").alias("seq"),
+        F.col("event_type").isin(*FORECAST_TYPES).alias("is_forecast"),
+        event_hourly().alias("hourly"),
+    )
+    obs = observations_from_points(explode_hourly(docs, ["location", "snapshot_ts", "seq", "is_forecast"]))
+    order = ("snapshot_ts", "seq", "epoch")
+    cols = ["location_key", "obs_hour", "snapshot_ts", "seq", "epoch", "feels_like", "wind_speed", "pct_humidity"]
+    forecasts = latest_per_key(obs.filter("is_forecast").select(*cols), order=order)
+    history = latest_per_key(obs.filter("NOT is_forecast").select(*cols), order=order)
+    req = _requests(spark, sf_dir, extra=[
+        (F.lit(15.0) * (F.col("event_id") % 7 + 1)).alias("duration"),
+        (F.col("event_id") % 5 != 0).alias("is_light"),
+    ]).drop("obs_date")
+    model = M.fit_dual(lineitem_training(spark, sf_dir))
+    return recommend(req, forecasts, history, model, profile(S.RUN), NOW)
