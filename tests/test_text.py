@@ -125,3 +125,21 @@ def test_activity_sentence_banks(spark):
     out = add_replies(df, profile(S.ROADBIKE), categorical=["outer_layer"], boolean=[], openings=["Saddle up:"],
                       clothing_leads=["Pack"]).collect()[0].reply
     assert out == "Saddle up: it is going to be hot and breezy.\nPack a sleeveless top. "
+
+
+def test_all_logs_skip_foreign_files(spark, tmp_path):
+    from pyspark.sql import types as TT
+
+    from wearcast.sources.files import read_activity_csv, read_all_logs
+
+    schema = TT.StructType([TT.StructField("row_id", TT.LongType()), TT.StructField("outer_layer", TT.StringType()),
+                            TT.StructField("gloves", TT.BooleanType())])
+    (tmp_path / "a.csv").write_text("row_id,outer_layer,gloves\n1,None,Yes\n2,Long-sleeve,FALSE\n")
+    (tmp_path / "b.csv").write_text("row_id,outer_layer,gloves\n3,Sleeveless,n\n")
+    (tmp_path / "location_cache.csv").write_text("location,latitude,longitude\n72712,36.3,-94.2\n")
+    rows = read_all_logs(spark, [(str(tmp_path / "*.csv"), schema)]).orderBy("row_id").collect()
+    assert [(r.row_id, r.outer_layer, r.gloves) for r in rows] == [(1, "None", True), (2, "Long-sleeve", False),
+                                                                     (3, "Sleeveless", False)]
+    # a named file gets the .csv suffix
+    named = read_activity_csv(spark, str(tmp_path / "a"), schema).collect()
+    assert len(named) == 2
