@@ -34,7 +34,7 @@ def test_hourly_json_to_observations(spark, tmp_path):
     pts = explode_hourly(read_hourly_json(spark, _docs(tmp_path)), ["location"])
     obs = observations_from_points(pts).orderBy("location_key", "epoch").collect()
     assert len(obs) == 4  # the document without 'hourly' yields nothing
-    a0, a1, a2, b0 = obs[1], obs[2], obs[3], obs[0]
+    a0, a1, a2, b0 = obs[0], obs[1], obs[2], obs[3]
     assert (a0.condition, a0.wind_dir, a0.pct_humidity, a0.feels_like) == ("clear", "N", 0.55, 48.0)
     assert (a1.temp_f, a1.feels_like, a1.wind_dir, a1.pct_humidity) == (None, None, "N", 0.85)  # sentinel, no bearing
     assert (a2.condition, a2.pct_humidity, a2.wind_dir) == ("rain", 0.01, "N")  # exactly 1 -> percent
@@ -59,7 +59,7 @@ def test_epoch_round_trip_other_zone(spark):
         "t", W.local_to_epoch("t", "America/Chicago").alias("back")
     ).collect()[0]
     assert r.back == T0
-    assert r.t == dt.datetime.utcfromtimestamp(T0) - dt.timedelta(hours=6)
+    assert r.t == dt.datetime.fromtimestamp(T0, dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(hours=6)
 
 
 def test_upsert_days_replaces_whole_days(spark):
