@@ -15,9 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from wearcast.session import shared_path
 
 
-def write_snapshot(df: DataFrame, path: str | None = None, partition_by: Sequence[str] = ("obs_date",)) -> str:
-    """Write ``df`` as a new snapshot; returns its path."""
+def write_snapshot(
+    df: DataFrame,
+    path: str | None = None,
+    partition_by: Sequence[str] = ("obs_date",),
+    cluster_by: Sequence[str] = ("location_key",),
+) -> str:
+    """Write ``df`` as a new snapshot; returns its path.
+
+    Rows are range-partitioned by the day and then ``cluster_by`` before the
+    write, so each task holds a contiguous run of days and writes about one
+    file per day it covers (not one per task and day), while a day holding a
+    large share of the rows is still split across tasks by the second key."""
     target = path or shared_path(df.sparkSession, "snapshots")
+    if partition_by:
+        keys = [*partition_by, *[c for c in cluster_by if c in df.columns]]
+        df = df.repartitionByRange(*keys)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
