@@ -184,9 +184,14 @@ def model_path(base: str, athlete: str = "default", activity: str = S.RUN, strat
     return f"{base.rstrip('/')}/{athlete}_{activity}_{strategy}"
 
 
+_POINTER_SCHEMA = "version string, path string, trained_at string, data_mtime string"
+
+
 def _pointer(spark: SparkSession, path: str):
+    """The newest pointer record of a model path (None if there is none)."""
     try:
-        rows = spark.read.json(f"{path}/_latest").orderBy(F.desc("version")).limit(1).collect()
+        pointers = spark.read.schema(_POINTER_SCHEMA).json(f"{path}/_latest")
+        rows = pointers.orderBy(F.desc("version")).limit(1).collect()
     except Exception:  # noqa: BLE001 - no pointer yet
         return None
     return rows[0].asDict() if rows else None
