@@ -86,3 +86,42 @@ def reply_text(spark, sf_dir):
     s = C.clean_activity_log(event_scenarios(spark, sf_dir), activity=S.RUN, features=["row_id"] + S.FEATURES)
     out = add_replies(s, profile(S.RUN), opening_index=F.col("row_id"), clothing_index=F.col("row_id"))
     return out.select("row_id", "reply")
+
+
+# -- X3 ---------------------------------------------------------------------
+def _options_sql() -> str:
+    rows = []
+    for lab, opts in {**S.CATEGORICAL_DOMAINS, **{b: S.BOOLEAN_OPTIONS for b in S.BOOLEAN_LABELS}}.items():
+        rows += [f"('{lab}', {i}, {sql_str(o)})" for i, o in enumerate(opts)]
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS t(label, ordinal, option)"
+
+
+def _items_sql() -> str:
+    parts = [f"SELECT row_id, '{c}' AS label, {c} AS option FROM s" for c in S.CATEGORICAL_LABELS]
+    parts += [
+        f"SELECT row_id, '{b}' AS label, CASE WHEN {b} THEN 'y' WHEN NOT {b} THEN 'n' END AS option FROM s"
+        for b in S.BOOLEAN_LABELS
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@register(
+    "option_ordinals",
+    f"""WITH s AS ({_SCEN}), i AS ({_items_sql()}), o AS ({_options_sql()})
+SELECT i.row_id, i.label, i.option, CAST(o.ordinal AS INTEGER) AS ordinal
+FROM i LEFT JOIN o ON i.label = o.label AND i.option = o.option""",
+)
+def option_ordinals(spark, sf_dir):
+    """The option table (label, ordinal, option; booleans as n/y) joined
+    to every label value of every scenario (a bounded table, broadcast)."""
+    from wearcast.operators.reply import option_table
+
+    s = event_scenarios(spark, sf_dir)
+    values = [F.struct(F.lit(c).alias("label"), F.col(c).alias("option")) for c in S.CATEGORICAL_LABELS]
+    values += [
+        F.struct(F.lit(b).alias("label"), F.when(F.col(b), "y").when(~F.col(b), "n").alias("option"))
+        for b in S.BOOLEAN_LABELS
+    ]
+    items = s.select("row_id", F.explode(F.array(*values)).alias("i")).select("row_id", "i.label", "i.option")
+    out = items.join(F.broadcast(option_table(spark)), on=["label", "option"], how="left")
+    return out.select("row_id", "label", "option", "ordinal")
