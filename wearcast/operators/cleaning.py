@@ -1,7 +1,9 @@
 """Cleaning operators for labelled activity logs (DataFrame -> DataFrame).
 
-All of them are narrow transformations (select/filter): no shuffle, one
-codegen stage, so the clean-up pipeline scans a table once at any size.
+The row operators are narrow transformations (select/filter): no shuffle,
+one codegen stage, so the clean-up pipeline scans a table once at any size.
+The dropped-row counts are one global aggregate (partial per task) or an
+``observe`` metric riding on another job.
 """
 
 from __future__ import annotations

@@ -3,10 +3,10 @@
 * ``fit_dual`` (ddt): categorical labels through a string index, boolean
   labels as 0/1 classes; ``fit_single`` (sdt): booleans first become Yes/No
   categories, then every label is categorical.
-* Training rows are grouped to weighted distinct combinations, assembled
-  once and persisted; the trees are fitted from a thread pool so their
-  per-level jobs overlap (each fit is itself data-parallel: one aggregation
-  of split statistics per tree level).
+* Training rows are grouped to weighted distinct combinations and cached
+  once (feature assembly is a cheap projection on top); the trees are
+  fitted from a thread pool so their per-level jobs overlap (each fit is
+  itself data-parallel: one aggregation of split statistics per tree level).
 * The fitted model is one ``PipelineModel`` (assembler, trees, label
   converters), so prediction is a single narrow transform and the
   model saves and loads with the standard ML writer.
