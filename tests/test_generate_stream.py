@@ -54,3 +54,35 @@ def test_stream_equals_batch(spark, tmp_path):
     # expiry on read: only snapshots at most 12 hours old at 'now'
     fresh = ST.current_observations(spark, log, now="2024-01-01 12:30:00", ttl_hours=12).collect()
     assert {r.seq for r in fresh} == {2}
+
+
+def test_log_compaction(spark):
+    import datetime as dt
+    import json
+    import time
+
+    base = shared_path(spark, "test_compact")
+    landing, log = f"{base}/landing", f"{base}/log"
+    t0 = 1_704_067_200
+
+    def land(seq, temp, hour):
+        doc = {"location": "a", "snapshot_ts": f"2024-01-01T0{seq}:00:00.000000", "seq": seq,
+               "hourly": {"data": [{"time": t0 + 3600 * hour, "icon": "rain", "temperature": temp}]}}
+        spark.createDataFrame([(json.dumps(doc),)], "value string").write.mode("append").text(landing)
+
+    def ingest():
+        ST.start_observation_log(ST.observation_stream(spark, landing), log, checkpoint=f"{base}/ckpt").awaitTermination()
+
+    land(1, 40.0, 0)
+    land(2, 41.0, 1)
+    ingest()
+    snap = ST.compact_log(spark, log, margin=dt.timedelta(0))
+    time.sleep(1.5)
+    land(3, 42.0, 0)
+    ingest()
+    full = {r.obs_hour.hour: r.temp_f for r in ST.current_observations(spark, log).collect()}
+    fast = {r.obs_hour.hour: r.temp_f for r in ST.current_observations(spark, log, compacted=snap).collect()}
+    assert full == fast == {0: 42.0, 1: 41.0}
+    # the compacted read takes only the batches ingested after the cutoff
+    assert ST._read_log(spark, log, None, snap[1]).count() == 1
+    assert ST._read_log(spark, log, None, None).count() == 3

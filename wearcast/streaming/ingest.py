@@ -10,11 +10,16 @@ day partitions pruned by the caller's filters).  Late or repeated hours
 therefore simply overwrite, as in the original's dictionary, with no state
 kept in the stream.
 
-Checkpoints go under the session's shared checkpoint folder unless given.
+The log is compacted by ``compact_log`` into a snapshot; readers then scan
+the snapshot plus only the batches ingested since.  Checkpoints and
+snapshots go under the session's shared checkpoint folder unless given.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from zoneinfo import ZoneInfo
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +30,7 @@ from wearcast import schema as S
 from wearcast.operators.observations import observations_from_points
 from wearcast.operators.store import fresh_only, latest_per_key
 from wearcast.session import shared_path
+from wearcast.sources.snapshots import write_snapshot
 from wearcast.sources.weather_json import explode_hourly
 
 # A forecast document as it arrives: the hourly payload plus an envelope
@@ -56,10 +62,12 @@ def observation_stream(spark: SparkSession, path: str, max_files_per_trigger: in
 def start_observation_log(
     stream: DataFrame, log_path: str, checkpoint: str | None = None, available_now: bool = True
 ) -> StreamingQuery:
-    """ST1 sink: append observations to the day-partitioned log."""
+    """ST1 sink: append observations to the day-partitioned log, stamped with
+    the micro-batch time (``ingest_ts``)."""
     ckpt = checkpoint or shared_path(stream.sparkSession, "streams", "observation_log")
     writer = (
-        stream.writeStream.format("parquet")
+        stream.withColumn("ingest_ts", F.current_timestamp())
+        .writeStream.format("parquet")
         .outputMode("append")
         .partitionBy("obs_date")
         .option("checkpointLocation", ckpt)
@@ -68,15 +76,64 @@ def start_observation_log(
     return writer.start(log_path)
 
 
+def _read_log(spark: SparkSession, log_path: str, schema: T.StructType | None, ingested_since: str | None) -> DataFrame:
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(schema)
+    log = reader.parquet(log_path)
+    if ingested_since is not None:
+        # Every file of a micro-batch carries one ingest time, so the Parquet
+        # min/max statistics skip the files of older batches.
+        log = log.filter(F.col("ingest_ts") >= F.lit(ingested_since).cast("timestamp"))
+    return log
+
+
 def current_observations(
-    spark: SparkSession, log_path: str, schema: T.StructType | None = None, now=None, ttl_hours: int | None = None
+    spark: SparkSession,
+    log_path: str,
+    schema: T.StructType | None = None,
+    now=None,
+    ttl_hours: int | None = None,
+    compacted: tuple[str, str] | None = None,
 ) -> DataFrame:
     """The store as of now: newest write per (place, hour) from the log;
-    with ``now`` and ``ttl_hours`` only snapshots young enough count (ST3)."""
-    log = spark.read.schema(schema).parquet(log_path) if schema is not None else spark.read.parquet(log_path)
+    with ``now`` and ``ttl_hours`` only snapshots young enough count (ST3).
+
+    With ``compacted`` = (snapshot path, cutoff) from ``compact_log``, the
+    snapshot replaces the log rows ingested before the cutoff, so a read
+    scans the snapshot plus the recent batches instead of the whole history."""
+    if compacted is None:
+        rows = _read_log(spark, log_path, schema, None)
+    else:
+        snap_path, cutoff = compacted
+        recent = _read_log(spark, log_path, schema, cutoff)
+        rows = spark.read.parquet(snap_path).unionByName(recent, allowMissingColumns=True)
     if now is not None and ttl_hours is not None:
-        log = fresh_only(log, now, "snapshot_ts", ttl_hours)
-    return latest_per_key(log, order=LOG_ORDER)
+        rows = fresh_only(rows, now, "snapshot_ts", ttl_hours)
+    return latest_per_key(rows, order=LOG_ORDER)
+
+
+def compact_log(
+    spark: SparkSession,
+    log_path: str,
+    previous: tuple[str, str] | None = None,
+    target: str | None = None,
+    margin: dt.timedelta = dt.timedelta(hours=1),
+) -> tuple[str, str]:
+    """Write the current store (newest write per key) as a new day-partitioned
+    snapshot.  Returns (snapshot path, cutoff).
+
+    The cutoff is the compaction's start time less ``margin`` (in the session
+    time zone); later reads take log rows ingested since the cutoff.  Rows of
+    a micro-batch that was still committing while the compaction listed the
+    log are therefore read again, as long as a batch takes less than
+    ``margin``.  Re-reading a write is harmless because the newest write per
+    key wins either way."""
+    tz = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+    cutoff = (dt.datetime.now(tz) - margin).strftime("%Y-%m-%dT%H:%M:%S")
+    store = current_observations(spark, log_path, compacted=previous)
+    path = write_snapshot(store, target or shared_path(spark, "observation_snapshots"))
+    return path, cutoff
 
 
 def start_scoring(
