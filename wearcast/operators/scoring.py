@@ -14,13 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _hit_counts(df: DataFrame, labels: Sequence[str], pred_prefix: str) -> DataFrame:
+def _hit_counts(df: DataFrame, labels: Sequence[str], pred_prefix: str, weight_col: str | None = None) -> DataFrame:
     """One global aggregate: the row count and, per label, the rows where the
-    prediction equals the actual value (a NULL on either side is a miss)."""
-    hits = [
-        F.count_if(F.coalesce(F.col(pred_prefix + lab) == F.col(lab), F.lit(False))).alias(lab) for lab in labels
-    ]
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), *hits)
+    prediction equals the actual value (a NULL on either side is a miss).
+    With ``weight_col`` each row counts as its weight (compressed rows)."""
+
+    def same(lab: str):
+        return F.coalesce(F.col(pred_prefix + lab) == F.col(lab), F.lit(False))
+
+    if weight_col is None:
+        hits = [F.count_if(same(lab)).alias(lab) for lab in labels]
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), *hits)
+    w = F.col(weight_col)
+    hits = [F.sum(F.when(same(lab), w).otherwise(F.lit(0.0))).alias(lab) for lab in labels]
+    return df.agg(F.sum(w).alias("n_rows"), *hits)
 
 
 def label_accuracy(
@@ -46,12 +53,19 @@ def overall_accuracy(scores: DataFrame) -> DataFrame:
     )
 
 
-def score_table(df: DataFrame, labels: Sequence[str], pred_prefix: str = "pred_", drop_perfect: bool = False) -> DataFrame:
+def score_table(
+    df: DataFrame,
+    labels: Sequence[str],
+    pred_prefix: str = "pred_",
+    drop_perfect: bool = False,
+    weight_col: str | None = None,
+) -> DataFrame:
     """A1-A3 in one pass: the long table of label accuracies plus an
     ``overall`` row, all derived from the single aggregate row (the input is
-    scanned once; the unpivot works on one row)."""
+    scanned once; the unpivot works on one row).  ``weight_col`` makes each
+    row count as its weight."""
     labels = list(labels)
-    wide = _hit_counts(df, labels, pred_prefix)
+    wide = _hit_counts(df, labels, pred_prefix, weight_col)
     n = F.col("n_rows")
     kept = [F.col(lab) != n if drop_perfect else F.lit(True) for lab in labels]
     kept_hits = sum(F.when(k, F.col(lab)).otherwise(F.lit(0)) for k, lab in zip(kept, labels))

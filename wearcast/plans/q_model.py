@@ -39,14 +39,7 @@ def tree_score(spark, sf_dir):
     """Both strategies fitted and scored on the labelled line items
     (the single strategy with booleans as Yes/No categories)."""
     train = lineitem_training(spark, sf_dir)
-    out = None
-    for strategy, fit in M.STRATEGIES.items():
-        model = fit(train)
-        scored = M.score_model(model, train, strategy=strategy).select(
-            F.lit(strategy).alias("strategy"), "label", "accuracy"
-        )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    return M.fit_and_score(train, ("ddt", "sdt"))
 
 
 @register("model_roundtrip", _PRED_SQL)
