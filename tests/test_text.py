@@ -143,3 +143,21 @@ def test_all_logs_skip_foreign_files(spark, tmp_path):
     # a named file gets the .csv suffix
     named = read_activity_csv(spark, str(tmp_path / "a"), schema).collect()
     assert len(named) == 2
+
+
+def test_dimension_join_paths_and_strict(spark):
+    import pytest
+
+    from wearcast.operators.joins import join_dimension, small_enough
+
+    fact = spark.createDataFrame([("a", 1), ("b", 2)], "coord_key string, v int")
+    dim = spark.createDataFrame([("a", 1.0, 2.0)], "location string, latitude double, longitude double")
+    assert small_enough(dim, 1) and not small_enough(fact, 1)
+    big = join_dimension(fact, dim.withColumnRenamed("location", "coord_key"), "coord_key", max_rows=0)
+    plan = big._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()  # no hint above the proven bound
+    assert sorted(r.v for r in big.collect()) == [1, 2]
+    ok = with_coordinates(fact, dim)
+    assert {r.coord_key: r.found for r in ok.collect()} == {"a": True, "b": False}
+    with pytest.raises(Exception, match="no coordinates"):
+        with_coordinates(fact, dim, strict=True).collect()
