@@ -76,6 +76,7 @@ def test_log_compaction(spark):
     land(1, 40.0, 0)
     land(2, 41.0, 1)
     ingest()
+    time.sleep(1.5)
     snap = ST.compact_log(spark, log, margin=dt.timedelta(0))
     time.sleep(1.5)
     land(3, 42.0, 0)

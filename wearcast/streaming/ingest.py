@@ -130,7 +130,7 @@ def compact_log(
     ``margin``.  Re-reading a write is harmless because the newest write per
     key wins either way."""
     tz = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
-    cutoff = (dt.datetime.now(tz) - margin).strftime("%Y-%m-%dT%H:%M:%S")
+    cutoff = (dt.datetime.now(tz) - margin).strftime("%Y-%m-%d %H:%M:%S.%f")
     store = current_observations(spark, log_path, compacted=previous)
     path = write_snapshot(store, target or shared_path(spark, "observation_snapshots"))
     return path, cutoff
