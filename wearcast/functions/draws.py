@@ -65,3 +65,36 @@ def weighted_choice(row_id, seed: int, k: int, options: Sequence[str], weights:
         acc += w
         expr = F.when(u < acc, F.lit(opt)) if expr is None else expr.when(u < acc, F.lit(opt))
     return expr.otherwise(F.lit(options[-1]))
+
+
+# -- M5 / M6 / G7: rounding and derived quantities of generated draws -------
+def python_round(x, ndigits: int = 0) -> Column:
+    """Round half to even, as Python's ``round``."""
+    return F.bround(_col(x), ndigits)
+
+
+def clamp(x, lo: float, hi: float) -> Column:
+    """``min(hi, max(lo, x))``."""
+    return F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), _col(x)))
+
+
+def distance_for(duration, pace_draw) -> Column:
+    """M6: distance = duration / pace draw, at 2 dp."""
+    return python_round(_col(duration) / _col(pace_draw), 2)
+
+
+def pace(duration, distance) -> Column:
+    """M6: pace = duration / distance, at 2 dp."""
+    return python_round(_col(duration) / _col(distance), 2)
+
+
+def heat_index_or_sentinel(temp, split: float = 50.0, sentinel: float = -9999.0) -> Column:
+    """A generated temperature is a heat index from ``split`` up, else the sentinel."""
+    t = _col(temp)
+    return F.when(t >= split, t).otherwise(F.lit(sentinel))
+
+
+def wind_chill_or_sentinel(temp, split: float = 50.0, sentinel: float = -9999.0) -> Column:
+    """A generated temperature is a wind chill below ``split``, else the sentinel."""
+    t = _col(temp)
+    return F.when(t < split, t).otherwise(F.lit(sentinel))

@@ -26,6 +26,16 @@ def rename_workbook_headers(df: DataFrame, renames: dict[str, str] = S.WORKBOOK_
     return df.withColumnsRenamed(present) if present else df
 
 
+# -- U1 ---------------------------------------------------------------------
+def union_all_by_name(*frames: DataFrame) -> DataFrame:
+    """Union all rows, matching columns by name; a column missing from a
+    frame is NULL there."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 # -- P2 ---------------------------------------------------------------------
 def drop_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Drop the named columns if present."""

@@ -34,14 +34,14 @@ def random_scenarios(ids: DataFrame, seed: int = 7, year: int = 2024, row_id: st
     day = D.randrange(r, seed, 2, 1, 28)
     hour = D.randrange(r, seed, 3, 5, 21)
     pchance = D.randrange(r, seed, 4, 0, 100, 10)
-    temp = F.bround(D.normal(r, seed, 5, 55.0, 20.0), 0)
-    wind = F.least(F.lit(30.0), F.greatest(F.lit(0.0), F.bround(D.normal(r, seed, 6, 8.0, 8.0), 0)))
-    humidity = F.bround(D.normal(r, seed, 7, 55.0, 20.0), 0)
+    temp = D.python_round(D.normal(r, seed, 5, 55.0, 20.0))
+    wind = D.clamp(D.python_round(D.normal(r, seed, 6, 8.0, 8.0)), 0, 30)
+    humidity = D.python_round(D.normal(r, seed, 7, 55.0, 20.0))
     weights = [S.HIGH_WEIGHT] * len(S.HIGH_CONDITIONS) + [S.LOW_WEIGHT] * len(S.LOW_CONDITIONS)
     condition = D.weighted_choice(r, seed, 8, S.WEATHER_CONDITIONS, weights)
     wind_dir = D.choice(r, seed, 9, list(S.WIND_DIRECTION_NAMES_COMPAT))
     is_light = D.uniform(r, seed, 10) < 0.5
-    duration = F.greatest(F.lit(20.0), F.bround(D.normal(r, seed, 11, 45.0, 45.0), 0))
+    duration = F.greatest(F.lit(20.0), D.python_round(D.normal(r, seed, 11, 45.0, 45.0)))
     pace_draw = D.triangular(r, seed, 12, 8.0, 15.0, 10.5)
 
     base = ids.select(
@@ -55,16 +55,17 @@ def random_scenarios(ids: DataFrame, seed: int = 7, year: int = 2024, row_id: st
         wind_dir.alias("wind_dir"),
         is_light.alias("is_light"),
         duration.alias("duration"),
-        F.bround(duration / pace_draw, 2).alias("distance"),
+        D.distance_for(duration, pace_draw).alias("distance"),
     )
-    sentinel = F.lit(float(S.OBSERVATION_SENTINEL))
+    sentinel = float(S.OBSERVATION_SENTINEL)
     return base.select(
         "*",
         feels_like(
-            F.when(F.col("temp_f") >= 50, F.col("temp_f")).otherwise(sentinel),
-            F.when(F.col("temp_f") < 50, F.col("temp_f")).otherwise(sentinel),
+            D.heat_index_or_sentinel("temp_f", sentinel=sentinel),
+            D.wind_chill_or_sentinel("temp_f", sentinel=sentinel),
+            sentinel,
         ).alias("feels_like"),
-        F.bround(F.col("duration") / F.col("distance"), 2).alias("pace"),
+        D.pace("duration", "distance").alias("pace"),
         F.lit("Anytown, US").alias("location"),
         T.pick(S.OPENING_STATEMENTS, T.hashed_index("row_id", seed + 100)).alias("opening"),
         T.pick(S.CLOTHING_STATEMENTS, T.hashed_index("row_id", seed + 101)).alias("clothing_lead"),

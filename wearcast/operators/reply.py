@@ -147,3 +147,35 @@ def add_replies(
     oi = opening_index if opening_index is not None else T.hashed_index(row_id, seed)
     ci = clothing_index if clothing_index is not None else T.hashed_index(row_id, seed + 1)
     return df.withColumn(name, T.reply(conds, items, oi, ci, openings, clothing_leads))
+
+
+# -- J4 / X3 lookups over tables --------------------------------------------
+def label_items(
+    df: DataFrame, categorical=S.CATEGORICAL_LABELS, boolean=(), key: str = "row_id", value_col: str = "item"
+) -> DataFrame:
+    """One row per (row, label) with the label's value: categorical values as
+    they are, booleans as their n/y options.  A narrow explode, no shuffle."""
+    values = [F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias(value_col)) for c in categorical]
+    values += [
+        F.struct(F.lit(b).alias("label"), F.when(F.col(b), "y").when(~F.col(b), "n").alias(value_col)) for b in boolean
+    ]
+    return df.select(key, F.explode(F.array(*values)).alias("_i")).select(key, "_i.label", f"_i.{value_col}")
+
+
+def lookup_descriptions(df: DataFrame, resolved: DataFrame, item_col: str = "item") -> DataFrame:
+    """Each row's item looked up in a resolved description table
+    (``item, description, alt_description``); unknown or deleted items get
+    NULL.  The table is broadcast after a bounded size check."""
+    from wearcast.operators.joins import join_dimension
+
+    dim = resolved.withColumnRenamed("item", item_col) if item_col != "item" else resolved
+    return join_dimension(df, dim, on=item_col, how="left")
+
+
+def with_option_ordinal(df: DataFrame, options: DataFrame, label_col: str = "label", option_col: str = "option") -> DataFrame:
+    """The ordinal of each row's option in its label's option table
+    (NULL when the option is not offered)."""
+    from wearcast.operators.joins import join_dimension
+
+    dim = options.withColumnsRenamed({"label": label_col, "option": option_col})
+    return join_dimension(df, dim, on=[label_col, option_col], how="left")

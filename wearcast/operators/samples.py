@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearcast import schema as S
+from wearcast.operators.cleaning import union_all_by_name
 
 
 def observation_row(obs: DataFrame, struct_col: str = "obs") -> DataFrame:
@@ -61,4 +62,4 @@ def merge_samples(
 
 def append_samples(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Add rows to a sample table (columns matched by name)."""
-    return existing.unionByName(new, allowMissingColumns=True)
+    return union_all_by_name(existing, new)

@@ -222,5 +222,4 @@ def rename_union(spark, sf_dir):
     renames = {**S.WORKBOOK_RENAMES, "Row": "row_id"}
     a = C.rename_workbook_headers(a, renames)
     b = C.rename_workbook_headers(b, renames)
-    out = a.unionByName(b, allowMissingColumns=True)
-    return out.select("row_id", "distance", "duration", "condition", "wind_dir")
+    return C.union_all_by_name(a, b).select("row_id", "distance", "duration", "condition", "wind_dir")

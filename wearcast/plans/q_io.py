@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from wearcast import schema as S
 from wearcast.functions.phrases import temp_phrase
+from wearcast.operators.cleaning import union_all_by_name
 from wearcast.operators.generate import random_scenarios
-from wearcast.operators.joins import join_dimension
+from wearcast.operators.rules import outfit_from_rules
 from wearcast.operators.samples import append_samples, merge_samples
 from wearcast.plans.catalog import register, sql_str
 from wearcast.plans.inputs import EVENT_SCENARIO, event_scenarios, event_scenarios_sql, spark_view
@@ -112,8 +113,7 @@ def text_sources(spark, sf_dir):
     logs = FS.read_all_logs(spark, [(f"{base}/logs/*.csv", LOG_SCHEMA)]).withColumn("source", F.lit("log"))
     wb = FS.read_workbook_export(spark, f"{base}/workbook").withColumnRenamed("Row", "row_id")
     wb = wb.withColumn("row_id", F.col("row_id").cast("long")).withColumn("source", F.lit("workbook"))
-    out = logs.unionByName(wb, allowMissingColumns=True)
-    return out.select("row_id", "source", *_CLEAN)
+    return union_all_by_name(logs, wb).select("row_id", "source", *_CLEAN)
 
 
 # -- S6 / S11 / O1 / P11-P13 / U2 -------------------------------------------
@@ -184,15 +184,6 @@ SELECT c.row_id, c.condition, r.body_part, r.item FROM c JOIN r ON c.condition =
 WHERE r.activity = 'run'"""
 
 
-def outfit_from_rules(df, rules, activity: str, conditions):
-    """Items the rules name for each row's conditions (an array column of
-    condition names): one equi-join of the exploded conditions with the
-    activity's rules (a bounded asset, broadcast after a size check)."""
-    rows = df.select("row_id", F.explode(conditions).alias("condition")).filter(F.col("condition").isNotNull())
-    r = rules.filter(F.col("activity") == activity).select("condition", "body_part", "item")
-    return join_dimension(rows, r, on="condition", how="inner", max_rows=100_000)
-
-
 @register("clothing_rules", _rules_sql())
 def clothing_rules(spark, sf_dir):
     """The nested rules asset read from the shared folder and flattened,

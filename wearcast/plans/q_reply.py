@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 from wearcast import schema as S
 from wearcast.operators import cleaning as C
-from wearcast.operators.reply import add_replies, description_rows, profile, resolve_descriptions
+from wearcast.operators.reply import (
+    add_replies,
+    description_rows,
+    label_items,
+    lookup_descriptions,
+    profile,
+    resolve_descriptions,
+    with_option_ordinal,
+)
 from wearcast.plans.catalog import register, sql_list, sql_str
 from wearcast.plans.inputs import event_scenarios, event_scenarios_sql
 from wearcast.plans.q_cleaning import _clean_sql
@@ -44,15 +52,8 @@ def descriptions(spark, sf_dir):
     scenario looked up in it (broadcast join of a bounded profile table)."""
     s = event_scenarios(spark, sf_dir)
     resolved = resolve_descriptions(description_rows(spark, _BASE), description_rows(spark, _RUN))
-    items = s.select(
-        "row_id",
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("item")) for c in S.CATEGORICAL_LABELS])
-        ).alias("i"),
-    ).select("row_id", "i.label", "i.item")
-    return items.join(F.broadcast(resolved), on="item", how="left").select(
-        "row_id", "label", "item", "description", "alt_description"
-    )
+    items = label_items(s, S.CATEGORICAL_LABELS)
+    return lookup_descriptions(items, resolved).select("row_id", "label", "item", "description", "alt_description")
 
 
 def _list_sql(parts: list[str]) -> str:
@@ -113,15 +114,10 @@ FROM i LEFT JOIN o ON i.label = o.label AND i.option = o.option""",
 )
 def option_ordinals(spark, sf_dir):
     """The option table (label, ordinal, option; booleans as n/y) joined
-    to every label value of every scenario (a bounded table, broadcast)."""
+    to every label value of every scenario (a bounded table, broadcast after
+    a size check)."""
     from wearcast.operators.reply import option_table
 
     s = event_scenarios(spark, sf_dir)
-    values = [F.struct(F.lit(c).alias("label"), F.col(c).alias("option")) for c in S.CATEGORICAL_LABELS]
-    values += [
-        F.struct(F.lit(b).alias("label"), F.when(F.col(b), "y").when(~F.col(b), "n").alias("option"))
-        for b in S.BOOLEAN_LABELS
-    ]
-    items = s.select("row_id", F.explode(F.array(*values)).alias("i")).select("row_id", "i.label", "i.option")
-    out = items.join(F.broadcast(option_table(spark)), on=["label", "option"], how="left")
-    return out.select("row_id", "label", "option", "ordinal")
+    items = label_items(s, S.CATEGORICAL_LABELS, S.BOOLEAN_LABELS, value_col="option")
+    return with_option_ordinal(items, option_table(spark)).select("row_id", "label", "option", "ordinal")

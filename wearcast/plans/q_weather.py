@@ -10,7 +10,7 @@ from wearcast.functions import parsing as P
 from wearcast.functions import phrases as T
 from wearcast.functions import weather as W
 from wearcast.operators.observations import observations_from_points, units_valid
-from wearcast.plans.catalog import register, sql_list, sql_str
+from wearcast.plans.catalog import register, sql_list
 from wearcast.plans.inputs import _case, event_scenarios, event_scenarios_sql, spark_view, sql_view
 from wearcast.session import read_table
 
@@ -124,12 +124,13 @@ FROM h""",
 def numeric_readings(spark, sf_dir):
     """M1 humidity fraction, M2 feels-like fallback, M4 sentinel nulling at
     both thresholds (-999 for raw readings, -9999 for observations)."""
+    from wearcast.functions.draws import heat_index_or_sentinel
+
     s = _text_inputs(spark, sf_dir)
-    heat_index = F.when(F.col("feels_like") >= 50, F.col("feels_like")).otherwise(F.lit(-9999.0))
     return s.select(
         "row_id",
         W.humidity_fraction("value").alias("humidity"),
-        W.feels_like(heat_index, F.col("feels_like") - 3).alias("feels_like"),
+        W.feels_like(heat_index_or_sentinel("feels_like"), F.col("feels_like") - 3).alias("feels_like"),
         "reading",
         P.sentinel_null(F.col("reading")).alias("reading_value"),
         P.sentinel_null(F.col("reading"), S.OBSERVATION_SENTINEL).alias("reading_value_obs"),
@@ -219,15 +220,17 @@ SELECT row_id, LEAST(30.0, GREATEST(0.0, round_even(value / 10 - 5, 0))) AS wind
 FROM d""",
 )
 def python_round(spark, sf_dir):
-    """M5 clamp of a half-to-even rounded draw; M6 distance and pace at 2 dp."""
+    """M5 clamp of a half-to-even rounded draw; M6 distance and pace at 2 dp
+    (the value column stands in for the draws)."""
+    from wearcast.functions import draws as D
+
     s = _text_inputs(spark, sf_dir)
-    distance = F.bround(F.col("duration") / (8 + F.col("value") / 70), 2)
-    d = s.select("row_id", "value", "duration", distance.alias("distance"))
+    d = s.select("row_id", "value", "duration", D.distance_for("duration", 8 + F.col("value") / 70).alias("distance"))
     return d.select(
         "row_id",
-        F.least(F.lit(30.0), F.greatest(F.lit(0.0), F.bround(F.col("value") / 10 - 5, 0))).alias("wind_draw"),
+        D.clamp(D.python_round(F.col("value") / 10 - 5), 0, 30).alias("wind_draw"),
         "distance",
-        F.bround(F.col("duration") / F.col("distance"), 2).alias("pace"),
+        D.pace("duration", "distance").alias("pace"),
     )
 
 

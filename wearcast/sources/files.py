@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 from wearcast import schema as S
 from wearcast.functions.parsing import parse_bool
-from wearcast.operators.cleaning import drop_columns, drop_empty_rows, rename_workbook_headers
+from wearcast.operators.cleaning import drop_columns, drop_empty_rows, rename_workbook_headers, union_all_by_name
 
 
 def _text_schema(schema: T.StructType) -> T.StructType:
@@ -73,7 +72,7 @@ def read_all_logs(spark: SparkSession, families: Sequence[tuple[str, T.StructTyp
             .csv(glob)
         )
         frames.append(_parse_bools(df, schema))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return union_all_by_name(*frames)
 
 
 # -- S3 ---------------------------------------------------------------------
