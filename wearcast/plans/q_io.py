@@ -14,7 +14,7 @@ from wearcast.functions.phrases import temp_phrase
 from wearcast.operators.cleaning import union_all_by_name
 from wearcast.operators.generate import random_scenarios
 from wearcast.operators.rules import outfit_from_rules
-from wearcast.operators.samples import append_samples, merge_samples
+from wearcast.operators.samples import append_samples, merge_samples, observation_row
 from wearcast.plans.catalog import register, sql_str
 from wearcast.plans.inputs import EVENT_SCENARIO, event_scenarios, event_scenarios_sql, spark_view
 from wearcast.plans.q_weather import _temp_sql
@@ -135,12 +135,14 @@ SELECT row_id, {", ".join(sel)}, 'default' AS Athlete, 'Run' AS activity FROM s"
 
 @register("sample_sink", _sample_sql())
 def sample_sink(spark, sf_dir):
-    """P11-P13 + U2 + S11 + S6: sample rows merged from outfits, forecasts and
-    explicit overrides (clicks set the duration to 45 and clear gloves),
-    appended to the empty template, written as CSV and read back."""
+    """P11-P13 + U2 + S11 + S6: sample rows merged from outfits, forecasts
+    (observation structs flattened to columns) and explicit overrides (clicks
+    set the duration to 45 and clear gloves), appended to the empty template,
+    written as CSV and read back."""
     s = event_scenarios(spark, sf_dir)
     outfits = s.select("row_id", *S.LABELS)
-    forecasts = s.select("row_id", *S.FEATURES, "bearing", "value")
+    observed = s.select("row_id", F.struct(*S.FEATURES, "bearing", "value").alias("obs"))
+    forecasts = observation_row(observed)
     overrides = s.filter(F.col("event_type") == "click").select(
         "row_id", F.lit(45.0).alias("duration"), F.lit(None).cast("boolean").alias("gloves")
     )
