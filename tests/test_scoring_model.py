@@ -112,3 +112,23 @@ def test_recommend_consistent_with_model(spark):
     direct = M.predict_outfit(spark, model, feels_like=10.0, wind_speed=8.0, pct_humidity=0.5, duration=30.0, is_light=True)
     assert {lab: getattr(early[1], f"pred_{lab}") for lab in S.LABELS} == direct
     assert early[1].reply.endswith(". ")
+
+
+def test_native_predictions_equal_transform(spark):
+    from pyspark.ml import PipelineModel
+
+    train = lineitem_training(spark, SMALL)
+    model = M.fit_dual(train, compress=False)
+    assert M.native_predictions(model) is not None
+    native = M.predict_outfits(model, train)
+    direct = model.transform(train).select("row_id", *[f"pred_{lab}" for lab in S.LABELS])
+    assert native.exceptAll(direct).count() == 0 and direct.exceptAll(native).count() == 0
+    # a model with a stage that has no native form falls back to transform,
+    # also when feature values are given as expressions
+    wrapped = PipelineModel(stages=[*model.stages, PipelineModel(stages=[])])
+    assert M.native_predictions(wrapped) is None
+    doubled = {"duration": F.col("duration") * 2}
+    a = M.apply_model(wrapped, train, features=doubled).select("row_id", "duration", "pred_heavy_socks")
+    b = M.apply_model(model, train, features=doubled).select("row_id", "duration", "pred_heavy_socks")
+    assert a.exceptAll(b).count() == 0
+    assert a.agg(F.max("duration")).collect()[0][0] == train.agg(F.max("duration")).collect()[0][0]

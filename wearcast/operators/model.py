@@ -8,22 +8,26 @@
   fitted from a thread pool so their per-level jobs overlap (each fit is
   itself data-parallel: one aggregation of split statistics per tree level).
 * The fitted model is one ``PipelineModel`` (assembler, trees, label
-  converters), so prediction is a single narrow transform and the
-  model saves and loads with the standard ML writer.
+  converters) that saves and loads with the standard ML writer.
+  Prediction compiles each fitted tree into a nested CASE over the feature
+  columns (``native_predictions``), so scoring a row is a few native
+  comparisons inside whole-stage codegen instead of ten UDF calls on a
+  feature vector; models with other stages fall back to ``transform``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearcast import schema as S
@@ -152,9 +156,84 @@ STRATEGIES = {"ddt": fit_dual, "sdt": fit_single}
 
 
 # -- L2 / L3 ----------------------------------------------------------------
+_SPLIT = re.compile(r"^If \(feature (\d+) <= (\S+)\)$")
+_LEAF = re.compile(r"^Predict: (\S+)$")
+
+
+def _tree_column(debug: str, features: list[Column]) -> Column:
+    """A fitted tree as a nested CASE over the feature columns (continuous
+    splits: ``feature <= threshold`` goes left, NaN goes right, as in the
+    tree's own predict).  Raises ValueError on any other node form."""
+    lines = iter(line.strip() for line in debug.splitlines()[1:] if line.strip())
+
+    def node() -> Column:
+        line = next(lines)
+        leaf = _LEAF.match(line)
+        if leaf:
+            return F.lit(float(leaf.group(1)))
+        split = _SPLIT.match(line)
+        if not split:
+            raise ValueError(f"unsupported tree node: {line}")
+        left = node()
+        if not next(lines).startswith("Else ("):
+            raise ValueError("malformed tree")
+        right = node()
+        return F.when(features[int(split.group(1))] <= F.lit(float(split.group(2))), left).otherwise(right)
+
+    return node()
+
+
+def native_predictions(model: PipelineModel, features: dict | None = None) -> dict[str, Column] | None:
+    """``pred_<label>`` columns computed as native expressions (no UDF, no
+    feature vector), equal to the model's own transform; None when the model
+    has a stage this cannot express.  ``features`` may give a Column per
+    feature name (default: the columns of that name)."""
+    stages = model.stages
+    if not stages or not isinstance(stages[0], VectorAssembler):
+        return None
+    names = stages[0].getInputCols()
+    feats = [(features or {}).get(n, F.col(n)).cast("double") for n in names]
+    raw: dict[str, Column] = {}
+    out: dict[str, Column] = {}
+    try:
+        for st in stages[1:]:
+            if isinstance(st, DecisionTreeClassificationModel):
+                raw[st.getPredictionCol()] = _tree_column(st.toDebugString, feats)
+            elif isinstance(st, IndexToString):
+                arr = F.array(*[F.lit(v) for v in st.getLabels()])
+                out[st.getOutputCol()] = F.element_at(arr, raw[st.getInputCol()].cast("int") + 1)
+            elif isinstance(st, SQLTransformer):
+                for m in re.finditer(r"CAST\((\w+) = 1\.0 AS BOOLEAN\) AS (\w+)", st.getStatement()):
+                    out[m.group(2)] = raw[m.group(1)] == F.lit(1.0)
+            else:
+                return None
+    except (ValueError, KeyError, StopIteration):
+        return None
+    return out
+
+
+def apply_model(model: PipelineModel, df: DataFrame, features: dict | None = None) -> DataFrame:
+    """``df`` plus ``pred_<label>`` columns: native expressions when the
+    model allows (one codegen'd projection), else the pipeline transform."""
+    native = native_predictions(model, features)
+    if native is not None:
+        return df.withColumns(native)
+    if not features:
+        out = model.transform(df)
+        return out.select(*df.columns, *[c for c in out.columns if c.startswith("pred_")])
+    # Transform with the given feature values in place of the columns of
+    # those names, then put the original columns back.
+    saved = {n: f"__orig_{n}" for n in features if n in df.columns}
+    staged = df.withColumns({f"__in_{n}": e for n, e in features.items()})
+    swapped = staged.withColumnsRenamed(saved).withColumnsRenamed({f"__in_{n}": n for n in features})
+    out = model.transform(swapped)
+    preds = [c for c in out.columns if c.startswith("pred_")]
+    return out.select(*[F.col(saved.get(c, c)).alias(c) for c in df.columns], *preds)
+
+
 def predict_outfits(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """Batch predict: the kept columns plus ``pred_<label>`` per label."""
-    out = model.transform(df)
+    out = apply_model(model, df)
     preds = [c for c in out.columns if c.startswith("pred_")]
     return out.select(*[c for c in keep if c in out.columns], *preds)
 
@@ -183,9 +262,9 @@ def score_model(
     from far fewer tree evaluations when readings repeat."""
     actual = booleans_to_yes_no(df, S.BOOLEAN_LABELS) if strategy == "sdt" else df
     if not compress:
-        return score_table(model.transform(actual), S.LABELS, drop_perfect=drop_perfect)
+        return score_table(apply_model(model, actual), S.LABELS, drop_perfect=drop_perfect)
     grouped = actual.groupBy(*S.FEATURES, *S.LABELS).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
-    return score_table(model.transform(grouped), S.LABELS, drop_perfect=drop_perfect, weight_col=WEIGHT_COL)
+    return score_table(apply_model(model, grouped), S.LABELS, drop_perfect=drop_perfect, weight_col=WEIGHT_COL)
 
 
 def fit_and_score(df: DataFrame, strategies=("ddt", "sdt"), drop_perfect: bool = False, **fit_kw) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearcast import schema as S
+from wearcast.operators.model import apply_model
 from wearcast.operators.reply import Descriptions, add_replies
 from wearcast.operators.store import routed_lookup
 
@@ -41,26 +42,20 @@ def recommend(
     usable = F.col("found")
     for c in [*_OBS, "duration", "is_light"]:
         usable = usable & F.col(c).isNotNull()
-    base_cols = [c for c in looked.columns]
-    # The model needs complete feature vectors: missing values are filled only
+    base_cols = list(looked.columns)
+    # The model needs complete feature values: missing ones are filled only
     # for its input, and every result of an unusable row is nulled after.
-    filled = looked.withColumn("usable", usable).withColumns(
-        {f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*_OBS, "duration"]}
-        | {"_in_is_light": F.coalesce(F.col("is_light"), F.lit(False))}
-    )
-    swapped = filled.withColumnsRenamed({c: f"_orig_{c}" for c in [*_OBS, "duration", "is_light"]})
-    swapped = swapped.withColumnsRenamed({f"_in_{c}": c for c in [*_OBS, "duration", "is_light"]})
-    scored = model.transform(swapped)
-    preds = {lab: F.when(F.col("usable"), F.col(f"pred_{lab}")) for lab in S.LABELS if f"pred_{lab}" in scored.columns}
+    inputs = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*_OBS, "duration"]}
+    inputs["is_light"] = F.coalesce(F.col("is_light"), F.lit(False))
+    scored = apply_model(model, looked.withColumn("usable", usable), features=inputs)
+    labels = [lab for lab in S.LABELS if f"pred_{lab}" in scored.columns]
     out = scored.select(
-        *[F.col(f"_orig_{c}").alias(c) if c in [*_OBS, "duration", "is_light"] else F.col(c) for c in base_cols],
-        "usable",
-        *[v.alias(lab) for lab, v in preds.items()],
+        *base_cols, "usable", *[F.when(F.col("usable"), F.col(f"pred_{lab}")).alias(lab) for lab in labels]
     )
     replied = add_replies(out, descriptions, row_id=row_id)
     return replied.select(
         *base_cols,
         "usable",
-        *[F.col(lab).alias(f"pred_{lab}") for lab in preds],
+        *[F.col(lab).alias(f"pred_{lab}") for lab in labels],
         F.when(F.col("usable"), F.col("reply")).alias("reply"),
     )

@@ -145,7 +145,9 @@ def start_scoring(
     available_now: bool = True,
 ) -> StreamingQuery:
     """ST2: stateless scoring of arriving scenarios, appended to ``out_path``."""
-    pred = model.transform(stream)
+    from wearcast.operators.model import apply_model
+
+    pred = apply_model(model, stream)
     cols = [c for c in keep if c in pred.columns] + [c for c in pred.columns if c.startswith("pred_")]
     ckpt = checkpoint or shared_path(stream.sparkSession, "streams", "scoring")
     writer = pred.select(*cols).writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
