@@ -59,7 +59,7 @@ def test_parse_bool_spellings(spark):
     assert got == [True] * 4 + [False] * 4 + [True, False, None, None]
 
 
-def test_clean_pipeline_order_and_columns(spark):
+def test_clean_log_order_and_columns(spark):
     rows = [
         # feels, wind, hum, dur, light, outer, base, jacket, legs, shoe, 5 booleans, activity, Athlete
         (40.0, 5.0, 50.0, 30.0, True, "None", "Long-sleeve", "None", "Capri", "None", True, None, False, False, False, "Run", "me"),

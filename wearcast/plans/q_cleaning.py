@@ -172,8 +172,8 @@ f AS (SELECT *, {fixed_outer} AS fo, {fixed_base} AS fb FROM s
 SELECT {", ".join(sel)} FROM f WHERE activity = 'Run'"""
 
 
-@register("clean_pipeline", _clean_sql())
-def clean_pipeline(spark, sf_dir):
+@register("clean_log", _clean_sql())
+def clean_log(spark, sf_dir):
     """The whole clean-up in order (fill, humidity scale, layers, domains,
     activity, drops, keep) over every event scenario."""
     s = event_scenarios(spark, sf_dir)
