@@ -322,9 +322,19 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
     return PipelineModel.load(ptr["path"])
 
 
-def data_modified(df: DataFrame) -> dt.datetime | None:
-    """Newest modification time of the files behind a file-based table."""
-    row = df.select(F.max("_metadata.file_modification_time").alias("m")).collect()[0]
+def data_modified(spark: SparkSession, path: str, glob: str = "*.parquet") -> dt.datetime | None:
+    """Newest modification time of the files under ``path``: one row per file
+    from the file listing (the binary-file source reads no content when only
+    the modification time is selected), so the check costs a listing, not a
+    scan of the data."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select("modificationTime")
+    )
+    row = files.agg(F.max("modificationTime").alias("m")).collect()[0]
     return row["m"]
 
 
@@ -341,7 +351,8 @@ def get_model(
     """L7 + F7: load the stored model unless it is missing or older than the
     training files; otherwise fit, save a new version and return it.
     ``data_mtime`` is the newest modification time of the training files
-    (see ``data_modified``).  Returns ``(model, retrained)``."""
+    (see ``data_modified``).  Returns ``(model, retrained)``.  Modification
+    times are compared as naive timestamps in the session time zone."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; use one of {sorted(STRATEGIES)}")
     path = model_path(base_path, athlete, activity, strategy)

@@ -47,10 +47,11 @@ def model_roundtrip(spark, sf_dir):
     """S8 + L7 + F7: train-or-load against the training files' modification
     time: the first call fits and saves a new version, the second finds it
     fresh and loads it; the loaded model predicts every line item."""
-    raw = read_table(spark, sf_dir, "lineitem")
+    from wearcast.session import table_path
+
     train = lineitem_training(spark, sf_dir)
     base = shared_path(spark, "models")
-    mtime = M.data_modified(raw)
+    mtime = M.data_modified(spark, table_path(sf_dir, "lineitem"))
     _, retrained = M.get_model(spark, train, base, "ddt", data_mtime=mtime)
     loaded, retrained_again = M.get_model(spark, train, base, "ddt", data_mtime=mtime)
     if not retrained or retrained_again:
