@@ -89,3 +89,16 @@ def test_routing_freshness_and_fetch_plan(spark):
     hist = spark.createDataFrame([("a", dt.date(2024, 1, 1))], "location_key string, obs_date date")
     assert [tuple(r) for r in ST.fetch_plan(req, hist).collect()] == [("a", dt.date(2024, 1, 2))]
 
+
+
+def test_quarantine_split(spark):
+
+
+    from wearcast.functions.parsing import try_number
+    from wearcast.operators.observations import quarantine, units_valid
+
+    df = spark.createDataFrame([("metric", "1.5"), ("kelvin", "2"), (None, "x"), ("english", None)], "units string, r string")
+    good, bad = quarantine(df, units_valid("units") & try_number("r").isNotNull())
+    assert [r.units for r in good.collect()] == ["metric"]
+    assert sorted(str(r.units) for r in bad.collect()) == ["None", "english", "kelvin"]
+

@@ -58,3 +58,11 @@ def units_valid(units_col) -> F.Column:
     """V1 as a flag (for a quarantine split instead of failing the job)."""
     c = F.col(units_col) if isinstance(units_col, str) else units_col
     return F.coalesce(c.isin(S.UNITS), F.lit(False))
+
+
+def quarantine(df: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
+    """V1/V2 as a split instead of a failure: (rows where ``valid`` holds,
+    rows where it is false or NULL).  Both halves read the same input; cache
+    it first if it is expensive."""
+    ok = F.coalesce(valid, F.lit(False))
+    return df.filter(ok), df.filter(~ok)
