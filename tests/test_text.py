@@ -161,3 +161,11 @@ def test_dimension_join_paths_and_strict(spark):
     assert {r.coord_key: r.found for r in ok.collect()} == {"a": True, "b": False}
     with pytest.raises(Exception, match="no coordinates"):
         with_coordinates(fact, dim, strict=True).collect()
+
+
+def test_coordinates_seeded_when_missing(spark, tmp_path):
+    path = str(tmp_path / "location_cache")
+    first = read_coordinates(spark, path, seed_missing=True)
+    assert sorted(r.location for r in first.collect()) == ["72712", "AR-Bentonville"]
+    again = read_coordinates(spark, path)  # now read from the written table
+    assert again.count() == 2

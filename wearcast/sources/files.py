@@ -96,13 +96,18 @@ def read_workbook_export(spark: SparkSession, path: str, first_columns: int = 25
 
 
 # -- S5 ---------------------------------------------------------------------
-def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
+def read_coordinates(spark: SparkSession, path: str, seed_missing: bool = False) -> DataFrame:
     """``location, latitude, longitude`` (location stays text, so zip
-    codes keep leading zeros); the two default rows when no table exists."""
+    codes keep leading zeros); the two default rows when no table exists,
+    written to ``path`` first with ``seed_missing``."""
     try:
         return spark.read.schema(S.COORDINATE_SCHEMA).option("header", True).csv(path)
     except AnalysisException:
-        return spark.createDataFrame(S.DEFAULT_COORDINATES, S.COORDINATE_SCHEMA)
+        defaults = spark.createDataFrame(S.DEFAULT_COORDINATES, S.COORDINATE_SCHEMA)
+        if not seed_missing:
+            return defaults
+        defaults.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+        return spark.read.schema(S.COORDINATE_SCHEMA).option("header", True).csv(path)
 
 
 # -- S9 ---------------------------------------------------------------------
