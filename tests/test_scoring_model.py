@@ -132,3 +132,24 @@ def test_native_predictions_equal_transform(spark):
     b = M.apply_model(model, train, features=doubled).select("row_id", "duration", "pred_heavy_socks")
     assert a.exceptAll(b).count() == 0
     assert a.agg(F.max("duration")).collect()[0][0] == train.agg(F.max("duration")).collect()[0][0]
+
+
+def test_native_predictions_on_continuous_random_data(spark):
+    # arbitrary double thresholds and impure leaves: the compiled trees must
+    # still agree with the model's own transform on every row
+    df = spark.range(6000).select(
+        F.col("id").alias("row_id"),
+        (F.rand(1) * 100 - 20).alias("feels_like"),
+        (F.rand(2) * 30).alias("wind_speed"),
+        F.rand(3).alias("pct_humidity"),
+        (F.rand(4) * 180).alias("duration"),
+        (F.rand(5) < 0.5).alias("is_light"),
+    )
+    df = df.withColumns({
+        "outer_layer": F.when(F.rand(6) < 0.4, "Long-sleeve").when(F.col("feels_like") < 30, "Sweatshirt-Heavy").otherwise("Short-sleeve"),
+        "gloves": (F.col("feels_like") + F.rand(7) * 40) < 30,
+    }).cache()
+    model = M.fit_trees(df, ["outer_layer"], ["gloves"], compress=False)
+    native = M.predict_outfits(model, df)
+    direct = model.transform(df).select("row_id", "pred_outer_layer", "pred_gloves")
+    assert native.exceptAll(direct).count() == 0 and direct.exceptAll(native).count() == 0
