@@ -83,6 +83,7 @@ def fit_trees(
     parallelism: int = 10,
     compress: bool = True,
     rows_per_partition: int = 1_000_000,
+    weight_col: str | None = None,
 ) -> PipelineModel:
     """One tree per label: categorical labels are string-indexed (alphabetical,
     so indices do not depend on frequencies), boolean labels are 0/1.
@@ -97,11 +98,16 @@ def fit_trees(
     ``rows_per_partition`` rows, so small inputs do not pay per-task overhead
     at every tree level and large ones keep full parallelism.
 
+    ``weight_col`` marks input that is already weighted (each row counting
+    as its weight), which is used as it is.
+
     The returned model needs only the feature columns: assembler, the trees,
     then converters back to label values (``pred_<label>``)."""
     categorical, boolean, features = list(categorical), list(boolean), list(features)
     cols = [*features, *categorical, *boolean]
-    if compress:
+    if weight_col is not None:
+        base = df.select(*cols, F.col(weight_col).cast("double").alias(WEIGHT_COL))
+    elif compress:
         base = df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
     else:
         base = df.select(*cols, F.lit(1.0).alias(WEIGHT_COL))
@@ -252,15 +258,23 @@ def predict_outfit(spark: SparkSession, model: PipelineModel, **features) -> dic
 
 # -- L4 / L6 ----------------------------------------------------------------
 def score_model(
-    model: PipelineModel, df: DataFrame, strategy: str = "ddt", drop_perfect: bool = False, compress: bool = True
+    model: PipelineModel,
+    df: DataFrame,
+    strategy: str = "ddt",
+    drop_perfect: bool = False,
+    compress: bool = True,
+    weight_col: str | None = None,
 ) -> DataFrame:
     """Predict on a labelled table and score every label (plus overall).
 
     With ``compress`` the table is first grouped to distinct (features,
     labels) combinations weighted by their count, and each combination is
     predicted once: the accuracies are the same weighted counts, computed
-    from far fewer tree evaluations when readings repeat."""
+    from far fewer tree evaluations when readings repeat.  ``weight_col``
+    marks input that is already weighted."""
     actual = booleans_to_yes_no(df, S.BOOLEAN_LABELS) if strategy == "sdt" else df
+    if weight_col is not None:
+        return score_table(apply_model(model, actual), S.LABELS, drop_perfect=drop_perfect, weight_col=weight_col)
     if not compress:
         return score_table(apply_model(model, actual), S.LABELS, drop_perfect=drop_perfect)
     grouped = actual.groupBy(*S.FEATURES, *S.LABELS).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
@@ -269,16 +283,27 @@ def score_model(
 
 def fit_and_score(df: DataFrame, strategies=("ddt", "sdt"), drop_perfect: bool = False, **fit_kw) -> DataFrame:
     """Fit each strategy on ``df`` and score it there, the strategies running
-    concurrently; ``(strategy, label, accuracy)`` rows, ``overall`` included."""
+    concurrently; ``(strategy, label, accuracy)`` rows, ``overall`` included.
+    The rows are grouped to weighted distinct (features, labels) once and
+    cached, and every fit and score reads that."""
+    weighted = (
+        df.groupBy(*S.FEATURES, *S.LABELS)
+        .agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
 
     def one(name: str) -> DataFrame:
-        model = STRATEGIES[name](df, **fit_kw)
-        scored = score_model(model, df, strategy=name, drop_perfect=drop_perfect)
+        model = STRATEGIES[name](weighted, weight_col=WEIGHT_COL, **fit_kw)
+        scored = score_model(model, weighted, strategy=name, drop_perfect=drop_perfect, weight_col=WEIGHT_COL)
         rows = scored.collect()  # one row per label: bounded by the label count
         return [(name, r["label"], r["accuracy"]) for r in rows]
 
-    with ThreadPoolExecutor(max_workers=len(strategies)) as pool:
-        results = [row for rows in pool.map(one, strategies) for row in rows]
+    try:
+        weighted.count()
+        with ThreadPoolExecutor(max_workers=len(strategies)) as pool:
+            results = [row for rows in pool.map(one, strategies) for row in rows]
+    finally:
+        weighted.unpersist()
     return df.sparkSession.createDataFrame(results, "strategy string, label string, accuracy double")
 
 
