@@ -87,3 +87,28 @@ def test_log_compaction(spark):
     # the compacted read takes only the batches ingested after the cutoff
     assert ST._read_log(spark, log, None, snap[1]).count() == 1
     assert ST._read_log(spark, log, None, None).count() == 3
+
+
+def test_chained_compaction(spark):
+    import datetime as dt
+    import json
+    import time
+
+    base = shared_path(spark, "test_chain")
+    landing, log = f"{base}/landing", f"{base}/log"
+    t0 = 1_704_067_200
+
+    def land_and_ingest(seq, temp, hour):
+        doc = {"location": "b", "snapshot_ts": f"2024-01-02T0{seq}:00:00.000000", "seq": seq,
+               "hourly": {"data": [{"time": t0 + 3600 * hour, "icon": "fog", "temperature": temp}]}}
+        spark.createDataFrame([(json.dumps(doc),)], "value string").write.mode("append").text(landing)
+        ST.start_observation_log(ST.observation_stream(spark, landing), log, checkpoint=f"{base}/ckpt").awaitTermination()
+        time.sleep(1.2)
+
+    land_and_ingest(1, 30.0, 0)
+    first = ST.compact_log(spark, log, margin=dt.timedelta(0))
+    land_and_ingest(2, 31.0, 1)
+    second = ST.compact_log(spark, log, previous=first, margin=dt.timedelta(0))
+    land_and_ingest(3, 32.0, 0)
+    got = {r.obs_hour.hour: r.temp_f for r in ST.current_observations(spark, log, compacted=second).collect()}
+    assert got == {0: 32.0, 1: 31.0}

@@ -102,3 +102,14 @@ def test_quarantine_split(spark):
     assert [r.units for r in good.collect()] == ["metric"]
     assert sorted(str(r.units) for r in bad.collect()) == ["None", "english", "kelvin"]
 
+
+
+def test_multiline_json_documents(spark, tmp_path):
+    doc = {"location": "72712", "hourly": {"data": [
+        {"time": T0, "icon": "snow", "temperature": 20.0, "apparentTemperature": 12.0, "windSpeed": 9.0,
+         "windBearing": 180.0, "precipProbability": 0.8, "humidity": 0.9}]}}
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=2))
+    (tmp_path / "b.json").write_text(json.dumps({"location": "x"}, indent=2))
+    pts = explode_hourly(read_hourly_json(spark, str(tmp_path), multi_line=True), ["location"])
+    rows = observations_from_points(pts).collect()
+    assert [(r.location_key, r.condition, r.wind_dir, r.feels_like) for r in rows] == [("72712", "snow", "S", 12.0)]
