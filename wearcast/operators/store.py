@@ -57,7 +57,10 @@ def upsert_days(
     other days of ``history`` are kept as they are."""
     day_keys = list(day_keys)
     fresh_latest = latest_per_key(fresh, keys, order)
-    fresh_days = fresh_latest.select(*day_keys).distinct()
+    # The replaced days come from the raw fresh rows (a hash aggregate on two
+    # columns): the same set as the newest writes' days, without evaluating
+    # the newest-write aggregate a second time.
+    fresh_days = fresh.select(*day_keys).distinct()
     kept = history.join(fresh_days, on=day_keys, how="left_anti")
     return kept.unionByName(fresh_latest.select(*history.columns))
 
