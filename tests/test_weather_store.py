@@ -113,3 +113,18 @@ def test_multiline_json_documents(spark, tmp_path):
     pts = explode_hourly(read_hourly_json(spark, str(tmp_path), multi_line=True), ["location"])
     rows = observations_from_points(pts).collect()
     assert [(r.location_key, r.condition, r.wind_dir, r.feels_like) for r in rows] == [("72712", "snow", "S", 12.0)]
+
+
+def test_repeated_dst_hour_keeps_later_epoch(spark, tmp_path):
+    # 2024-11-03 01:30 happens twice in America/Chicago (CDT, then CST)
+    first, second = 1_730_615_400, 1_730_619_000
+    doc = {"location": "72712", "hourly": {"data": [
+        {"time": first, "icon": "clear-night", "temperature": 40.0},
+        {"time": second, "icon": "cloudy", "temperature": 38.0}]}}
+    (tmp_path / "dst.json").write_text(json.dumps(doc))
+    pts = explode_hourly(read_hourly_json(spark, str(tmp_path / "dst.json")), ["location"])
+    obs = observations_from_points(pts, tz="America/Chicago")
+    hours = {r.obs_hour for r in obs.collect()}
+    assert len(hours) == 1 and next(iter(hours)).hour == 1
+    latest = ST.latest_per_key(obs.select("location_key", "obs_hour", "epoch", "temp_f"), order=("epoch",)).collect()
+    assert [(r.epoch, r.temp_f) for r in latest] == [(second, 38.0)]
