@@ -169,3 +169,19 @@ def test_coordinates_seeded_when_missing(spark, tmp_path):
     assert sorted(r.location for r in first.collect()) == ["72712", "AR-Bentonville"]
     again = read_coordinates(spark, path)  # now read from the written table
     assert again.count() == 2
+
+
+def test_activity_log_in_its_own_column_order(spark, tmp_path):
+    from wearcast.sources.files import read_activity_csv
+
+    header = ("location,condition,feels_like,heat_index,temp_f,wind_dir,wind_speed,precip_chance,tod,month_day,mth,dow,"
+              "civil_time,is_light,pct_humidity,timestamp,is_daylight,arm_warmers,base_layer,ears_hat,face_cover,gloves,"
+              "heavy_socks,jacket,lower_body,outer_layer,shoe_cover,duration")
+    row = (",clear,41,0,41,NW,7,0,7,3,2,Sunday,7:00:00 AM,TRUE,64,2/3/2019 7:00,TRUE,FALSE,Long-sleeve,TRUE,FALSE,"
+           "TRUE,FALSE,None,Long tights,None,None,45")
+    (tmp_path / "log.csv").write_text(header + "\n" + row + "\n")
+    r = read_activity_csv(spark, str(tmp_path / "log")).collect()[0]
+    assert (r.feels_like, r.wind_speed, r.pct_humidity, r.duration) == (41.0, 7.0, 64.0, 45.0)
+    assert (r.is_light, r.ears_hat, r.gloves, r.arm_warmers) == (True, True, True, False)
+    assert (r.base_layer, r.outer_layer, r.jacket, r.lower_body) == ("Long-sleeve", "None", "None", "Long tights")
+    assert r.location is None and r.dow == "Sunday"

@@ -43,36 +43,50 @@ def csv_path(path: str) -> str:
     return stem + ".csv"
 
 
-def read_activity_csv(spark: SparkSession, path: str, schema: T.StructType = S.ACTIVITY_LOG_SCHEMA) -> DataFrame:
-    """A labelled activity log CSV with header; a missing path fails, and
-    so does a header that does not name the schema's columns in order."""
+def _header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """The declared types ordered as the header of the first file under
+    ``path`` names its columns (undeclared columns are read as text)."""
+    header = spark.read.option("header", True).csv(path).columns
+    declared = {f.name: f.dataType for f in schema}
+    return T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])
+
+
+def _by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns by name, typed, missing ones NULL; others kept."""
+    declared = [
+        F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema
+    ]
+    extra = [c for c in df.columns if c not in schema.fieldNames()]
+    return df.select(*declared, *extra)
+
+
+def _read_family(spark: SparkSession, path: str, schema: T.StructType, mode: str) -> DataFrame:
+    ordered = _header_schema(spark, path, schema)
     df = (
-        spark.read.schema(_text_schema(schema))
+        spark.read.schema(_text_schema(ordered))
         .option("header", True)
         .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .csv(csv_path(path))
+        .option("mode", mode)
+        .option("ignoreCorruptFiles", True)
+        .csv(path)
     )
-    return _parse_bools(df, schema)
+    return _by_name(_parse_bools(df, ordered), schema)
+
+
+def read_activity_csv(spark: SparkSession, path: str, schema: T.StructType = S.ACTIVITY_LOG_SCHEMA) -> DataFrame:
+    """A labelled activity log CSV with header; a missing path fails.
+    Columns are matched by header name (any order), typed by ``schema``;
+    declared columns the file lacks are NULL."""
+    return _read_family(spark, csv_path(path), schema, "PERMISSIVE")
 
 
 # -- S2 / U1 ----------------------------------------------------------------
 def read_all_logs(spark: SparkSession, families: Sequence[tuple[str, T.StructType]]) -> DataFrame:
     """Every CSV of each schema family (glob, schema), unioned by column
-    name with missing columns as NULL.  Unreadable files are skipped and
-    malformed lines dropped instead of failing the scan."""
-    frames = []
-    for glob, schema in families:
-        df = (
-            spark.read.schema(_text_schema(schema))
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("mode", "DROPMALFORMED")
-            .option("ignoreCorruptFiles", True)
-            .csv(glob)
-        )
-        frames.append(_parse_bools(df, schema))
-    return union_all_by_name(*frames)
+    name with missing columns as NULL.  A family's layout is the header of its
+    first file; files whose header differs (another table in the same folder)
+    are skipped, and malformed lines dropped, instead of failing the scan."""
+    return union_all_by_name(*[_read_family(spark, glob, schema, "DROPMALFORMED") for glob, schema in families])
 
 
 # -- S3 ---------------------------------------------------------------------
