@@ -153,3 +153,27 @@ def test_native_predictions_on_continuous_random_data(spark):
     native = M.predict_outfits(model, df)
     direct = model.transform(df).select("row_id", "pred_outer_layer", "pred_gloves")
     assert native.exceptAll(direct).count() == 0 and direct.exceptAll(native).count() == 0
+
+
+def test_train_from_logs(spark):
+    import datetime as dt
+
+    rows = []
+    for i in range(400):
+        t = float(i % 80)
+        rows.append((t, float(i % 20), 50.0 + i % 30, 30.0 + i % 90, i % 3 != 0,
+                     "Long-sleeve" if t < 40 else "Short-sleeve", "None", "None" if t >= 30 else "Wind",
+                     "Long tights" if t < 45 else "Shorts", "None", t < 35, t < 25, t < 20, False, False,
+                     "Run" if i % 4 else "Roadbike"))
+    schema = ("feels_like double, wind_speed double, pct_humidity double, duration double, is_light boolean, "
+              "outer_layer string, base_layer string, jacket string, lower_body string, shoe_cover string, "
+              "ears_hat boolean, gloves boolean, heavy_socks boolean, arm_warmers boolean, face_cover boolean, activity string")
+    logs = spark.createDataFrame(rows, schema)
+    base = shared_path(spark, "test_train_logs")
+    model, fitted = M.train_from_logs(spark, logs, base, data_mtime=dt.datetime(2024, 1, 1))
+    _, again = M.train_from_logs(spark, logs, base, data_mtime=dt.datetime(2024, 1, 1))
+    assert fitted and not again
+    out = M.predict_outfit(spark, model, feels_like=10.0, wind_speed=3.0, pct_humidity=0.6, duration=45.0, is_light=True)
+    # jacket + outer + no base in the logs: the layer rule moved the outer layer to the base
+    assert (out["outer_layer"], out["base_layer"], out["jacket"]) == ("None", "Long-sleeve", "Wind")
+    assert out["gloves"] is True and out["lower_body"] == "Long tights"

@@ -389,3 +389,21 @@ def get_model(
     model = STRATEGIES[strategy](training, **fit_kw)
     save_model(model, path, mtime)
     return model, True
+
+
+def train_from_logs(
+    spark: SparkSession,
+    logs: DataFrame,
+    base_path: str,
+    strategy: str = "ddt",
+    activity: str = S.RUN,
+    athlete: str = "default",
+    data_mtime: dt.datetime | None = None,
+    **fit_kw,
+) -> tuple[PipelineModel, bool]:
+    """L8 then L7: clean raw activity logs for one activity and train (or load,
+    when the stored model is newer than the logs) that activity's model."""
+    from wearcast.operators.cleaning import clean_activity_log
+
+    clean = clean_activity_log(logs, activity=activity)
+    return get_model(spark, clean, base_path, strategy, athlete, activity, data_mtime=data_mtime, **fit_kw)
