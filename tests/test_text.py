@@ -185,3 +185,17 @@ def test_activity_log_in_its_own_column_order(spark, tmp_path):
     assert (r.is_light, r.ears_hat, r.gloves, r.arm_warmers) == (True, True, True, False)
     assert (r.base_layer, r.outer_layer, r.jacket, r.lower_body) == ("Long-sleeve", "None", "None", "Long tights")
     assert r.location is None and r.dow == "Sunday"
+
+
+def test_build_reply_single_outfit(spark):
+    from wearcast.operators.reply import build_reply
+
+    outfit = {"outer_layer": "Long-sleeve", "base_layer": "None", "jacket": "None", "lower_body": "Shorts-calf cover",
+              "shoe_cover": "None", "ears_hat": False, "gloves": False, "heavy_socks": False, "arm_warmers": False,
+              "face_cover": False}
+    got = build_reply(spark, outfit, {"feels_like": 50, "wind_speed": 12, "pct_humidity": 0.5}, profile(S.RUN))
+    assert got == ("It looks like it is going to be mild and breezy.\n"
+                   "I suggest wearing a long-sleeved top and shorts with long socks or calf sleeves. ")
+    assert build_reply(spark, None) == ""
+    single = build_reply(spark, {"outer_layer": "Short-sleeve"}, None, profile(S.RUN), 1, 3)
+    assert single == "Oh my, it is going to be .\nIf I were going out I'd wear singlet. "

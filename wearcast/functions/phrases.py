@@ -62,6 +62,11 @@ def precipitation_phrase(_chance=None) -> Column:
     return F.lit(None).cast("string")
 
 
+def phrases_for(conditions) -> Column:
+    """T8 over an array of ``struct<kind, value>`` conditions, in order."""
+    return F.transform(_col(conditions), lambda c: phrase_for(c["kind"], c["value"]))
+
+
 def phrase_for(condition_type, value, wind_dir=None) -> Column:
     """Dispatch on the condition type held in a column.
 
@@ -139,8 +144,13 @@ def reply(
     openings: Sequence[str] = S.OPENING_STATEMENTS,
     clothing_leads: Sequence[str] = S.CLOTHING_STATEMENTS,
 ) -> Column:
-    """``<opening> it is going to be <conditions>.\\n<clothing lead> <items>. ``"""
-    conditions = english_list(list(condition_phrases)) if condition_phrases else F.lit("")
+    """``<opening> it is going to be <conditions>.\\n<clothing lead> <items>. ``
+
+    ``condition_phrases`` is a list of phrase columns or one array column."""
+    if isinstance(condition_phrases, Column):
+        conditions = english_list(condition_phrases)
+    else:
+        conditions = english_list(list(condition_phrases)) if condition_phrases else F.lit("")
     items = english_list(list(item_descriptions))
     return F.concat(
         opening_prefix(opening_index, openings),

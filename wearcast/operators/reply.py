@@ -179,3 +179,27 @@ def with_option_ordinal(df: DataFrame, options: DataFrame, label_col: str = "lab
 
     dim = options.withColumnsRenamed({"label": label_col, "option": option_col})
     return join_dimension(df, dim, on=[label_col, option_col], how="left")
+
+
+def build_reply(
+    spark: SparkSession,
+    outfit: Mapping | None,
+    conditions: Mapping | None = None,
+    descriptions: Descriptions | None = None,
+    opening: int = 0,
+    clothing: int = 0,
+) -> str:
+    """T10 for one outfit (label -> value) and its conditions (type -> value),
+    as a one-row batch: the same expressions as ``add_replies``; no outfit
+    gives ''.  Condition types other than feels_like, wind_speed and
+    condition contribute nothing; boolean items are not described."""
+    if outfit is None:
+        return ""
+    descriptions = profile() if descriptions is None else descriptions
+    cats = [c for c in S.CATEGORICAL_LABELS if c in outfit]
+    conds = [(k, None if v is None else str(v)) for k, v in (conditions or {}).items()]
+    schema = ", ".join([*(f"{c} string" for c in cats), "conds array<struct<kind: string, value: string>>"])
+    df = spark.createDataFrame([(*[outfit[c] for c in cats], conds)], schema)
+    items = item_descriptions(cats, descriptions)
+    text = T.reply(T.phrases_for("conds"), items, F.lit(opening), F.lit(clothing))
+    return df.select(text.alias("r")).collect()[0]["r"]
