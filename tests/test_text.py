@@ -199,3 +199,29 @@ def test_build_reply_single_outfit(spark):
     assert build_reply(spark, None) == ""
     single = build_reply(spark, {"outer_layer": "Short-sleeve"}, None, profile(S.RUN), 1, 3)
     assert single == "Oh my, it is going to be .\nIf I were going out I'd wear singlet. "
+
+
+def test_template_sink_and_parquet_workbook(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import types as TT
+
+    from wearcast.sources import files as FS
+
+    tpl = FS.sample_template(spark, [TT.StructField("row_id", TT.LongType())])
+    assert tpl.count() == 0 and tpl.columns[0] == "row_id" and set(S.LABELS + S.FEATURES) <= set(tpl.columns)
+    assert FS.default_sample_name(dt.datetime(2024, 3, 7, 9, 5)) == "outfit_data_7395.csv"
+    out = FS.write_sample_data(tpl.limit(0), str(tmp_path), "empty.csv")
+    assert spark.read.option("header", True).csv(out).count() == 0
+    sheet = spark.createDataFrame(
+        [("2024-01-01", "07:00", "Run", "5.2", "45", "Yes", "Long-sleeve", "n", None),
+         (None, None, None, None, None, None, None, None, None)],
+        "Date string, Time string, Activity string, Distance string, `Length of activity (min)` string, "
+        "Light string, `Outer Layer` string, Gloves string, Notes string",
+    )
+    sheet.write.parquet(str(tmp_path / "sheet.parquet"))
+    rows = FS.read_workbook_export(spark, str(tmp_path / "sheet.parquet")).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r.activity, r.distance, r.duration, r.is_light, r.outer_layer, r.gloves) == ("Run", 5.2, 45.0, True, "Long-sleeve", False)
+    assert "Notes" not in rows[0].asDict() and "activity_hour" not in rows[0].asDict()
