@@ -177,3 +177,23 @@ def test_train_from_logs(spark):
     # jacket + outer + no base in the logs: the layer rule moved the outer layer to the base
     assert (out["outer_layer"], out["base_layer"], out["jacket"]) == ("None", "Long-sleeve", "Wind")
     assert out["gloves"] is True and out["lower_body"] == "Long tights"
+
+
+def test_recommend_with_direction(spark):
+    import datetime as dt
+
+    from wearcast.operators.recommend import recommend
+    from wearcast.operators.reply import profile
+
+    model = M.fit_dual(lineitem_training(spark, SMALL))
+    h = dt.datetime(2024, 1, 1, 10)
+    schema = "location_key string, obs_hour timestamp_ntz, feels_like double, wind_speed double, pct_humidity double, wind_dir string"
+    store = spark.createDataFrame([("a", h, 45.0, 22.0, 0.5, "N")], schema)
+    req = spark.createDataFrame([(1, "a", h, 30.0, True)],
+                                "row_id long, location_key string, obs_hour timestamp_ntz, duration double, is_light boolean")
+    plain = recommend(req, store, store, model, profile(S.RUN), "2024-01-01 00:00:00").collect()[0]
+    windy = recommend(req, store, store, model, profile(S.RUN), "2024-01-01 00:00:00", with_direction=True).collect()[0]
+    assert "cool and very windy." in plain.reply
+    # the list rule turns the last comma, here the one inside the wind phrase, into ' and'
+    assert "cool, very windy and 22.0 miles per hour out of the North." in windy.reply
+    assert windy.wind_dir == "N"

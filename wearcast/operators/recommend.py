@@ -29,16 +29,19 @@ def recommend(
     descriptions: Descriptions,
     now,
     row_id: str = "row_id",
+    with_direction: bool = False,
 ) -> DataFrame:
     """Adds the looked-up conditions, ``pred_<label>`` per item and ``reply``.
 
     ``forecasts``/``history`` hold observations keyed by ``location_key`` and
     ``obs_hour`` with ``feels_like``, ``wind_speed`` and ``pct_humidity``;
     ``requests`` hold ``location_key``, ``obs_hour``, ``duration`` and
-    ``is_light``."""
+    ``is_light``.  With ``with_direction`` the stores' ``wind_dir`` is looked
+    up too and the reply names it (the original's replies never do)."""
     keys = ["location_key", "obs_hour"]
-    looked = routed_lookup(requests, forecasts.select(*keys, *_OBS), history.select(*keys, *_OBS), now)
-    looked = looked.withColumnsRenamed({f"obs_{c}": c for c in _OBS})
+    obs = [*_OBS, "wind_dir"] if with_direction else _OBS
+    looked = routed_lookup(requests, forecasts.select(*keys, *obs), history.select(*keys, *obs), now)
+    looked = looked.withColumnsRenamed({f"obs_{c}": c for c in obs})
     usable = F.col("found")
     for c in [*_OBS, "duration", "is_light"]:
         usable = usable & F.col(c).isNotNull()
@@ -52,7 +55,7 @@ def recommend(
     out = scored.select(
         *base_cols, "usable", *[F.when(F.col("usable"), F.col(f"pred_{lab}")).alias(lab) for lab in labels]
     )
-    replied = add_replies(out, descriptions, row_id=row_id)
+    replied = add_replies(out, descriptions, row_id=row_id, wind_dir="wind_dir" if with_direction else None)
     return replied.select(
         *base_cols,
         "usable",
