@@ -94,3 +94,33 @@ def test_numeric_phrases_and_bins_match_spec(spark, rows):
         t, w, d = rows[r.i]
         assert (r.tp, r.wp, r.lb, r.cp) == (temp(t), wind(w), length(d), compass(w))
         assert r.h == (None if d is None else (d if d < 1 else d / 100))
+
+
+_place = st.builds(
+    lambda a, b, c, d: f"{a}{b}{c}{d}",
+    st.sampled_from(["", " ", "  "]),
+    st.sampled_from(["Bentonville", "New Town", "72712", "Fort Smith", "x"]),
+    st.sampled_from([",", ", ", ",  ", " ", ""]),
+    st.sampled_from(["AR", "ark", "", "TX ", "12"]),
+)
+
+
+@SETTINGS
+@given(st.lists(_place, min_size=1, max_size=60))
+def test_place_parsing_matches_spec(spark, texts):
+    import re
+
+    from wearcast.operators.location import parse_locations
+
+    def spec(t):
+        """'City, ST' (word characters and blanks, a comma, two word characters
+        at the end) gives (ST/City, City,ST); anything else is a stripped zip."""
+        m = re.fullmatch(r"([\w\s]+),\s*(\w{2})", t)
+        if m:
+            city, state = m.group(1).strip(), m.group(2).strip()
+            return (f"{state}/{city}", f"{city},{state}")
+        return (t.strip(), t.strip())
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")
+    got = {r.i: (r.location_key, r.location_name) for r in parse_locations(df, "raw").collect()}
+    assert got == {i: spec(t) for i, t in enumerate(texts)}
