@@ -12,6 +12,16 @@ ORACLES = E.oracle_sql()
 NAMES = sorted(E.queries())
 
 
+def _family(t: str) -> str:
+    t = t.lower()
+    for key, fam in [("decimal", "decimal"), ("double", "float"), ("float", "float"), ("bigint", "int64"),
+                     ("int64", "int64"), ("integer", "int32"), ("int32", "int32"), ("int", "int32"), ("bool", "bool"),
+                     ("timestamp", "timestamp"), ("date", "date"), ("string", "string"), ("varchar", "string")]:
+        if key in t:
+            return fam
+    return t
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -35,6 +45,10 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(dcols) == cols
     assert len(srows) == len(drows)
     assert _rows(srows, cols, 9) == _rows(drows, cols, 9)
+    # same type family per column (no DECIMAL where Spark has DOUBLE, etc.)
+    spark_types = {f.name: _family(f.dataType.simpleString()) for f in sdf.schema.fields}
+    duck_types = {f.name: _family(str(f.type)) for f in duck.sql(ORACLES[name]).arrow().schema}
+    assert spark_types == duck_types
 
 
 def test_entry_smoke(spark):
