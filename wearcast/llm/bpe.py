@@ -35,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearcast.llm.common import schema_with, with_column
+
 MAX_STATES = 300_000
 MAX_PIECES = 300_000
 MAX_PAIRS = 1_000_000
@@ -337,11 +339,6 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _append(batch: pa.RecordBatch, drop: str, name: str, values: pa.Array) -> pa.RecordBatch:
-    keep = [i for i, n in enumerate(batch.schema.names) if n != drop]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], names=[*(batch.schema.names[i] for i in keep), name])
-
-
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` (array of int): the whole text's token ids,
     each match of ``pattern`` encoded separately, no special tokens.  NULL and
@@ -357,10 +354,10 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
                 b = whole.slice(start, ROWS)
                 ids = [encoder.encode(t.as_py()) for t in b.column(at)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                yield _append(b, ids_col, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
+                yield with_column(b, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
 
     fields = [f for f in docs.schema.fields if f.name != ids_col]
-    return docs.mapInArrow(run, _ddl(fields, ids_col, "array<int>"))
+    return docs.mapInArrow(run, schema_with(fields, ids_col, "array<int>"))
 
 
 def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids", text_col: str = "decoded", chunk: int = 65536) -> DataFrame:
@@ -378,13 +375,9 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids", text_col: str
                 for row in b.column(at):
                     ids = row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else []
                     texts.append("".join(decode_stream((ids[i : i + chunk] for i in range(0, len(ids), chunk)), bytes_of)))
-                yield _append(b, ids_col, text_col, pa.array(texts, pa.string()))
+                yield with_column(b, text_col, pa.array(texts, pa.string()), drop=ids_col)
 
     fields = [f for f in tokens.schema.fields if f.name not in (ids_col, text_col)]
     if text_col in tokens.columns:
         tokens = tokens.drop(text_col)
-    return tokens.mapInArrow(run, _ddl(fields, text_col, "string"))
-
-
-def _ddl(fields, name: str, kind: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {kind}"])
+    return tokens.mapInArrow(run, schema_with(fields, text_col, "string"))

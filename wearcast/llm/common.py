@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wearcast.session import shared_path
 
@@ -41,5 +43,12 @@ def order_key(doc_id: Column, *more: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), *more)
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array, drop: str | None = None) -> pa.RecordBatch:
+    """The batch with a column appended; columns called ``name`` or ``drop`` go."""
+    keep = [i for i, n in enumerate(batch.schema.names) if n not in (name, drop)]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], names=[*(batch.schema.names[i] for i in keep), name])
+
+
+def schema_with(fields: list[T.StructField], name: str, kind: str) -> str:
+    """DDL of ``fields`` and one column more."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {kind}"])
