@@ -56,59 +56,65 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.seq for r in fresh} == {2}
 
 
-def test_log_compaction(spark):
-    import datetime as dt
+def _landing(spark, name):
     import json
-    import time
 
-    base = shared_path(spark, "test_compact")
+    base = shared_path(spark, name)
     landing, log = f"{base}/landing", f"{base}/log"
     t0 = 1_704_067_200
 
-    def land(seq, temp, hour):
+    def land_and_ingest(seq, temp, hour):
         doc = {"location": "a", "snapshot_ts": f"2024-01-01T0{seq}:00:00.000000", "seq": seq,
                "hourly": {"data": [{"time": t0 + 3600 * hour, "icon": "rain", "temperature": temp}]}}
         spark.createDataFrame([(json.dumps(doc),)], "value string").write.mode("append").text(landing)
-
-    def ingest():
         ST.start_observation_log(ST.observation_stream(spark, landing), log, checkpoint=f"{base}/ckpt").awaitTermination()
 
-    land(1, 40.0, 0)
-    land(2, 41.0, 1)
-    ingest()
-    time.sleep(1.5)
-    snap = ST.compact_log(spark, log, margin=dt.timedelta(0))
-    time.sleep(1.5)
-    land(3, 42.0, 0)
-    ingest()
-    full = {r.obs_hour.hour: r.temp_f for r in ST.current_observations(spark, log).collect()}
-    fast = {r.obs_hour.hour: r.temp_f for r in ST.current_observations(spark, log, compacted=snap).collect()}
-    assert full == fast == {0: 42.0, 1: 41.0}
-    # the compacted read takes only the batches ingested after the cutoff
-    assert ST._read_log(spark, log, None, snap[1]).count() == 1
-    assert ST._read_log(spark, log, None, None).count() == 3
-
-
-def test_chained_compaction(spark):
-    import datetime as dt
-    import json
-    import time
+    return log, land_and_ingest
 
-    base = shared_path(spark, "test_chain")
-    landing, log = f"{base}/landing", f"{base}/log"
-    t0 = 1_704_067_200
 
-    def land_and_ingest(seq, temp, hour):
-        doc = {"location": "b", "snapshot_ts": f"2024-01-02T0{seq}:00:00.000000", "seq": seq,
-               "hourly": {"data": [{"time": t0 + 3600 * hour, "icon": "fog", "temperature": temp}]}}
-        spark.createDataFrame([(json.dumps(doc),)], "value string").write.mode("append").text(landing)
-        ST.start_observation_log(ST.observation_stream(spark, landing), log, checkpoint=f"{base}/ckpt").awaitTermination()
-        time.sleep(1.2)
-
-    land_and_ingest(1, 30.0, 0)
-    first = ST.compact_log(spark, log, margin=dt.timedelta(0))
-    land_and_ingest(2, 31.0, 1)
-    second = ST.compact_log(spark, log, previous=first, margin=dt.timedelta(0))
-    land_and_ingest(3, 32.0, 0)
-    got = {r.obs_hour.hour: r.temp_f for r in ST.current_observations(spark, log, compacted=second).collect()}
-    assert got == {0: 32.0, 1: 31.0}
+def _store(spark, log, **kw):
+    return {(r.obs_date.day, r.obs_hour.hour): r.temp_f for r in ST.current_observations(spark, log, **kw).collect()}
+
+
+def test_log_compaction(spark):
+    log, ingest = _landing(spark, "test_compact")
+    assert ST.last_batch(spark, log) == -1
+    ingest(1, 40.0, 0)
+    ingest(2, 41.0, 1)
+    ingest(2, 50.0, 24)
+    snap = ST.compact_log(spark, log)
+    assert snap[1] == ST.last_batch(spark, log) == 2
+    ingest(3, 42.0, 0)
+    full, fast = _store(spark, log), _store(spark, log, compacted=snap)
+    assert full == fast == {(1, 0): 42.0, (1, 1): 41.0, (2, 0): 50.0}
+    # the compacted read takes only the batches after the cut, pruned by folder
+    assert ST.read_log(spark, log, after=snap[1]).count() == 1
+    assert ST.read_log(spark, log).count() == 4
+
+
+def test_late_batch_with_an_old_stamp(spark):
+    """Rows of a batch that commits after the compaction count, whatever their
+    time stamps say."""
+    log, ingest = _landing(spark, "test_late")
+    ingest(2, 41.0, 1)
+    snap = ST.compact_log(spark, log)
+    old = ST.read_log(spark, log).withColumn("temp_f", F.lit(7.0)).withColumn("obs_hour", F.col("obs_hour") + F.expr("interval 1 hour"))
+    old = old.withColumn("ingest_ts", F.expr("timestamp '2001-01-01'")).withColumn("snapshot_ts", F.expr("timestamp_ntz '2001-01-01'"))
+    old.write.partitionBy("obs_date").parquet(f"{log}/batch_id=1")
+    assert _store(spark, log, compacted=snap) == {(1, 1): 41.0}  # not committed yet
+    spark.createDataFrame([(1,)], "batch_id long").write.json(f"{log}/_commits/n=1")
+    assert _store(spark, log, compacted=snap) == _store(spark, log) == {(1, 1): 41.0, (1, 2): 7.0}
+
+
+def test_chained_compaction_rewrites_touched_days_only(spark):
+    log, ingest = _landing(spark, "test_chain")
+    ingest(1, 30.0, 0)
+    ingest(1, 33.0, 24)
+    first = ST.compact_log(spark, log)
+    ingest(2, 31.0, 1)
+    second = ST.compact_log(spark, log, previous=first)
+    ingest(3, 32.0, 0)
+    assert _store(spark, log, compacted=second) == {(1, 0): 32.0, (1, 1): 31.0, (2, 0): 33.0}
+    folder = lambda snap: {r["obs_date"]: r["folder"] for r in spark.read.json(snap[0]).collect()}
+    one, two = folder(first), folder(second)
+    assert one["2024-01-02"] == two["2024-01-02"] and one["2024-01-01"] != two["2024-01-01"]

@@ -1,3 +1,5 @@
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,82 @@ def test_recommend_with_direction(spark):
     # the list rule turns the last comma, here the one inside the wind phrase, into ' and'
     assert "cool, very windy and 22.0 miles per hour out of the North." in windy.reply
     assert windy.wind_dir == "N"
+
+
+def test_incomplete_rows_have_no_prediction(spark):
+    """Native expressions and the pipeline agree, NULL by NULL."""
+    train = lineitem_training(spark, SMALL)
+    model = M.fit_dual(train)
+    some = train.limit(6).select("row_id", *S.FEATURES)
+    gaps = reduce(lambda a, b: a.unionByName(b), [some.withColumn(f, F.lit(None).cast(some.schema[f].dataType)) for f in S.FEATURES])
+    rows = some.unionByName(gaps)
+    native = M.predict_outfits(model, rows)
+    plain = M.native_predictions
+    try:
+        M.native_predictions = lambda *a, **k: None
+        piped = M.predict_outfits(model, rows)
+    finally:
+        M.native_predictions = plain
+    assert native.exceptAll(piped).count() == 0 and piped.exceptAll(native).count() == 0
+    assert native.where("pred_outer_layer IS NOT NULL").count() == 6 and native.count() == 36
+
+
+def test_percent_humidity_meets_fraction_trees(spark):
+    train = lineitem_training(spark, SMALL)
+    model = M.fit_dual(train)
+    one = {"feels_like": 40.0, "wind_speed": 5.0, "duration": 30.0, "is_light": True}
+    assert M.predict_outfit(spark, model, pct_humidity=60.0, **one) == M.predict_outfit(spark, model, pct_humidity=0.6, **one)
+
+
+def test_scores_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "pred_a string, a string")
+    scores = label_accuracy(empty, ["a"])
+    assert [r.accuracy for r in scores.collect()] == [None]
+    assert overall_accuracy(scores).first().overall is None
+    assert {r.accuracy for r in score_table(empty, ["a"]).collect()} <= {None}
+
+
+def test_repeated_writes_do_not_repeat_requests(spark):
+    import datetime as dt
+
+    from wearcast.operators.store import latest_per_key, routed_lookup
+
+    h = dt.datetime(2024, 1, 1, 10)
+    store = spark.createDataFrame([("a", h, h, 1), ("a", h, h, 2), ("a", h, h - dt.timedelta(hours=13), 3)],
+                                  "location_key string, obs_hour timestamp_ntz, snapshot_ts timestamp_ntz, v int")
+    req = spark.createDataFrame([(1, "a", h)], "row_id int, location_key string, obs_hour timestamp_ntz")
+    got = routed_lookup(req, store, store, "2024-01-01 09:00:00", order=("snapshot_ts",)).collect()
+    assert [(r.row_id, r.obs_v) for r in got] == [(1, 2)]
+    assert [r.v for r in latest_per_key(store.repartition(3)).collect()] == [2]
+    stale = routed_lookup(req, store.where("v = 3"), store, "2024-01-01 09:30:00", order=("snapshot_ts",), ttl_hours=12).collect()
+    assert [(r.kind, r.found) for r in stale] == [("forecast", False)]
+
+
+def test_recommend_from_free_text(spark):
+    import datetime as dt
+
+    from wearcast.operators.recommend import recommend
+    from wearcast.operators.reply import profile
+
+    model = M.fit_dual(lineitem_training(spark, SMALL))
+    h = dt.datetime(2024, 1, 1, 10)
+    store = spark.createDataFrame(
+        [("AR/Bentonville", h, 45.0, 2.0, 20.0, h - dt.timedelta(hours=2), True), ("AR/Bentonville", h, 90.0, 2.0, 20.0, h - dt.timedelta(hours=30), True),
+         ("72712", h, 45.0, 2.0, 0.2, h - dt.timedelta(hours=20), True)],
+        "location_key string, obs_hour timestamp_ntz, feels_like double, wind_speed double, pct_humidity double, snapshot_ts timestamp_ntz, is_light boolean")
+    req = spark.createDataFrame([(1, " Bentonville, AR", h + dt.timedelta(minutes=40), 30.0), (2, "72712 ", h, 30.0)],
+                                "row_id int, place string, when timestamp_ntz, duration double")
+    got = {r.row_id: r for r in recommend(req, store, store, model, profile(S.RUN), "2024-01-01 09:00:00").collect()}
+    assert got[1].feels_like == 45.0 and got[1].usable and got[1].is_light and got[1].reply
+    assert not got[2].found and got[2].reply is None  # its forecast is over twelve hours old
+    same = M.predict_outfit(spark, model, feels_like=45.0, wind_speed=2.0, pct_humidity=0.2, duration=30.0, is_light=True)
+    assert {lab: got[1][f"pred_{lab}"] for lab in S.LABELS} == same
+
+
+def test_only_a_missing_pointer_means_no_model(spark, tmp_path):
+    assert M._pointer(spark, str(tmp_path / "none")) is None
+    folder = tmp_path / "m" / "_latest"
+    folder.mkdir(parents=True)
+    (folder / "x.gz").write_bytes(b"not gzip at all")
+    with pytest.raises(Exception):
+        M._pointer(spark, str(tmp_path / "m"))

@@ -34,8 +34,8 @@ def test_phrases(spark):
     out = df.select(
         T.temp_phrase("t").alias("t"),
         T.wind_phrase("w").alias("w"),
-        T.wind_phrase("w", "d").alias("wd"),
-        T.wind_phrase("w", "d", compat=False).alias("wd16"),
+        T.wind_phrase("w", "d", compat=True).alias("wd"),
+        T.wind_phrase("w", "d").alias("wd16"),
     ).collect()
     assert (out[0].t, out[0].w, out[0].wd) == ("cool", "very windy", "very windy, 40 miles per hour out of the North")
     assert out[1].wd == "very windy"  # NE has no name in the original's table
@@ -148,14 +148,19 @@ def test_all_logs_skip_foreign_files(spark, tmp_path):
 def test_dimension_join_paths_and_strict(spark):
     import pytest
 
-    from wearcast.operators.joins import join_dimension, small_enough
+    from wearcast.operators.joins import join_dimension
 
     fact = spark.createDataFrame([("a", 1), ("b", 2)], "coord_key string, v int")
     dim = spark.createDataFrame([("a", 1.0, 2.0)], "location string, latitude double, longitude double")
-    assert small_enough(dim, 1) and not small_enough(fact, 1)
-    big = join_dimension(fact, dim.withColumnRenamed("location", "coord_key"), "coord_key", max_rows=0)
+    wide = dim.withColumnRenamed("location", "coord_key")
+    big = join_dimension(fact, wide, "coord_key")
     plan = big._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan.lower()  # no hint above the proven bound
+    assert "broadcast" not in plan.lower()  # no hint: the planner decides on bytes
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        assert "BroadcastHashJoin" not in join_dimension(fact, wide, "coord_key")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(r.v for r in big.collect()) == [1, 2]
     ok = with_coordinates(fact, dim)
     assert {r.coord_key: r.found for r in ok.collect()} == {"a": True, "b": False}
@@ -225,3 +230,89 @@ def test_template_sink_and_parquet_workbook(spark, tmp_path):
     r = rows[0]
     assert (r.activity, r.distance, r.duration, r.is_light, r.outer_layer, r.gloves) == ("Run", 5.2, 45.0, True, "Long-sleeve", False)
     assert "Notes" not in rows[0].asDict() and "activity_hour" not in rows[0].asDict()
+
+
+def test_logs_are_read_by_their_own_headers(spark, tmp_path):
+    from pyspark.sql import types as TT
+
+    from wearcast.sources import files as FS
+
+    schema = TT.StructType([TT.StructField("row_id", TT.LongType()), TT.StructField("jacket", TT.StringType()),
+                            TT.StructField("gloves", TT.BooleanType()), TT.StructField("wind_speed", TT.DoubleType())])
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a b.csv").write_text("row_id,jacket,gloves,wind_speed\n1,Wind,Yes,3\n2,None,No,4.5\n")
+    (logs / "b.csv").write_text("wind_speed,gloves,row_id,jacket\n5,TRUE,3,Rain\n6,,4,None\n7,n,5,bad,extra\n")
+    (logs / "c.csv").write_text("jacket,row_id,note,gloves\nWarmth,6,hi,y\nWind,x,ho,y\n")
+    (logs / "d.csv").write_text("location,latitude\n72712,3.0\n")
+    (logs / "e.csv").write_text("")
+    families = [(str(logs / "*.csv"), schema)]
+    df = FS.read_all_logs(spark, families)
+    rows = sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows == sorted([(1, "Wind", True, 3.0, None), (2, "None", False, 4.5, None), (3, "Rain", True, 5.0, None),
+                           (4, "None", None, 6.0, None), (6, "Warmth", True, None, "hi"), (None, "Wind", True, None, "ho")], key=str)
+    assert df.count() == len(rows) == len(df.select("jacket").collect()) == len(df.select("gloves").collect())
+    report = {r["header"]: (r["files"], r["taken"], r["lines_read"], r["lines_dropped"]) for r in FS.log_report(spark, families).collect()}
+    assert report == {"row_id,jacket,gloves,wind_speed": (1, True, 2, 0), "wind_speed,gloves,row_id,jacket": (1, True, 2, 1),
+                      "jacket,row_id,note,gloves": (1, True, 2, 0), "location,latitude": (1, False, 0, 0)}
+    named = FS.read_activity_csv(spark, str(logs / "b"), schema)
+    assert named.count() == 3 and {r["row_id"] for r in named.collect()} == {3, 4, 5}
+
+
+def test_truncated_log_fails(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    from wearcast.sources.files import read_activity_csv
+
+    data = gzip.compress(("row_id,jacket\n" + "".join(f"{i},Wind{i * 7919}\n" for i in range(60000))).encode())
+    (tmp_path / "part.csv.gz").write_bytes(data[: len(data) // 2])
+    from pyspark.sql import types as TT
+
+    schema = TT.StructType([TT.StructField("row_id", TT.LongType()), TT.StructField("jacket", TT.StringType())])
+    with pytest.raises(Exception):
+        read_activity_csv(spark, str(tmp_path / "*.csv.gz"), schema).count()
+
+
+def test_workbook_parts_in_other_column_orders(spark, tmp_path):
+    from wearcast.sources.files import read_workbook_export
+
+    (tmp_path / "p1.csv").write_text("Wind,Feels like,Gloves\n5,41.5,Yes\n,,\n")
+    (tmp_path / "p2.csv").write_text("Feels like,Wind,Gloves\n60.5,9,n\n")
+    rows = {(r["wind_speed"], r["feels_like"], r["gloves"]) for r in read_workbook_export(spark, str(tmp_path)).collect()}
+    assert rows == {(5.0, 41.5, True), (9.0, 60.5, False)}
+
+
+def test_samples_can_be_appended(spark, tmp_path):
+    import pytest
+
+    from wearcast.sources.files import write_sample_data
+
+    df = spark.createDataFrame([(1, "a")], "row_id long, jacket string")
+    path = write_sample_data(df, str(tmp_path), "s")
+    write_sample_data(df, str(tmp_path), "s", append=True)
+    assert spark.read.option("header", True).csv(path).count() == 2
+    with pytest.raises(Exception):
+        write_sample_data(df, str(tmp_path), "s")
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster():
+    import pytest
+
+    from wearcast.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())

@@ -1,8 +1,9 @@
 """Per-row random draws as native expressions.
 
-Every draw is a function of (row id, seed, draw number) through ``xxhash64``,
-so a generated table is the same however it is partitioned or re-run after a
-lost executor (``rand(seed)`` depends on the partition layout)."""
+Every draw is a function of (row id, seed, draw number) through the first 52
+bits of an MD5 digest, so a generated table is the same however it is
+partitioned or re-run after a lost executor (``rand(seed)`` depends on the
+partition layout), and any engine can draw the same."""
 
 from __future__ import annotations
 
@@ -12,17 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO_53 = float(2**53)
+_TWO_52 = float(2**52)
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def draw(row_id, seed: int, k: int) -> Column:
+    """A whole number in [0, 2**52) from the digest of ``id:seed:k``."""
+    text = F.concat_ws(":", _col(row_id).cast("string"), F.lit(str(seed)), F.lit(str(k)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def uniform(row_id, seed: int, k: int) -> Column:
-    """U[0, 1) from the hash of (row id, seed, k)."""
-    h = F.xxhash64(_col(row_id), F.lit(seed), F.lit(k))
-    return F.pmod(h, F.lit(2**53)).cast("double") / F.lit(_TWO_53)
+    """U[0, 1) from ``draw``."""
+    return draw(row_id, seed, k).cast("double") / F.lit(_TWO_52)
 
 
 def randrange(row_id, seed: int, k: int, lo: int, hi: int, step: int = 1) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wearcast import schema as S
+from wearcast.functions.draws import draw
 from wearcast.functions.weather import direction_name
 
 
@@ -35,9 +36,10 @@ def temp_phrase(temp_f) -> Column:
 
 
 # -- T6 ---------------------------------------------------------------------
-def wind_phrase(wind_speed, wind_dir=None, compat: bool = True) -> Column:
+def wind_phrase(wind_speed, wind_dir=None, compat: bool = False) -> Column:
     """calm / breezy / windy / very windy; with a known direction code appends
-    ``, <speed> miles per hour out of the <Direction>``."""
+    ``, <speed> miles per hour out of the <Direction>`` (all 16 points; with
+    ``compat`` the original's 12)."""
     w = _col(wind_speed)
     expr = None
     for bound, word in S.WIND_PHRASES:
@@ -89,8 +91,8 @@ def english_list(items) -> Column:
     """Join the non-NULL items as ``a, b and c``.
 
     Items are joined with ``', '``; commas and blanks are trimmed at both ends;
-    the last comma (even one inside an item) becomes `` and``; a doubled
-    ``and and`` collapses.  An empty or NULL list gives ''."""
+    the last comma (even one inside an item) becomes `` and``, and then a
+    doubled ``and and`` collapses.  An empty or NULL list gives ''."""
     if isinstance(items, (list, tuple)):
         arr = F.array(*[_col(i).cast("string") for i in items])
     else:
@@ -98,7 +100,7 @@ def english_list(items) -> Column:
     joined = F.coalesce(F.array_join(arr, ", "), F.lit(""))
     trimmed = F.btrim(joined, F.lit(", "))
     with_and = F.regexp_replace(trimmed, ",([^,]*)$", " and$1")
-    return F.replace(with_and, F.lit("and and"), F.lit("and"))
+    return F.when(trimmed.contains(","), F.replace(with_and, F.lit("and and"), F.lit("and"))).otherwise(trimmed)
 
 
 # -- T11 / X2 ---------------------------------------------------------------
@@ -110,7 +112,7 @@ def pick(options: Sequence[str], index) -> Column:
 
 def hashed_index(row_id, seed: int) -> Column:
     """A per-row draw that does not depend on partitioning."""
-    return F.xxhash64(_col(row_id), F.lit(seed))
+    return draw(row_id, seed, 0)
 
 
 def opening_prefix(index, statements: Sequence[str] = S.OPENING_STATEMENTS) -> Column:

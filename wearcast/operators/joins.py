@@ -1,25 +1,17 @@
-"""Dimension joins with a checked broadcast.
+"""Dimension joins.
 
-A dimension is broadcast only after a bounded check proves it has at most
-``max_rows`` rows (``limit(max_rows + 1).count()`` reads no more than that);
-otherwise the plain join is left to the planner and AQE (sort-merge, or a
-runtime broadcast if the measured side turns out small, skew splitting for
-hot keys).
+The join itself is left to the planner: a dimension whose size in bytes is
+known to be below the session's broadcast threshold is broadcast, one that
+turns out so at run time is switched to by AQE, and otherwise it is a
+sort-merge join whose hot keys AQE splits.  Nothing is run or counted while
+the plan is built.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
-
-def small_enough(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Join ``fact`` to ``dim``; broadcast ``dim`` only when it is proven small."""
-    right = F.broadcast(dim) if small_enough(dim, max_rows) else dim
-    return fact.join(right, on=on, how=how)
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join ``fact`` to ``dim`` (one row per key)."""
+    return fact.join(dim, on=on, how=how)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearcast.functions.parsing import location_key, location_name, parse_location
-from wearcast.operators.joins import DEFAULT_BROADCAST_ROWS, join_dimension
+from wearcast.operators.joins import join_dimension
 
 
 def parse_locations(df: DataFrame, text_col: str, sep: str = "/") -> DataFrame:
@@ -29,7 +29,6 @@ def with_coordinates(
     coords: DataFrame,
     key_col: str = "coord_key",
     strict: bool = False,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
     """latitude/longitude of each row's location (``coords`` has
     ``location, latitude, longitude``).  ``found`` flags hits; with
@@ -37,7 +36,7 @@ def with_coordinates(
     dim = coords.select(
         F.col("location").alias(key_col), "latitude", "longitude", F.lit(True).alias("_hit")
     )
-    out = join_dimension(df, dim, on=key_col, how="left", max_rows=max_broadcast_rows)
+    out = join_dimension(df, dim, on=key_col, how="left")
     found = F.coalesce(F.col("_hit"), F.lit(False))
     if strict:
         found = F.when(found, found).otherwise(

@@ -22,8 +22,10 @@ import json
 import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearcast import schema as S
+from wearcast.functions.weather import humidity_fraction
 from wearcast.operators.cleaning import booleans_to_yes_no
 from wearcast.operators.scoring import score_table
 
@@ -162,91 +165,91 @@ STRATEGIES = {"ddt": fit_dual, "sdt": fit_single}
 
 
 # -- L2 / L3 ----------------------------------------------------------------
-_SPLIT = re.compile(r"^If \(feature (\d+) <= (\S+)\)$")
-_LEAF = re.compile(r"^Predict: (\S+)$")
+def _tree_column(tree: DecisionTreeClassificationModel, features: list[Column]) -> Column:
+    """A fitted tree's nodes as a nested CASE over the feature columns
+    (continuous splits: ``feature <= threshold`` goes left, NaN goes right, as
+    in the tree's own predict).  Raises ValueError on a categorical split."""
 
+    def node(n) -> Column:
+        if n.subtreeDepth() == 0:
+            return F.lit(float(n.prediction()))
+        split = n.split()
+        if not split.getClass().getSimpleName().startswith("Continuous"):
+            raise ValueError("only continuous splits have a native form")
+        goes_left = features[split.featureIndex()] <= F.lit(float(split.threshold()))
+        return F.when(goes_left, node(n.leftChild())).otherwise(node(n.rightChild()))
 
-def _tree_column(debug: str, features: list[Column]) -> Column:
-    """A fitted tree as a nested CASE over the feature columns (continuous
-    splits: ``feature <= threshold`` goes left, NaN goes right, as in the
-    tree's own predict).  Raises ValueError on any other node form."""
-    lines = iter(line.strip() for line in debug.splitlines()[1:] if line.strip())
-
-    def node() -> Column:
-        line = next(lines)
-        leaf = _LEAF.match(line)
-        if leaf:
-            return F.lit(float(leaf.group(1)))
-        split = _SPLIT.match(line)
-        if not split:
-            raise ValueError(f"unsupported tree node: {line}")
-        left = node()
-        if not next(lines).startswith("Else ("):
-            raise ValueError("malformed tree")
-        right = node()
-        return F.when(features[int(split.group(1))] <= F.lit(float(split.group(2))), left).otherwise(right)
-
-    return node()
+    return node(tree._call_java("rootNode"))
 
 
 def native_predictions(model: PipelineModel, features: dict | None = None) -> dict[str, Column] | None:
     """``pred_<label>`` columns computed as native expressions (no UDF, no
-    feature vector), equal to the model's own transform; None when the model
-    has a stage this cannot express.  ``features`` may give a Column per
+    feature vector), equal to the model's own transform on complete rows and
+    NULL where any feature is NULL; None when the model has a stage this
+    cannot express.  ``features`` may give a Column per
     feature name (default: the columns of that name)."""
     stages = model.stages
     if not stages or not isinstance(stages[0], VectorAssembler):
         return None
     names = stages[0].getInputCols()
     feats = [(features or {}).get(n, F.col(n)).cast("double") for n in names]
+    complete = reduce(lambda a, b: a & b, [f.isNotNull() for f in feats])
     raw: dict[str, Column] = {}
     out: dict[str, Column] = {}
     try:
         for st in stages[1:]:
             if isinstance(st, DecisionTreeClassificationModel):
-                raw[st.getPredictionCol()] = _tree_column(st.toDebugString, feats)
+                raw[st.getPredictionCol()] = F.when(complete, _tree_column(st, feats))
             elif isinstance(st, IndexToString):
                 arr = F.array(*[F.lit(v) for v in st.getLabels()])
-                out[st.getOutputCol()] = F.element_at(arr, raw[st.getInputCol()].cast("int") + 1)
+                at = raw[st.getInputCol()]
+                # element_at takes an unknown place for a non-NULL result
+                out[st.getOutputCol()] = F.when(at.isNotNull(), F.element_at(arr, at.cast("int") + 1))
             elif isinstance(st, SQLTransformer):
                 for m in re.finditer(r"CAST\((\w+) = 1\.0 AS BOOLEAN\) AS (\w+)", st.getStatement()):
                     out[m.group(2)] = raw[m.group(1)] == F.lit(1.0)
             else:
                 return None
-    except (ValueError, KeyError, StopIteration):
+    except (ValueError, KeyError):
         return None
     return out
 
 
 def apply_model(model: PipelineModel, df: DataFrame, features: dict | None = None) -> DataFrame:
     """``df`` plus ``pred_<label>`` columns: native expressions when the
-    model allows (one codegen'd projection), else the pipeline transform."""
+    model allows (one codegen'd projection), else the pipeline transform.
+    A row with a NULL feature has NULL predictions either way."""
     native = native_predictions(model, features)
     if native is not None:
         return df.withColumns(native)
-    if not features:
-        out = model.transform(df)
-        return out.select(*df.columns, *[c for c in out.columns if c.startswith("pred_")])
-    # Transform with the given feature values in place of the columns of
-    # those names, then put the original columns back.
-    saved = {n: f"__orig_{n}" for n in features if n in df.columns}
-    staged = df.withColumns({f"__in_{n}": e for n, e in features.items()})
-    swapped = staged.withColumnsRenamed(saved).withColumnsRenamed({f"__in_{n}": n for n in features})
+    # Transform with complete feature values in place of the columns of those
+    # names, then put the original columns back and clear incomplete rows.
+    names = next(st for st in model.stages if isinstance(st, VectorAssembler)).getInputCols()
+    given = {n: (features or {}).get(n, F.col(n)) for n in names}
+    complete = reduce(lambda a, b: a & b, [e.isNotNull() for e in given.values()])
+    saved = {n: f"__orig_{n}" for n in given if n in df.columns}
+    filled = {f"__in_{n}": F.coalesce(e.cast("double"), F.lit(0.0)) for n, e in given.items()}
+    staged = df.withColumns({**filled, "__complete": complete})
+    swapped = staged.withColumnsRenamed(saved).withColumnsRenamed({f"__in_{n}": n for n in given})
     out = model.transform(swapped)
-    preds = [c for c in out.columns if c.startswith("pred_")]
+    preds = [F.when(F.col("__complete"), F.col(c)).alias(c) for c in out.columns if c.startswith("pred_")]
     return out.select(*[F.col(saved.get(c, c)).alias(c) for c in df.columns], *preds)
 
 
-def predict_outfits(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Batch predict: the kept columns plus ``pred_<label>`` per label."""
-    out = apply_model(model, df)
+def predict_outfits(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("row_id",), normalize_humidity: bool = True) -> DataFrame:
+    """Batch predict: the kept columns plus ``pred_<label>`` per label.
+    Humidity is read as the clean-up reads it (M1: percent or fraction) unless
+    ``normalize_humidity`` is off.  A row with a NULL feature has NULL
+    predictions."""
+    out = apply_model(model, df, {"pct_humidity": humidity_fraction("pct_humidity")} if normalize_humidity else None)
     preds = [c for c in out.columns if c.startswith("pred_")]
     return out.select(*[c for c in keep if c in out.columns], *preds)
 
 
 def predict_outfit(spark: SparkSession, model: PipelineModel, **features) -> dict:
     """L3: one scenario given as keyword features -> ``{label: value}``.
-    The same batch transform on a one-row frame; a missing feature fails."""
+    The same batch predict on a one-row frame (humidity in percent or as a
+    fraction); a missing feature fails."""
     missing = [f for f in S.FEATURES if f not in features]
     if missing:
         raise ValueError(f"missing features: {missing}")
@@ -312,7 +315,16 @@ def model_path(base: str, athlete: str = "default", activity: str = S.RUN, strat
     return f"{base.rstrip('/')}/{athlete}_{activity}_{strategy}"
 
 
-_POINTER_SCHEMA = "version string, path string, trained_at string, data_mtime string"
+_POINTER_SCHEMA = "version string, path string, trained_at string, data_micros long"
+
+
+def _micros(mtime: int | dt.datetime | None) -> int | None:
+    """A modification time in microseconds since the epoch (a datetime without
+    a zone is UTC), so that no zone setting changes a comparison."""
+    if mtime is None or isinstance(mtime, int):
+        return mtime
+    aware = mtime if mtime.tzinfo else mtime.replace(tzinfo=dt.timezone.utc)
+    return (aware - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
 
 def _pointer(spark: SparkSession, path: str):
@@ -320,20 +332,21 @@ def _pointer(spark: SparkSession, path: str):
     try:
         pointers = spark.read.schema(_POINTER_SCHEMA).json(f"{path}/_latest")
         rows = pointers.orderBy(F.desc("version")).limit(1).collect()
-    except Exception:  # noqa: BLE001 - no pointer yet
+    except AnalysisException as e:  # no pointer yet; any other fault is raised
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return rows[0].asDict() if rows else None
 
 
-def save_model(model: PipelineModel, path: str, data_mtime: dt.datetime | None = None) -> str:
+def save_model(spark: SparkSession, model: PipelineModel, path: str, data_mtime: int | dt.datetime | None = None) -> str:
     """Write a new version directory, then a pointer record naming it
     (readers never see a half-written model)."""
-    spark = SparkSession.getActiveSession()
     version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
     target = f"{path}/v={version}"
     model.write().save(target)
     rec = {"version": version, "path": target, "trained_at": dt.datetime.now(dt.timezone.utc).isoformat(),
-           "data_mtime": data_mtime.isoformat() if data_mtime else None}
+           "data_micros": _micros(data_mtime)}
     spark.createDataFrame([(json.dumps(rec),)], "value string").coalesce(1).write.mode("append").text(
         f"{path}/_latest"
     )
@@ -347,8 +360,9 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
     return PipelineModel.load(ptr["path"])
 
 
-def data_modified(spark: SparkSession, path: str, glob: str = "*.parquet") -> dt.datetime | None:
-    """Newest modification time of the files under ``path``: one row per file
+def data_modified(spark: SparkSession, path: str, glob: str = "*.parquet") -> int | None:
+    """Newest modification time of the files under ``path``, in microseconds
+    since the epoch: one row per file
     from the file listing (the binary-file source reads no content when only
     the modification time is selected), so the check costs a listing, not a
     scan of the data."""
@@ -359,7 +373,7 @@ def data_modified(spark: SparkSession, path: str, glob: str = "*.parquet") -> dt
         .load(path)
         .select("modificationTime")
     )
-    row = files.agg(F.max("modificationTime").alias("m")).collect()[0]
+    row = files.agg(F.max(F.unix_micros("modificationTime")).alias("m")).collect()[0]
     return row["m"]
 
 
@@ -370,24 +384,23 @@ def get_model(
     strategy: str = "ddt",
     athlete: str = "default",
     activity: str = S.RUN,
-    data_mtime: dt.datetime | None = None,
+    data_mtime: int | dt.datetime | None = None,
     **fit_kw,
 ) -> tuple[PipelineModel, bool]:
     """L7 + F7: load the stored model unless it is missing or older than the
     training files; otherwise fit, save a new version and return it.
     ``data_mtime`` is the newest modification time of the training files
-    (see ``data_modified``).  Returns ``(model, retrained)``.  Modification
-    times are compared as naive timestamps in the session time zone."""
+    (see ``data_modified``).  Returns ``(model, retrained)``."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; use one of {sorted(STRATEGIES)}")
     path = model_path(base_path, athlete, activity, strategy)
     ptr = _pointer(spark, path)
-    mtime = data_mtime
-    if ptr is not None and ptr.get("data_mtime") and mtime is not None:
-        if dt.datetime.fromisoformat(ptr["data_mtime"]).replace(tzinfo=None) >= mtime.replace(tzinfo=None):
+    mtime = _micros(data_mtime)
+    if ptr is not None and ptr.get("data_micros") is not None and mtime is not None:
+        if ptr["data_micros"] >= mtime:
             return PipelineModel.load(ptr["path"]), False
     model = STRATEGIES[strategy](training, **fit_kw)
-    save_model(model, path, mtime)
+    save_model(spark, model, path, mtime)
     return model, True
 
 
@@ -398,7 +411,7 @@ def train_from_logs(
     strategy: str = "ddt",
     activity: str = S.RUN,
     athlete: str = "default",
-    data_mtime: dt.datetime | None = None,
+    data_mtime: int | dt.datetime | None = None,
     **fit_kw,
 ) -> tuple[PipelineModel, bool]:
     """L8 then L7: clean raw activity logs for one activity and train (or load,

@@ -26,16 +26,15 @@ def observations_from_points(
     windBearing, precipProbability, humidity``) -> observation rows.
 
     * readings at or below the sentinel become NULL;
-    * feels-like is the apparent temperature (a sentinel heat index falls back
-      to the wind chill, which hour points do not carry);
+    * feels-like is the apparent temperature;
     * humidity is normalised to a fraction; a missing bearing counts as north;
+    * daylight is the points' ``is_light`` where they carry it, else true;
     * the epoch is read as wall-clock time in ``tz``;
     * ``units`` must be one of imperial/english/metric;
     * other document columns (envelope fields, source file) pass through."""
     if units not in S.UNITS:
         raise ValueError(f"units must be one of {S.UNITS}, got {units!r}")
     ts = W.epoch_to_local("time", tz)
-    heat_index = P.sentinel_null(F.col("apparentTemperature"), sentinel)
     humidity = P.sentinel_null(F.col("humidity"), sentinel)
     return points.select(
         F.col(location_col).alias("location_key"),
@@ -44,13 +43,14 @@ def observations_from_points(
         F.col("time").alias("epoch"),
         W.icon_condition("icon", compat=compat).alias("condition"),
         P.sentinel_null(F.col("temperature"), sentinel).alias("temp_f"),
-        W.feels_like(heat_index, F.lit(0.0), S.OBSERVATION_SENTINEL).alias("feels_like"),
+        P.sentinel_null(F.col("apparentTemperature"), sentinel).alias("feels_like"),
         P.sentinel_null(F.col("windSpeed"), sentinel).alias("wind_speed"),
-        W.compass_point("windBearing").alias("wind_dir"),
+        W.compass_point(P.sentinel_null(F.col("windBearing"), sentinel)).alias("wind_dir"),
         P.sentinel_null(F.col("precipProbability"), sentinel).alias("precip_chance"),
         W.humidity_fraction(humidity).alias("pct_humidity"),
         F.lit(units).alias("units"),
-        *[c for c in points.columns if c not in _POINT_FIELDS and c not in (location_col, "point_pos")],
+        (F.coalesce(F.col("is_light"), F.lit(True)) if "is_light" in points.columns else F.lit(True)).alias("is_light"),
+        *[c for c in points.columns if c not in _POINT_FIELDS and c not in (location_col, "point_pos", "is_light")],
     )
 
 

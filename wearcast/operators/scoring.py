@@ -34,10 +34,11 @@ def label_accuracy(
     df: DataFrame, labels: Sequence[str], pred_prefix: str = "pred_", drop_perfect: bool = False
 ) -> DataFrame:
     """A1 (+A2 with ``drop_perfect``): per-label share of rows where the
-    prediction equals the actual value, as ``(label, hits, n_rows, accuracy)``."""
+    prediction equals the actual value, as ``(label, hits, n_rows, accuracy)``;
+    an empty table has NULL accuracies."""
     labels = list(labels)
     long = _hit_counts(df, labels, pred_prefix).unpivot(["n_rows"], labels, "label", "hits")
-    out = long.select("label", "hits", "n_rows", (F.col("hits") / F.col("n_rows")).alias("accuracy"))
+    out = long.select("label", "hits", "n_rows", F.try_divide(F.col("hits"), F.col("n_rows")).alias("accuracy"))
     if drop_perfect:
         out = out.filter(F.col("hits") != F.col("n_rows"))
     return out
@@ -48,7 +49,7 @@ def overall_accuracy(scores: DataFrame) -> DataFrame:
     label remains).  Computed as total hits / (rows x labels), which is the
     mean of the per-label shares with a single rounding."""
     return scores.agg(
-        (F.sum("hits") / (F.max("n_rows") * F.count(F.lit(1)))).alias("overall"),
+        F.try_divide(F.sum("hits"), F.max("n_rows") * F.count(F.lit(1))).alias("overall"),
         F.count(F.lit(1)).alias("n_labels"),
     )
 
@@ -71,9 +72,9 @@ def score_table(
     kept_hits = sum(F.when(k, F.col(lab)).otherwise(F.lit(0)) for k, lab in zip(kept, labels))
     kept_count = sum(F.when(k, F.lit(1)).otherwise(F.lit(0)) for k in kept)
     with_overall = wide.withColumn(
-        "overall", F.when(kept_count > 0, kept_hits / (n * kept_count))
+        "overall", F.when(kept_count > 0, F.try_divide(kept_hits, n * kept_count))
     ).select(
-        *[F.when(k, F.col(lab) / n).alias(lab) for k, lab in zip(kept, labels)], "overall"
+        *[F.when(k, F.try_divide(F.col(lab), n)).alias(lab) for k, lab in zip(kept, labels)], "overall"
     )
     long = with_overall.unpivot([], [*labels, "overall"], "label", "accuracy")
     return long.filter(F.col("accuracy").isNotNull() | (F.col("label") == "overall"))
@@ -93,6 +94,6 @@ def weighted_accuracy(scores: DataFrame, weights: DataFrame | Mapping[str, float
         ),
     )
     return checked.agg(
-        (F.sum(F.col("hits") * F.col("weight")) / (F.max("n_rows") * F.count(F.lit(1)))).alias("weighted"),
+        F.try_divide(F.sum(F.col("hits") * F.col("weight")), F.max("n_rows") * F.count(F.lit(1))).alias("weighted"),
         F.count(F.lit(1)).alias("n_weighted"),
     )

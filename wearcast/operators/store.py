@@ -34,13 +34,15 @@ def _lit_ts(now) -> Column:
 
 # -- A5 ---------------------------------------------------------------------
 def latest_per_key(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("snapshot_ts",)) -> DataFrame:
-    """Keep, per key, the row that is greatest by ``order`` (the newest write).
+    """Keep, per key, the row that is greatest by ``order`` (the newest write);
+    rows that tie in it are settled by their other columns, so the result does
+    not depend on the order of work.
 
-    ``max_by`` over a struct of the remaining columns: one partial aggregate
-    per task, one final aggregate per key."""
+    The maximum of one struct, ``order`` first: one partial aggregate per
+    task, one final aggregate per key."""
     keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in keys]
-    agg = F.max_by(F.struct(*rest), F.struct(*order)).alias("_latest")
+    agg = F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_latest")
     return df.groupBy(*keys).agg(agg).select(*keys, *[F.col("_latest")[c].alias(c) for c in rest])
 
 
@@ -107,13 +109,21 @@ def routed_lookup(
     now,
     when_col: str = "obs_hour",
     keys: Sequence[str] = KEYS,
+    order: Sequence[str] = (),
+    ttl_hours: int | None = None,
 ) -> DataFrame:
     """Route each request to the forecast or the history store by its
-    time, then look it up there.  Both stores are tagged and unioned so the
-    lookup is one join on ``(kind, location_key, obs_hour)``."""
+    time, then look it up there.  Both stores hold writes: the newest per
+    (kind, key) by ``order`` counts (without an order, the greatest row), so a
+    request stays one row however often its hour was written.  The stores are
+    tagged and unioned before that one aggregate, and its partitioning serves
+    the join.  With ``ttl_hours`` only forecasts whose ``snapshot_ts`` is at
+    most that old at ``now`` count (F6)."""
     cols = [c for c in forecasts.columns if c in history.columns]
+    if ttl_hours is not None:
+        forecasts = fresh_only(forecasts, now, "snapshot_ts", ttl_hours)
     stores = forecasts.select(*cols).withColumn("kind", F.lit("forecast")).unionByName(
         history.select(*cols).withColumn("kind", F.lit("history"))
     )
     routed = requests.withColumn("kind", route(when_col, now))
-    return lookup(routed, stores, keys=["kind", *keys])
+    return lookup(routed, latest_per_key(stores, ["kind", *keys], order), keys=["kind", *keys])

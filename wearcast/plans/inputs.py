@@ -63,7 +63,7 @@ EVENT_SCENARIO = [
 # labels set by axis-aligned threshold rules a depth-4 tree can represent.
 _Q = "CAST(l_quantity AS DOUBLE)"
 _W = "CAST(ROUND(l_discount * 100) AS DOUBLE)"
-_H = "CAST(ROUND(l_tax * 100) AS DOUBLE)"
+_H = "CAST(ROUND(l_tax * 100) AS DOUBLE) / 10"
 _D = "CAST(l_linenumber * 15 AS DOUBLE)"
 LABEL_RULES = {
     "outer_layer": f"CASE WHEN {_Q} < 20 THEN 'Sweatshirt-Heavy' WHEN {_Q} < 35 THEN 'Long-sleeve' ELSE 'Short-sleeve' END",
@@ -71,7 +71,7 @@ LABEL_RULES = {
     "jacket": f"CASE WHEN {_W} >= 6 THEN (CASE WHEN {_Q} < 25 THEN 'Wind-Warm' ELSE 'Wind' END) ELSE 'None' END",
     "lower_body": f"CASE WHEN {_Q} < 15 THEN 'Insulated tights' WHEN {_Q} < 30 THEN 'Long tights' "
     f"WHEN {_Q} < 40 THEN 'Capri' ELSE 'Shorts' END",
-    "shoe_cover": f"CASE WHEN {_Q} < 8 AND {_H} >= 5 THEN 'Toe Cover' ELSE 'None' END",
+    "shoe_cover": f"CASE WHEN {_Q} < 8 AND {_H} >= 0.5 THEN 'Toe Cover' ELSE 'None' END",
     "ears_hat": f"({_Q} < 25)",
     "gloves": f"({_Q} < 22)",
     "heavy_socks": f"({_Q} < 18 AND {_D} >= 60)",

@@ -15,7 +15,7 @@ from wearcast.operators.cleaning import union_all_by_name
 from wearcast.operators.generate import random_scenarios
 from wearcast.operators.rules import outfit_from_rules
 from wearcast.operators.samples import append_samples, merge_samples, observation_row
-from wearcast.plans.catalog import register, sql_str
+from wearcast.plans.catalog import register, sql_list, sql_str
 from wearcast.plans.inputs import EVENT_SCENARIO, event_scenarios, event_scenarios_sql, spark_view
 from wearcast.plans.q_weather import _temp_sql
 from wearcast.session import read_table, shared_path
@@ -91,24 +91,35 @@ def _text_sources_sql() -> str:
     return f"""WITH s AS ({_SCEN})
 SELECT row_id, 'log' AS source, {cols} FROM s WHERE event_type IN {_LOG_TYPES}
 UNION ALL
-SELECT row_id, 'workbook' AS source, {cols} FROM s WHERE event_type NOT IN {_LOG_TYPES}"""
+SELECT row_id, 'workbook' AS source, {cols} FROM s WHERE (event_type IN {_LOG_TYPES}) IS NOT TRUE"""
 
 
 @register("text_sources", _text_sources_sql())
 def text_sources(spark, sf_dir):
     """S1-S3 + U1: event scenarios written as an activity-log CSV family and
     as a workbook export (sheet headers, Yes/No, empty rows, extra columns),
-    then read back through the log reader (all CSVs of the family) and the
+    each in files of several column orders, then read back through the log reader (all CSVs of the family) and the
     workbook reader, and unioned by name."""
     e = read_table(spark, sf_dir, "events")
     base = shared_path(spark, "text_sources")
-    log_rows = e.filter(F.col("event_type").isin("view", "click", "purchase"))
-    spark_view(log_rows, _LOG_FILE).write.option("header", True).csv(f"{base}/logs/training_data.csv")
-    wb_rows = spark_view(e.filter(~F.col("event_type").isin("view", "click", "purchase")), _quoted(_WORKBOOK_FILE))
+    is_log = F.coalesce(F.col("event_type").isin("view", "click", "purchase"), F.lit(False))
+    log_rows = e.filter(is_log)
+    # three files of the family: as declared, reversed, and with a column more
+    # and columns less; and another table in the same folder
+    part = F.pmod(F.col("event_id"), F.lit(3))
+    layouts = [_LOG_FILE, _LOG_FILE[::-1], [("note", "'extra'"), *[c for c in _LOG_FILE if c[0] not in ("location", "dow")]]]
+    for i, layout in enumerate(layouts):
+        spark_view(log_rows.filter(part == i), layout).write.option("header", True).csv(f"{base}/logs/training_{i}.csv")
+    e.select("event_id", "value").write.option("header", True).csv(f"{base}/logs/readings.csv")
+    wb_rows = spark_view(e.filter(~is_log), _quoted(_WORKBOOK_FILE))
     empty = e.filter(F.col("event_id") % 50 == 0).select(
         *[F.lit(None).cast("string").alias(n) for n, _ in _WORKBOOK_FILE]
     )
-    wb_rows.unionByName(empty, allowMissingColumns=True).write.option("header", True).csv(f"{base}/workbook")
+    sheet = wb_rows.unionByName(empty, allowMissingColumns=True)
+    turned = sheet.select(*[F.col(f"`{c}`") for c in [*sheet.columns[:25][::-1], *sheet.columns[25:]]])
+    odd = F.coalesce(F.col("Row") % 2 == 1, F.lit(False))
+    sheet.filter(~odd).write.option("header", True).csv(f"{base}/workbook")
+    turned.filter(odd).write.mode("append").option("header", True).csv(f"{base}/workbook")
 
     logs = FS.read_all_logs(spark, [(f"{base}/logs/*.csv", LOG_SCHEMA)]).withColumn("source", F.lit("log"))
     wb = FS.read_workbook_export(spark, f"{base}/workbook").withColumnRenamed("Row", "row_id")
@@ -158,9 +169,33 @@ def sample_sink(spark, sf_dir):
     return FS.read_activity_csv(spark, path, schema).select(*_SAMPLE_COLS)
 
 
+@register("sample_append", _sample_sql())
+def sample_append(spark, sf_dir):
+    """U2 on files: the sample rows of one half of the events are written,
+    those of the other half appended to the same table, and all read back."""
+    s = event_scenarios(spark, sf_dir)
+    late = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    outfits = s.select("row_id", "event_type", *S.LABELS, *S.FEATURES)
+    changed = outfits.withColumns({
+        "duration": F.when(late, 45.0).otherwise(F.col("duration")),
+        "gloves": F.when(late, F.lit(None).cast("boolean")).otherwise(F.col("gloves")),
+        "Athlete": F.lit("default"),
+        "activity": F.lit("Run"),
+    })
+    folder = shared_path(spark, "samples")
+    FS.write_sample_data(changed.filter(~late).select(*_SAMPLE_COLS), folder, "kept")
+    path = FS.write_sample_data(changed.filter(late).select(*_SAMPLE_COLS), folder, "kept", append=True)
+    schema = T.StructType(
+        [T.StructField("row_id", T.LongType())]
+        + [S.CLEAN_SCHEMA[c] for c in [*S.LABELS, *S.FEATURES]]
+        + [T.StructField("Athlete", T.StringType()), T.StructField("activity", T.StringType())]
+    )
+    return FS.read_activity_csv(spark, f"{path}/", schema).select(*_SAMPLE_COLS)
+
+
 # -- S9 ---------------------------------------------------------------------
 RULES_FILE = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "clothing_rules.json")
-_SKY = "CASE event_id % 3 WHEN 0 THEN 'sunny' WHEN 1 THEN 'cloudy' END"
+_SKY = "CASE event_id % 3 WHEN 0 THEN 'bright' WHEN 1 THEN 'overcast' END"
 
 
 def _rules_values() -> str:
@@ -179,7 +214,7 @@ def _rules_values() -> str:
 def _rules_sql() -> str:
     return f"""WITH s AS ({_SCEN}),
 c AS (SELECT row_id, {_temp_sql('feels_like')} AS condition FROM s
-      UNION ALL SELECT row_id, 'always' FROM s
+      UNION ALL SELECT row_id, 'every outing' FROM s
       UNION ALL SELECT row_id, {_SKY.replace("event_id", "row_id")} FROM s),
 r AS ({_rules_values()})
 SELECT c.row_id, c.condition, r.body_part, r.item FROM c JOIN r ON c.condition = r.condition
@@ -189,7 +224,7 @@ WHERE r.activity = 'run'"""
 @register("clothing_rules", _rules_sql())
 def clothing_rules(spark, sf_dir):
     """The nested rules asset read from the shared folder and flattened,
-    then applied to every scenario's temperature phrase, the 'always' rules
+    then applied to every scenario's temperature phrase, the rules for every outing
     and its sky condition."""
     with open(RULES_FILE, encoding="utf-8") as fh:
         text = fh.read()
@@ -197,12 +232,46 @@ def clothing_rules(spark, sf_dir):
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
     rules = FS.read_clothing_rules(spark, path)
     s = event_scenarios(spark, sf_dir).withColumn("sky", F.expr(_SKY.replace("event_id", "row_id")))
-    conds = F.array(temp_phrase("feels_like"), F.lit("always"), F.col("sky"))
+    conds = F.array(temp_phrase("feels_like"), F.lit("every outing"), F.col("sky"))
     return outfit_from_rules(s, rules, "run", conds).select("row_id", "condition", "body_part", "item")
 
 
 # -- S10 / G1-G7 / T11 / X2 -------------------------------------------------
-@register("scenarios")
+def _scenarios_sql(seed: int = 7) -> str:
+    def u(k: int, s: int = seed) -> str:
+        return f"(CAST(('0x' || substr(md5(row_id || ':{s}:{k}'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+    def between(k: int, lo: int, n: int, step: int = 1) -> str:
+        return f"(CAST(floor({u(k)} * {n}) AS BIGINT) * {step} + {lo})"
+
+    def normal(k: int, mean: float, sd: float) -> str:
+        return f"round_even(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u(k)})) * cos(6.283185307179586::DOUBLE * {u(k + 1000)}) * {sd} + {mean}, 0)"
+
+    def one_of(options, k: int) -> str:
+        return f"[{sql_list(options)}][CAST(floor({u(k)} * {len(options)}) AS BIGINT) + 1]"
+
+    def pick(options, s: int) -> str:
+        return f"[{sql_list(options)}][CAST(('0x' || substr(md5(row_id || ':{s}:0'), 1, 13)) AS BIGINT) % {len(options)} + 1]"
+
+    common, seldom = ["clear", "wind", "fog", "cloudy", "partly-cloudy"], ["rain", "snow", "sleet"]
+    whens = " ".join(f"WHEN {u(8)} * 440 < {70 * (i + 1)} THEN '{c}'" for i, c in enumerate(common))
+    whens += " " + " ".join(f"WHEN {u(8)} * 440 < {350 + 30 * (i + 1)} THEN '{c}'" for i, c in enumerate(seldom))
+    winds = ["N", "NNE", "NNW", "ENE", "WNW", "E", "W", "S", "SSE", "SSW", "ESE", "WSW"]
+    return f"""WITH e AS (SELECT event_id AS row_id FROM events),
+d AS (SELECT row_id, {between(1, 1, 11)} AS m, {between(2, 1, 27)} AS d, {between(3, 5, 16)} AS h, {between(4, 0, 10, 10)} AS p,
+  {normal(5, 55.0, 20.0)} AS temp_f, LEAST(30.0, GREATEST(0.0, {normal(6, 8.0, 8.0)})) AS wind_speed, {normal(7, 55.0, 20.0)} AS hum,
+  CASE {whens} ELSE 'sleet' END AS condition, {one_of(winds, 9)} AS wind_dir, {u(10)} < 0.5 AS is_light,
+  GREATEST(20.0, {normal(11, 45.0, 45.0)}) AS duration, {u(12)} AS t FROM e),
+g AS (SELECT *, CASE WHEN t < 2.5 / 7.0 THEN 8.0 + sqrt(t * 17.5) ELSE 15.0 - sqrt((1.0 - t) * 31.5) END AS pace_draw FROM d),
+f AS (SELECT *, round_even(duration / pace_draw, 2) AS distance FROM g)
+SELECT row_id, make_timestamp(2024, m, d, h, 0, 0.0) AS ts, CAST(CASE WHEN p < 20 THEN 0 WHEN p > 80 THEN 100 ELSE p END AS DOUBLE) AS precip_chance,
+  temp_f, wind_speed, CASE WHEN hum < 1 THEN hum ELSE hum / 100 END AS pct_humidity, condition, wind_dir, is_light, duration, distance,
+  temp_f AS feels_like, round_even(duration / distance, 2) AS pace, 'Anytown, US' AS location,
+  {pick(S.OPENING_STATEMENTS, seed + 100)} AS opening, {pick(S.CLOTHING_STATEMENTS, seed + 101)} AS clothing_lead
+FROM f"""
+
+
+@register("scenarios", _scenarios_sql())
 def scenarios(spark, sf_dir):
     """S10 + G1-G7 + M5/M6 + T11: one random scenario per event id (draws
     hashed from the id, so independent of partitioning)."""

@@ -79,14 +79,13 @@ FROM r LEFT JOIN st ON r.kind = st.kind AND r.location_key = st.location_key AND
 )
 def observation_lookup(spark, sf_dir):
     """F5 routing by time, then J7/J2: each request looked up in the forecast
-    or history store (each deduplicated by A5) at its (place, hour)."""
+    or history store (newest write per place and hour, A5)."""
     obs = _observations(spark, sf_dir)
     cols = ["location_key", "obs_hour", "snapshot_ts", "event_id", "value"]
-    latest = ("snapshot_ts", "event_id")
-    forecasts = ST.latest_per_key(obs.filter(F.col("kind") == "forecast").select(*cols), order=latest)
-    history = ST.latest_per_key(obs.filter(F.col("kind") == "history").select(*cols), order=latest)
+    forecasts = obs.filter(F.col("kind") == "forecast").select(*cols)
+    history = obs.filter(F.col("kind") == "history").select(*cols)
     req = _requests(spark, sf_dir).drop("obs_date")
-    out = ST.routed_lookup(req, forecasts, history, NOW)
+    out = ST.routed_lookup(req, forecasts, history, NOW, order=("snapshot_ts", "event_id"))
     return out.select(
         "row_id", "location_key", "obs_hour", "kind", "obs_event_id", "obs_value", "obs_snapshot_ts", "found"
     )

@@ -15,7 +15,7 @@ from wearcast.operators.reply import (
     resolve_descriptions,
     with_option_ordinal,
 )
-from wearcast.plans.catalog import register, sql_list, sql_str
+from wearcast.plans.catalog import register, sql_str
 from wearcast.plans.inputs import event_scenarios, event_scenarios_sql
 from wearcast.plans.q_cleaning import _clean_sql
 
@@ -58,7 +58,7 @@ def descriptions(spark, sf_dir):
 
 def _list_sql(parts: list[str]) -> str:
     t = f"trim(concat_ws(', ', {', '.join(parts)}), ', ')"
-    return f"replace(regexp_replace({t}, ',([^,]*)$', ' and\\1'), 'and and', 'and')"
+    return f"CASE WHEN contains({t}, ',') THEN replace(regexp_replace({t}, ',([^,]*)$', ' and\\1'), 'and and', 'and') ELSE {t} END"
 
 
 def _describe_sql(c: str, table: dict) -> str:
@@ -66,17 +66,43 @@ def _describe_sql(c: str, table: dict) -> str:
     return f"CASE {c} {whens} END"
 
 
-def _reply_sql() -> str:
+# What a runner's outfit items are called, written out for the oracle.
+RUN_TEXT = {
+    "Sleeveless": "a sleeveless top",
+    "Short-sleeve": "singlet",
+    "Long-sleeve": "a long-sleeved top",
+    "Sweatshirt-Heavy": "a sweatshirt or heavier long-sleeve outwear",
+    "Rain": "a rain jacket",
+    "Warm": "a warm jacket",
+    "Wind": "a windbreaker",
+    "Rain-Wind": "a water repellent windbreaker",
+    "Rain-Warm": "a warm water repellent jacket",
+    "Wind-Warm": "an insulated windbreaker",
+    "Warm-Rain-Wind": "an water repellent, insulated windbreaker",
+    "Shorts": "shorts",
+    "Shorts-calf cover": "shorts with long socks or calf sleeves",
+    "Capri": "capri tights",
+    "Long tights": "full length tights",
+    "Insulated tights": "Insulated tights",
+}
+
+
+def run_reply_sql(opening: str, clothing: str, labels=None) -> str:
+    """The reply for a runner from columns feels_like, wind_speed and the
+    labels, with the given numbers of the sentence leads."""
     from wearcast.plans.q_weather import _temp_sql, _wind_sql
 
-    prof = profile(S.RUN)
     conds = _list_sql([_temp_sql("feels_like"), _wind_sql("wind_speed")])
-    items = _list_sql([_describe_sql(c, prof) for c in S.CATEGORICAL_LABELS])
-    opening = f"[{sql_list(S.OPENING_STATEMENTS)}][row_id % {len(S.OPENING_STATEMENTS)} + 1]"
-    clothing = f"[{sql_list(S.CLOTHING_STATEMENTS)}][row_id % {len(S.CLOTHING_STATEMENTS)} + 1]"
+    items = _list_sql([_describe_sql(c, {k: (v, None) for k, v in RUN_TEXT.items()}) for c in labels or S.CATEGORICAL_LABELS])
+    first = f"['It looks like', 'Oh my,', 'Well,'][{opening} % 3 + 1]"
+    second = ("['I suggest wearing', 'Based on the weather conditions, you should consider', "
+              f"'Looks like today would be a good day to wear', 'If I were going out I''d wear'][{clothing} % 4 + 1]")
+    return f"{first} || ' it is going to be ' || {conds} || '.' || chr(10) || {second} || ' ' || {items} || '. '"
+
+
+def _reply_sql() -> str:
     return f"""WITH c AS (SELECT * FROM ({_clean_sql()}))
-SELECT row_id, {opening} || ' it is going to be ' || {conds} || '.' || chr(10) || {clothing} || ' ' ||
-  {items} || '. ' AS reply
+SELECT row_id, {run_reply_sql("row_id", "row_id")} AS reply
 FROM c"""
 
 

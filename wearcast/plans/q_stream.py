@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wearcast.operators import model as M
 from wearcast.plans.catalog import register
 from wearcast.plans.inputs import lineitem_training
-from wearcast.plans.q_lookup import FORECAST_TYPES
+from wearcast.plans.q_lookup import FORECAST_TYPES, NOW
 from wearcast.plans.q_model import _PRED_SQL
 from wearcast.plans.q_weather import _doc_points_sql, event_hourly
 from wearcast.session import read_table, shared_path
@@ -61,7 +61,7 @@ def stream_upsert(spark, sf_dir):
             {"timestampNTZFormat": ST.TS_FORMAT},
         ).alias("value"),
     )
-    first = F.col("event_type").isin(*FORECAST_TYPES)
+    first = F.coalesce(F.col("event_type").isin(*FORECAST_TYPES), F.lit(False))
     docs.filter(first).select("value").write.mode("append").text(landing)
     docs.filter(~first).select("value").write.mode("append").text(landing)
     q = ST.start_observation_log(ST.observation_stream(spark, landing), log, checkpoint=f"{base}/ckpt")
@@ -69,6 +69,46 @@ def stream_upsert(spark, sf_dir):
     return ST.current_observations(spark, log).select(*_STREAM_COLS)
 
 
+def _ingest(spark, sf_dir, name, compact=False):
+    """Forecast documents of every event in two batches, the second landing
+    after the first was ingested (and the log compacted)."""
+    e = read_table(spark, sf_dir, "events")
+    base = shared_path(spark, name)
+    landing, log = f"{base}/landing", f"{base}/log"
+    value = F.to_json(
+        F.struct(
+            F.col("user_id").cast("string").alias("location"),
+            F.col("ts").alias("snapshot_ts"),
+            F.col("event_id").alias("seq"),
+            event_hourly().alias("hourly"),
+        ),
+        {"timestampNTZFormat": ST.TS_FORMAT},
+    )
+    first = F.coalesce(F.col("event_type").isin(*FORECAST_TYPES), F.lit(False))
+    done = None
+    for late in (False, True):
+        e.filter(first != F.lit(late)).select(value.alias("value")).write.mode("append").text(landing)
+        ST.start_observation_log(ST.observation_stream(spark, landing), log, checkpoint=f"{base}/ckpt").awaitTermination()
+        if compact:
+            done = ST.compact_log(spark, log) if not late else done
+    return log, done
+
+
+@register("stream_compact", _stream_sql())
+def stream_compact(spark, sf_dir):
+    """ST1 with compaction: the log is compacted between two batches, and the
+    store is the snapshot plus the batch after it, whose rows are older."""
+    log, done = _ingest(spark, sf_dir, "stream_compact", compact=True)
+    return ST.current_observations(spark, log, compacted=done).select(*_STREAM_COLS)
+
+
+@register("stream_fresh", _stream_sql().replace("SELECT * FROM o\n", f"SELECT * FROM o WHERE snapshot_ts >= TIMESTAMP '{NOW}' - INTERVAL 12 HOUR\n"))
+def stream_fresh(spark, sf_dir):
+    """ST3: the store read with expiry: only snapshots at most 12 hours old."""
+    log, _ = _ingest(spark, sf_dir, "stream_fresh")
+    return ST.current_observations(spark, log, now=NOW, ttl_hours=12).select(*_STREAM_COLS)
+
+
 @register("stream_score", _PRED_SQL)
 def stream_score(spark, sf_dir):
     """ST2: a model fitted on every line item scores line items arriving as
@@ -78,8 +118,8 @@ def stream_score(spark, sf_dir):
     base = shared_path(spark, "stream_score")
     landing, out = f"{base}/landing", f"{base}/out"
     feats = train.select("row_id", "feels_like", "wind_speed", "pct_humidity", "duration", "is_light")
-    feats.filter(F.col("is_light")).write.mode("append").parquet(landing)
-    feats.filter(~F.col("is_light")).write.mode("append").parquet(landing)
+    feats.filter("is_light IS TRUE").write.mode("append").parquet(landing)
+    feats.filter("is_light IS NOT TRUE").write.mode("append").parquet(landing)
     stream = spark.readStream.schema(feats.schema).parquet(landing)
     q = ST.start_scoring(model, stream, out, checkpoint=f"{base}/ckpt")
     q.awaitTermination()

@@ -105,19 +105,12 @@ DEFAULT_COORDINATES = [("72712", 36.37233, -94.20949), ("AR-Bentonville", 36.372
 
 # Sentence banks.
 OPENING_STATEMENTS = ["It looks like", "Oh my,", "Well,"]
-WEATHER_STATEMENTS = ["the weather should be", "Weather underground says"]
 CLOTHING_STATEMENTS = [
     "I suggest wearing",
     "Based on the weather conditions, you should consider",
     "Looks like today would be a good day to wear",
     "If I were going out I'd wear",
 ]
-CLOSING_STATEMENTS = [
-    "Of course, you should always",
-    "It would be insane not to wear",
-    "Also, you should always wear",
-    "And I never go out without",
-]
 
 # Base item descriptions: item -> (description, alternative description).
 BASE_DESCRIPTIONS = {
@@ -288,18 +281,3 @@ COORDINATE_SCHEMA = T.StructType(
         T.StructField("longitude", T.DoubleType()),
     ]
 )
-
-# Observation table produced from hourly weather (one row per place and hour).
-OBSERVATION_COLUMNS = [
-    "location_key",
-    "obs_hour",
-    "obs_date",
-    "condition",
-    "temp_f",
-    "feels_like",
-    "wind_speed",
-    "wind_dir",
-    "precip_chance",
-    "pct_humidity",
-    "units",
-]

@@ -10,6 +10,7 @@ scratch folder and register it.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,8 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
     Read from the running context (set from ``spark.checkpoint.dir`` at start);
-    when nothing is configured (a local test run) a scratch folder is created
-    and registered, so ``DataFrame.checkpoint()`` works everywhere.
+    when nothing is configured, a local run gets a scratch folder, registered so
+    that ``DataFrame.checkpoint()`` works; on a cluster, where executors do not
+    share the driver's folders, that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="wearcast-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

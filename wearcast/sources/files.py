@@ -9,8 +9,10 @@ category value.
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +23,21 @@ from wearcast import schema as S
 from wearcast.functions.parsing import parse_bool
 from wearcast.operators.cleaning import drop_columns, drop_empty_rows, rename_workbook_headers, union_all_by_name
 
-
-def _text_schema(schema: T.StructType) -> T.StructType:
-    """The schema with boolean fields read as strings (parsed afterwards)."""
-    return T.StructType(
-        [T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BooleanType) else f.dataType) for f in schema]
-    )
+BOM = "\ufeff"
 
 
-def _parse_bools(df: DataFrame, schema: T.StructType) -> DataFrame:
-    bools = [f.name for f in schema if isinstance(f.dataType, T.BooleanType) and f.name in df.columns]
-    return df.withColumns({b: parse_bool(b) for b in bools}) if bools else df
+def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns by name, converted from text (a text that is no
+    value of the type is NULL), missing ones NULL; other columns kept as text."""
+    out = []
+    for f in schema:
+        if f.name not in df.columns:
+            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+        elif isinstance(f.dataType, T.BooleanType):
+            out.append(parse_bool(f.name).alias(f.name))
+        else:
+            out.append(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name))
+    return df.select(*out, *[F.col(f"`{c}`") for c in df.columns if c not in schema.fieldNames()])
 
 
 # -- S1 ---------------------------------------------------------------------
@@ -43,50 +49,74 @@ def csv_path(path: str) -> str:
     return stem + ".csv"
 
 
-def _header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
-    """The declared types ordered as the header of the first file under
-    ``path`` names its columns (undeclared columns are read as text)."""
-    header = spark.read.option("header", True).csv(path).columns
-    declared = {f.name: f.dataType for f in schema}
-    return T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``(header, files)``: each header line under ``path`` with the files that
+    have it.  One distributed scan finds every file's first line; the result
+    has one row per layout."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    firsts = (
+        lines.where("start = 0")
+        .withColumn("n", F.monotonically_increasing_id())
+        .groupBy("file")
+        .agg(F.min_by("value", "n").alias("header"))
+    )
+    return firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+
 
+def _layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(columns, files) of each layout, in the order of their first files."""
+    rows = sorted(file_headers(spark, path).collect(), key=lambda r: r["files"])
+    return [(next(csv.reader([r["header"].removeprefix(BOM)])), [unquote(f) for f in r["files"]]) for r in rows]
 
-def _by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The declared columns by name, typed, missing ones NULL; others kept."""
-    declared = [
-        F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema
-    ]
-    extra = [c for c in df.columns if c not in schema.fieldNames()]
-    return df.select(*declared, *extra)
-
-
-def _read_family(spark: SparkSession, path: str, schema: T.StructType, mode: str) -> DataFrame:
-    ordered = _header_schema(spark, path, schema)
-    df = (
-        spark.read.schema(_text_schema(ordered))
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", mode)
-        .option("ignoreCorruptFiles", True)
-        .csv(path)
-    )
-    return _by_name(_parse_bools(df, ordered), schema)
+
+def _read_layout(spark: SparkSession, columns: list[str], files: list[str], mode: str) -> DataFrame:
+    """The rows of files of one layout, as text.  Whole lines are parsed
+    whatever is selected, so a count equals the length of a full select."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).option("header", True).option("mode", mode).option("columnPruning", False).csv(files)
 
 
 def read_activity_csv(spark: SparkSession, path: str, schema: T.StructType = S.ACTIVITY_LOG_SCHEMA) -> DataFrame:
-    """A labelled activity log CSV with header; a missing path fails.
-    Columns are matched by header name (any order), typed by ``schema``;
-    declared columns the file lacks are NULL."""
-    return _read_family(spark, csv_path(path), schema, "PERMISSIVE")
+    """A labelled activity log CSV with header (a file, folder or glob); a
+    missing path and an unreadable file fail.  Every file is read by its own
+    header: columns are matched by name in any order, typed by ``schema``;
+    declared columns that a file lacks are NULL there, others stay text."""
+    frames = [_typed(_read_layout(spark, columns, files, "PERMISSIVE"), schema) for columns, files in _layouts(spark, csv_path(path))]
+    return union_all_by_name(*frames) if frames else spark.createDataFrame([], schema)
 
 
 # -- S2 / U1 ----------------------------------------------------------------
-def read_all_logs(spark: SparkSession, families: Sequence[tuple[str, T.StructType]]) -> DataFrame:
+def _belongs(columns: list[str], schema: T.StructType, min_share: float) -> bool:
+    return len(set(columns) & set(schema.fieldNames())) >= min_share * len(schema)
+
+
+def read_all_logs(spark: SparkSession, families: Sequence[tuple[str, T.StructType]], min_share: float = 0.5) -> DataFrame:
     """Every CSV of each schema family (glob, schema), unioned by column
-    name with missing columns as NULL.  A family's layout is the header of its
-    first file; files whose header differs (another table in the same folder)
-    are skipped, and malformed lines dropped, instead of failing the scan."""
-    return union_all_by_name(*[_read_family(spark, glob, schema, "DROPMALFORMED") for glob, schema in families])
+    name with missing columns as NULL.  Each file is read by its own header.
+    A file whose header has less than ``min_share`` of the family's columns is
+    another table in the same folder and left out; lines with a wrong number
+    of fields are dropped.  ``log_report`` counts both.  An unreadable file
+    fails."""
+    frames = [
+        _typed(_read_layout(spark, columns, files, "DROPMALFORMED"), schema)
+        for glob, schema in families
+        for columns, files in _layouts(spark, glob)
+        if _belongs(columns, schema, min_share)
+    ]
+    return union_all_by_name(*frames) if frames else spark.createDataFrame([], families[0][1])
+
+
+def log_report(spark: SparkSession, families: Sequence[tuple[str, T.StructType]], min_share: float = 0.5) -> DataFrame:
+    """What ``read_all_logs`` takes and leaves: one row per family and layout
+    with ``(family, header, files, taken, lines_read, lines_dropped)``."""
+    rows = []
+    for glob, schema in families:
+        for columns, files in _layouts(spark, glob):
+            taken = _belongs(columns, schema, min_share)
+            there = _read_layout(spark, columns, files, "PERMISSIVE").count() if taken else 0
+            kept = _read_layout(spark, columns, files, "DROPMALFORMED").count() if taken else 0
+            rows.append((glob, ",".join(columns), len(files), taken, kept, there - kept))
+    return spark.createDataFrame(rows, "family string, header string, files int, taken boolean, lines_read long, lines_dropped long")
 
 
 # -- S3 ---------------------------------------------------------------------
@@ -96,13 +126,14 @@ WORKBOOK_BOOLEAN = ["is_light", "ears_hat", "arm_warmers", "gloves", "face_cover
 
 def read_workbook_export(spark: SparkSession, path: str, first_columns: int = 25) -> DataFrame:
     """S3: a CSV/Parquet export of the activity workbook sheet: columns A..Y,
-    fully empty rows dropped, headers renamed, Yes/No parsed, numbers typed."""
+    fully empty rows dropped, headers renamed, Yes/No parsed, numbers typed.
+    Each CSV file is read by its own header and matched by column name."""
     if path.endswith(".parquet"):
-        raw = spark.read.parquet(path)
+        sheets = [spark.read.parquet(path)]
     else:
-        raw = spark.read.option("header", True).csv(path)
-    raw = raw.select(*raw.columns[:first_columns])
-    df = rename_workbook_headers(drop_empty_rows(raw))
+        sheets = [_read_layout(spark, columns, files, "PERMISSIVE") for columns, files in _layouts(spark, path)]
+    cut = [sheet.select(*[F.col(f"`{c}`") for c in sheet.columns[:first_columns]]) for sheet in sheets]
+    df = rename_workbook_headers(drop_empty_rows(union_all_by_name(*cut)))
     df = drop_columns(df, S.WORKBOOK_DROPS)
     typed = {c: F.col(c).cast("string").try_cast("double") for c in WORKBOOK_NUMERIC if c in df.columns}
     typed.update({c: parse_bool(c) for c in WORKBOOK_BOOLEAN if c in df.columns})
@@ -156,11 +187,12 @@ def default_sample_name(now: dt.datetime | None = None) -> str:
     return f"outfit_data_{now.day}{now.month}{now.hour}{now.minute}.csv"
 
 
-def write_sample_data(df: DataFrame, directory: str, name: str = "", fmt: str = "csv") -> str:
-    """Write sample rows with a header (CSV) or as Parquet; returns the
-    path.  Never overwrites an existing path."""
+def write_sample_data(df: DataFrame, directory: str, name: str = "", fmt: str = "csv", append: bool = False) -> str:
+    """Write sample rows with a header (CSV) or as Parquet; returns
+    the path.  An existing path is an error unless ``append`` adds to it; it
+    is never overwritten."""
     target = f"{directory.rstrip('/')}/{name or default_sample_name()}"
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("append" if append else "errorifexists")
     if fmt == "csv":
         writer.option("header", True).csv(target)
     else:

@@ -1,25 +1,25 @@
 """Structured Streaming: continuous weather ingest (ST1), continuous scoring
 (ST2) and forecast expiry on read (ST3).
 
-ST1 keeps an append-only observation log (Parquet, partitioned by day): each
-micro-batch only appends, so the sink is exactly-once through the stream
-checkpoint and never rewrites what it wrote before.  "Newest arrival wins
-per (place, hour)" is resolved when the log is read, with the same
-last-write-wins aggregate as the batch store (partial aggregation per task,
-day partitions pruned by the caller's filters).  Late or repeated hours
-therefore simply overwrite, as in the original's dictionary, with no state
-kept in the stream.
-
-The log is compacted by ``compact_log`` into a snapshot; readers then scan
-the snapshot plus only the batches ingested since.  Checkpoints and
-snapshots go under the session's shared checkpoint folder unless given.
+ST1 keeps an append-only observation log (Parquet, a folder per micro-batch,
+days below it).  A micro-batch writes its own folder - written anew if the
+batch is run again - and then a commit record, so each batch counts once and
+only when it is complete.  "Newest arrival wins per (place, hour)" is resolved
+when the log is read, with the same last-write-wins aggregate as the batch
+store.  Late or repeated hours therefore simply overwrite, as in the
+original's dictionary, with no state kept in the stream.
+
+``compact_log`` folds the committed batches into day folders of a snapshot.
+Its cut is a batch number, not a time: a reader takes the snapshot plus every
+batch after the cut, pruned by folder, and no row can fall between the two
+whatever its stamp.  Only days that the new batches touch are rewritten.
+Checkpoints and snapshots go under the session's shared checkpoint folder
+unless given.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-from zoneinfo import ZoneInfo
-
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wearcast import schema as S
+from wearcast.operators.cleaning import union_all_by_name
 from wearcast.operators.observations import observations_from_points
 from wearcast.operators.store import fresh_only, latest_per_key
 from wearcast.session import shared_path
-from wearcast.sources.snapshots import write_snapshot
 from wearcast.sources.weather_json import explode_hourly
 
 # A forecast document as it arrives: the hourly payload plus an envelope
@@ -62,30 +62,56 @@ def observation_stream(spark: SparkSession, path: str, max_files_per_trigger: in
 def start_observation_log(
     stream: DataFrame, log_path: str, checkpoint: str | None = None, available_now: bool = True
 ) -> StreamingQuery:
-    """ST1 sink: append observations to the day-partitioned log, stamped with
-    the micro-batch time (``ingest_ts``)."""
+    """ST1 sink: append observations to the log, one folder per micro-batch
+    (``batch_id``) and day, stamped with the batch time (``ingest_ts``).  A
+    log belongs to one stream, whose checkpoint numbers the batches."""
     ckpt = checkpoint or shared_path(stream.sparkSession, "streams", "observation_log")
-    writer = (
-        stream.withColumn("ingest_ts", F.current_timestamp())
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("obs_date")
-        .option("checkpointLocation", ckpt)
-    )
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("ingest_ts", F.current_timestamp())
+        rows.write.mode("overwrite").partitionBy("obs_date").parquet(f"{log_path}/batch_id={batch_id}")
+        commit = batch.sparkSession.createDataFrame([(batch_id,)], "batch_id long").coalesce(1)
+        commit.write.mode("overwrite").json(f"{log_path}/_commits/n={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(append).outputMode("append").option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start(log_path)
+    return writer.start()
 
 
-def _read_log(spark: SparkSession, log_path: str, schema: T.StructType | None, ingested_since: str | None) -> DataFrame:
+def last_batch(spark: SparkSession, log_path: str) -> int:
+    """The last committed batch of a log (-1: none yet)."""
+    try:
+        row = spark.read.schema("batch_id long").json(f"{log_path}/_commits").agg(F.max("batch_id")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+    return -1 if row[0] is None else row[0]
+
+
+def read_log(spark: SparkSession, log_path: str, schema: T.StructType | None = None, after: int = -1, upto: int | None = None) -> DataFrame:
+    """Log rows of the batches after ``after`` up to ``upto`` (default: the
+    last committed one).  The bounds prune folders."""
+    upto = last_batch(spark, log_path) if upto is None else upto
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    log = reader.parquet(log_path)
-    if ingested_since is not None:
-        # Every file of a micro-batch carries one ingest time, so the Parquet
-        # min/max statistics skip the files of older batches.
-        log = log.filter(F.col("ingest_ts") >= F.lit(ingested_since).cast("timestamp"))
-    return log
+    n = F.col("batch_id").cast("long")
+    return reader.parquet(log_path).where((n > after) & (n <= upto)).drop("batch_id")
+
+
+def _snapshot(spark: SparkSession, manifest: str, like: DataFrame, days: list | None = None) -> DataFrame:
+    """Rows of a compacted snapshot; with ``days`` only of those days."""
+    folders = [r for r in spark.read.schema(_MANIFEST).json(manifest).collect() if days is None or r["obs_date"] in days]
+    if not folders:
+        return like.limit(0)
+    rows = [spark.read.parquet(f) for f in sorted({r["folder"] for r in folders})]
+    wanted = {f: [r["obs_date"] for r in folders if r["folder"] == f] for f in sorted({r["folder"] for r in folders})}
+    parts = [df.where(F.col("obs_date").cast("string").isin(wanted[f])) for f, df in zip(wanted, rows)]
+    return union_all_by_name(*parts)
+
+
+_MANIFEST = "obs_date string, folder string"
 
 
 def current_observations(
@@ -94,46 +120,45 @@ def current_observations(
     schema: T.StructType | None = None,
     now=None,
     ttl_hours: int | None = None,
-    compacted: tuple[str, str] | None = None,
+    compacted: tuple[str, int] | None = None,
 ) -> DataFrame:
     """The store as of now: newest write per (place, hour) from the log;
     with ``now`` and ``ttl_hours`` only snapshots young enough count (ST3).
 
-    With ``compacted`` = (snapshot path, cutoff) from ``compact_log``, the
-    snapshot replaces the log rows ingested before the cutoff, so a read
-    scans the snapshot plus the recent batches instead of the whole history."""
+    With ``compacted`` = (manifest, batch) from ``compact_log``, the snapshot
+    stands for the batches up to that one, and the read scans it plus the
+    batches since instead of the whole history."""
     if compacted is None:
-        rows = _read_log(spark, log_path, schema, None)
+        rows = read_log(spark, log_path, schema)
     else:
-        snap_path, cutoff = compacted
-        recent = _read_log(spark, log_path, schema, cutoff)
-        rows = spark.read.parquet(snap_path).unionByName(recent, allowMissingColumns=True)
+        manifest, cut = compacted
+        recent = read_log(spark, log_path, schema, after=cut)
+        rows = _snapshot(spark, manifest, recent).unionByName(recent, allowMissingColumns=True)
     if now is not None and ttl_hours is not None:
         rows = fresh_only(rows, now, "snapshot_ts", ttl_hours)
     return latest_per_key(rows, order=LOG_ORDER)
 
 
 def compact_log(
-    spark: SparkSession,
-    log_path: str,
-    previous: tuple[str, str] | None = None,
-    target: str | None = None,
-    margin: dt.timedelta = dt.timedelta(hours=1),
-) -> tuple[str, str]:
-    """Write the current store (newest write per key) as a new day-partitioned
-    snapshot.  Returns (snapshot path, cutoff).
-
-    The cutoff is the compaction's start time less ``margin`` (in the session
-    time zone); later reads take log rows ingested since the cutoff.  Rows of
-    a micro-batch that was still committing while the compaction listed the
-    log are therefore read again, as long as a batch takes less than
-    ``margin``.  Re-reading a write is harmless because the newest write per
-    key wins either way."""
-    tz = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
-    cutoff = (dt.datetime.now(tz) - margin).strftime("%Y-%m-%d %H:%M:%S.%f")
-    store = current_observations(spark, log_path, compacted=previous)
-    path = write_snapshot(store, target or shared_path(spark, "observation_snapshots"))
-    return path, cutoff
+    spark: SparkSession, log_path: str, previous: tuple[str, int] | None = None, target: str | None = None
+) -> tuple[str, int]:
+    """Fold the batches committed since ``previous`` into a new snapshot.
+    Returns (manifest, batch): the manifest names a folder for each day, and
+    ``batch`` is the last one folded in.  Days without new rows keep the
+    folder they have; the others are written anew, newest write per key."""
+    base = target or shared_path(spark, "observation_snapshots")
+    cut = last_batch(spark, log_path)
+    recent = read_log(spark, log_path, after=previous[1] if previous else -1, upto=cut)
+    days = sorted(str(r["obs_date"]) for r in recent.select("obs_date").distinct().collect())  # one row a day
+    kept = []
+    rows = recent
+    if previous:
+        kept = [(r["obs_date"], r["folder"]) for r in spark.read.schema(_MANIFEST).json(previous[0]).collect() if r["obs_date"] not in days]
+        rows = _snapshot(spark, previous[0], recent, days).unionByName(recent, allowMissingColumns=True)
+    latest_per_key(rows, order=LOG_ORDER).write.partitionBy("obs_date").parquet(f"{base}/days")
+    entries = kept + [(d, f"{base}/days") for d in days]
+    spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.json(f"{base}/manifest")
+    return f"{base}/manifest", cut
 
 
 def start_scoring(
