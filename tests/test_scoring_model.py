@@ -57,7 +57,7 @@ def test_trees_recover_rules_and_round_trip(spark):
         assert same_row.filter(~F.col(f"pred_{lab}").eqNullSafe(F.col(lab))).count() == 0, lab
     base = shared_path(spark, "test_models")
     path = M.model_path(base)
-    M.save_model(model, path)
+    M.save_model(spark, model, path)
     loaded = M.load_model(spark, path)
     assert M.predict_outfits(loaded, train).exceptAll(pred).count() == 0
     # single prediction = batch prediction on one row
@@ -278,3 +278,27 @@ def test_only_a_missing_pointer_means_no_model(spark, tmp_path):
     (folder / "x.gz").write_bytes(b"not gzip at all")
     with pytest.raises(Exception):
         M._pointer(spark, str(tmp_path / "m"))
+
+
+def test_trees_do_not_depend_on_layout(spark):
+    """More values than bins: plain, compressed and repartitioned fits agree."""
+    i = F.col("id")
+    df = spark.range(60000).select(
+        i.alias("row_id"),
+        (F.pmod(F.xxhash64("id"), F.lit(6000)) / 50.0).alias("feels_like"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(700)) / 10.0).alias("wind_speed"),
+        F.lit(0.5).alias("pct_humidity"),
+        (i % 90).cast("double").alias("duration"),
+        (i % 2 == 0).alias("is_light"),
+    )
+    noise = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10)) == 0
+    df = df.withColumn("id", F.col("row_id")).withColumn("gloves", ((F.col("feels_like") < 41.3) != noise) & (F.col("wind_speed") < 60))
+    df = df.withColumn("outer_layer", F.when(F.col("feels_like") < 20.1, "a").when(F.col("wind_speed") < 33.3, "b").otherwise("c"))
+    fits = [M.fit_trees(d, ["outer_layer"], ["gloves"], compress=c) for d, c in ((df, False), (df, True), (df.repartition(11), False), (df.orderBy("wind_speed"), True))]
+    shapes = [[st.toDebugString.split("\n", 1)[1] for st in m.stages if hasattr(st, "toDebugString")] for m in fits]
+    assert all(s == shapes[0] for s in shapes) and "If (feature" in shapes[0][0]
+    native = M.predict_outfits(fits[0], df, normalize_humidity=False)
+    direct = fits[0].transform(df).select("row_id", "pred_outer_layer", "pred_gloves")
+    assert native.exceptAll(direct).count() == 0 and direct.exceptAll(native).count() == 0
+    right = fits[0].transform(df).where("pred_outer_layer = outer_layer").count()
+    assert right > 0.99 * 60000

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -28,7 +29,7 @@ from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,42 @@ def _fit_known(train: DataFrame, specs, parallelism: int):
         return list(pool.map(one, specs))
 
 
+def feature_cuts(df: DataFrame, features: Sequence[str], max_bins: int, weight_col: str | None = None, cells: int = 8192) -> dict[str, list[float]]:
+    """Thresholds for the features with more than ``max_bins`` values: about
+    equal weight between them, at most ``max_bins - 1``.
+
+    One pass finds each feature's range, one more its weighted histogram of
+    ``cells`` equal cells (with the least and largest value in each, so few
+    values are told apart exactly); thresholds lie between values of
+    neighbouring cells.  All sums are of whole weights, so the result depends
+    on the values alone, not on the layout or grouping of the rows."""
+    number = {f: F.col(f).cast("double") for f in features}
+    spans = df.agg(*[g(number[f]).alias(f"{n}_{f}") for f in features for n, g in (("a", F.min), ("b", F.max))]).first()
+    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+
+    def cell(f: str) -> Column:
+        low, high = spans[f"a_{f}"], spans[f"b_{f}"]
+        if low is None or low == high:
+            return F.lit(0)
+        return F.least(F.floor((number[f] - F.lit(low)) / F.lit((high - low) / cells)), F.lit(cells - 1)).cast("int")
+
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("f"), cell(f).alias("c"), number[f].alias("v"), weight.alias("w")) for f in features])))
+    rows = long.where("v IS NOT NULL").groupBy("f", "c").agg(F.sum("w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b")).collect()  # cells x features at most
+    cuts: dict[str, list[float]] = {}
+    for f in features:
+        held = sorted((r["c"], r["w"], r["a"], r["b"]) for r in rows if r["f"] == f)
+        if len(held) <= max_bins and all(a == b for _, _, a, b in held):
+            continue
+        total, seen, out = sum(w for _, w, _, _ in held), 0.0, []
+        for (_, w, _, high), (_, _, low, _) in zip(held, held[1:]):
+            seen += w
+            if seen >= total * (len(out) + 1) / max_bins and len(out) < max_bins - 1:
+                out.append((high + low) / 2)
+        if out:
+            cuts[f] = out
+    return cuts
+
+
 def fit_trees(
     df: DataFrame,
     categorical: Sequence[str],
@@ -91,12 +128,16 @@ def fit_trees(
     """One tree per label: categorical labels are string-indexed (alphabetical,
     so indices do not depend on frequencies), boolean labels are 0/1.
 
-    With ``compress`` the training rows are first grouped to distinct
+    A feature with more than ``max_bins`` values is first cut into bins at
+    exact thresholds (``feature_cuts``; a ``Bucketizer`` in the model), and the
+    trees then consider every threshold there is, with no sampling: the same
+    rows give the same trees whatever their layout, with or without
+    ``compress``.
+    With ``compress`` the binned training rows are grouped to distinct
     (features, labels) combinations weighted by their count: every split
-    statistic is a weighted class count, so the trees are the same, while
-    each per-level pass reads the distinct combinations instead of all rows
-    (weather readings are low precision, so combinations are far fewer than
-    rows at scale).  The grouping is one partially aggregated shuffle.
+    statistic is a weighted class count, and each per-level pass reads the
+    combinations, whose number the bins bound, instead of all rows.  The
+    grouping is one partially aggregated shuffle.
     The training rows are then held in about one partition per
     ``rows_per_partition`` rows, so small inputs do not pay per-task overhead
     at every tree level and large ones keep full parallelism.
@@ -107,7 +148,17 @@ def fit_trees(
     The returned model needs only the feature columns: assembler, the trees,
     then converters back to label values (``pred_<label>``)."""
     categorical, boolean, features = list(categorical), list(boolean), list(features)
-    cols = [*features, *categorical, *boolean]
+    cuts = feature_cuts(df, features, max_bins, weight_col)
+    binned = {f: f"_{f}_bin" for f in cuts}
+    front: list = []
+    if cuts:
+        splits = [[-math.inf, *c, math.inf] for c in cuts.values()]
+        front = [Bucketizer(splitsArray=splits, inputCols=list(cuts), outputCols=list(binned.values()), handleInvalid="keep")]
+        df = front[0].transform(df.withColumns({f: F.col(f).cast("double") for f in cuts}))
+        for name in binned.values():  # a bin's number is a place on a scale, not a category
+            df = df.withMetadata(name, {})
+    inputs = [binned.get(f, f) for f in features]
+    cols = [*inputs, *categorical, *boolean]
     if weight_col is not None:
         base = df.select(*cols, F.col(weight_col).cast("double").alias(WEIGHT_COL))
     elif compress:
@@ -120,7 +171,9 @@ def fit_trees(
     try:
         n_rows = base.count()
         parts = max(1, min(base.rdd.getNumPartitions(), -(-n_rows // rows_per_partition)))
-        assembler = VectorAssembler(inputCols=features, outputCol=FEATURES_COL)
+        assembler = VectorAssembler(inputCols=inputs, outputCol=FEATURES_COL)
+        # thresholds are sampled from a table of more than maxBins ** 2 rows
+        tree_bins = min(46_000, max(max_bins, math.isqrt(n_rows) + 2))
         train = assembler.transform(base.coalesce(parts))
         labels_of: dict[str, list[str]] = {}
         if categorical:
@@ -136,9 +189,9 @@ def fit_trees(
         keep = [FEATURES_COL, WEIGHT_COL] + [f"_{c}_idx" for c in categorical] + list(label_exprs)
         train = train.withColumns(label_exprs).select(*keep)
         specs = [
-            (f"_{c}_idx", len(labels_of[c]), _tree(f"_{c}_idx", f"_{c}", max_depth, max_bins, seed))
+            (f"_{c}_idx", len(labels_of[c]), _tree(f"_{c}_idx", f"_{c}", max_depth, tree_bins, seed))
             for c in categorical
-        ] + [(f"_{b}_lbl", None, _tree(f"_{b}_lbl", f"_{b}", max_depth, max_bins, seed)) for b in boolean]
+        ] + [(f"_{b}_lbl", None, _tree(f"_{b}_lbl", f"_{b}", max_depth, tree_bins, seed)) for b in boolean]
         trees = _fit_known(train, specs, parallelism)
     finally:
         base.unpersist()
@@ -146,7 +199,7 @@ def fit_trees(
     if boolean:
         casts = ", ".join(f"CAST(_{b}_pred = 1.0 AS BOOLEAN) AS pred_{b}" for b in boolean)
         post.append(SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"))
-    return PipelineModel(stages=[assembler, *trees, *post])
+    return PipelineModel(stages=[*front, assembler, *trees, *post])
 
 
 # -- L1 / L5 ----------------------------------------------------------------
@@ -165,10 +218,11 @@ STRATEGIES = {"ddt": fit_dual, "sdt": fit_single}
 
 
 # -- L2 / L3 ----------------------------------------------------------------
-def _tree_column(tree: DecisionTreeClassificationModel, features: list[Column]) -> Column:
-    """A fitted tree's nodes as a nested CASE over the feature columns
-    (continuous splits: ``feature <= threshold`` goes left, NaN goes right, as
-    in the tree's own predict).  Raises ValueError on a categorical split."""
+def _tree_column(tree: DecisionTreeClassificationModel, features: list[tuple[Column, list[float] | None]]) -> Column:
+    """A fitted tree's nodes as a nested CASE over (feature, bounds of its bins
+    or None): ``feature <= threshold`` goes left, and of a binned feature the
+    values below the bound that the threshold stands for; NaN goes right, as
+    in the tree's own predict.  Raises ValueError on a categorical split."""
 
     def node(n) -> Column:
         if n.subtreeDepth() == 0:
@@ -176,24 +230,36 @@ def _tree_column(tree: DecisionTreeClassificationModel, features: list[Column])
         split = n.split()
         if not split.getClass().getSimpleName().startswith("Continuous"):
             raise ValueError("only continuous splits have a native form")
-        goes_left = features[split.featureIndex()] <= F.lit(float(split.threshold()))
+        feature, bounds = features[split.featureIndex()]
+        at = float(split.threshold())
+        goes_left = feature <= F.lit(at) if bounds is None else feature < F.lit(bounds[math.floor(at) + 1])
         return F.when(goes_left, node(n.leftChild())).otherwise(node(n.rightChild()))
 
     return node(tree._call_java("rootNode"))
 
 
+def _bins(model: PipelineModel) -> list[tuple[str, list[float] | None]]:
+    """(feature, its bins' bounds or None) for each input of the trees."""
+    cut = next((st for st in model.stages if isinstance(st, Bucketizer)), None)
+    known = {} if cut is None else {o: (i, list(b)) for o, i, b in zip(cut.getOutputCols(), cut.getInputCols(), cut.getSplitsArray())}
+    names = next(st for st in model.stages if isinstance(st, VectorAssembler)).getInputCols()
+    return [known.get(n, (n, None)) for n in names]
+
+
 def native_predictions(model: PipelineModel, features: dict | None = None) -> dict[str, Column] | None:
     """``pred_<label>`` columns computed as native expressions (no UDF, no
     feature vector), equal to the model's own transform on complete rows and
     NULL where any feature is NULL; None when the model has a stage this
     cannot express.  ``features`` may give a Column per
     feature name (default: the columns of that name)."""
-    stages = model.stages
+    stages = list(model.stages)
+    bins = _bins(model)
+    if stages and isinstance(stages[0], Bucketizer):
+        stages = stages[1:]
     if not stages or not isinstance(stages[0], VectorAssembler):
         return None
-    names = stages[0].getInputCols()
-    feats = [(features or {}).get(n, F.col(n)).cast("double") for n in names]
-    complete = reduce(lambda a, b: a & b, [f.isNotNull() for f in feats])
+    feats = [((features or {}).get(n, F.col(n)).cast("double"), cuts) for n, cuts in bins]
+    complete = reduce(lambda a, b: a & b, [f.isNotNull() for f, _ in feats])
     raw: dict[str, Column] = {}
     out: dict[str, Column] = {}
     try:
@@ -224,8 +290,7 @@ def apply_model(model: PipelineModel, df: DataFrame, features: dict | None = Non
         return df.withColumns(native)
     # Transform with complete feature values in place of the columns of those
     # names, then put the original columns back and clear incomplete rows.
-    names = next(st for st in model.stages if isinstance(st, VectorAssembler)).getInputCols()
-    given = {n: (features or {}).get(n, F.col(n)) for n in names}
+    given = {n: (features or {}).get(n, F.col(n)) for n, _ in _bins(model)}
     complete = reduce(lambda a, b: a & b, [e.isNotNull() for e in given.values()])
     saved = {n: f"__orig_{n}" for n in given if n in df.columns}
     filled = {f"__in_{n}": F.coalesce(e.cast("double"), F.lit(0.0)) for n, e in given.items()}
