@@ -35,11 +35,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm.common import schema_with, with_column
+from wearcast.llm.common import schema_with, small_batches, with_column
 
-MAX_STATES = 300_000
-MAX_PIECES = 300_000
-MAX_PAIRS = 1_000_000
+MAX_STATES = 100_000
+MAX_PIECES = 250_000
+MAX_PAIRS = 500_000
 MAX_VOCAB_BYTES = 64 << 20
 ROWS = 256
 SHORT = 32  # bytes of a piece that is searched rather than streamed
@@ -74,25 +74,18 @@ class Transducer:
             raise ValueError(f"more than {MAX_VOCAB} tokens")
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.trie: list[dict[int, int]] = [{}]  # by node: byte -> node; TOKEN -> token that ends here
+        self.branch: dict = {}  # nested: byte -> branch; TOKEN -> token that ends here
         for word, rank in ranks.items():
-            node = _ROOT
+            node = self.branch
             for b in word:
-                below = self.trie[node].get(b)
-                if below is None:
-                    below = self.trie[node][b] = len(self.trie)
-                    self.trie.append({})
-                node = below
-            self.trie[node][TOKEN] = rank
-        self.branch = self._nested(_ROOT)
+                node = node.setdefault(b, {})
+            node[TOKEN] = rank
         self.pairs: dict[int, bool] = {}
         self.restart()
 
-    def _nested(self, node: int) -> dict:
-        """The same trie as nested dictionaries, for the depth-first run."""
-        return {b: self._nested(below) if b != TOKEN else below for b, below in self.trie[node].items()}
-
     def restart(self) -> None:
+        self.nodes = [self.branch]  # trie nodes that states speak of, numbered on first use
+        self.node_number = {id(self.branch): _ROOT}
         self.states = [(-1, (((), _ROOT),))]  # (last emitted token, hypotheses)
         self.number = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte
@@ -129,11 +122,14 @@ class Transducer:
         base, hypotheses = self.states[state]
         after = []
         for pending, node in hypotheses:
-            child = self.trie[node].get(byte)
-            if child is None:
+            below = self.nodes[node].get(byte)
+            if below is None:
                 continue
-            token = self.trie[child].get(TOKEN)
-            if len(self.trie[child]) > (token is not None):
+            token = below.get(TOKEN)
+            if len(below) > (token is not None):
+                child = self.node_number.setdefault(id(below), len(self.nodes))
+                if child == len(self.nodes):
+                    self.nodes.append(below)
                 after.append((pending, child))
             if token is not None and self.fits(pending[-1] if pending else base, token):
                 after.append(((*pending, token), _ROOT))
@@ -357,7 +353,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
                 yield with_column(b, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
 
     fields = [f for f in docs.schema.fields if f.name != ids_col]
-    return docs.mapInArrow(run, schema_with(fields, ids_col, "array<int>"))
+    return small_batches(docs).mapInArrow(run, schema_with(fields, ids_col, "array<int>"))
 
 
 def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids", text_col: str = "decoded", chunk: int = 65536) -> DataFrame:
@@ -380,4 +376,4 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids", text_col: str
     fields = [f for f in tokens.schema.fields if f.name not in (ids_col, text_col)]
     if text_col in tokens.columns:
         tokens = tokens.drop(text_col)
-    return tokens.mapInArrow(run, schema_with(fields, text_col, "string"))
+    return small_batches(tokens).mapInArrow(run, schema_with(fields, text_col, "string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +16,18 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start
     from files that every executor sees, so a lost executor costs no more than
-    a reread."""
+    a reread.  With ``release`` the driver collects its garbage then, upon
+    which Spark deletes the shuffle files that led to the table; worth it
+    after large shuffles."""
     spark = df.sparkSession
     path = shared_path(spark, "llm", name)
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,3 +59,12 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array, drop: str |
 def schema_with(fields: list[T.StructField], name: str, kind: str) -> str:
     """DDL of ``fields`` and one column more."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {kind}"])
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with at most ``rows`` rows in an Arrow batch from here on: texts
+    are large, and JVM and Python both hold a batch at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df

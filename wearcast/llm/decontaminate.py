@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearcast.llm.common import materialise
+from wearcast.llm.common import materialise, small_batches
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£¥°]|[.!?]+(?=\s)|\n").findall
 
@@ -192,7 +192,7 @@ def contaminated(
         wanted = spark.sparkContext.broadcast(HashFilter(hashes.toPandas()["hash"].to_numpy(dtype=np.int64).view(np.uint64)))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    found = source.mapInArrow(_windows(window, min_words, sizes or [window], wanted), f"doc_id long, text_hash long, {_WINDOWS}")
+    found = small_batches(source).mapInArrow(_windows(window, min_words, sizes or [window], wanted), f"doc_id long, text_hash long, {_WINDOWS}")
     theirs = bench.select("template", "size", "hash", "words", "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("length").alias("item_length"))
     hits = materialise(
         found.join(theirs, ["template", "size", "hash", "words"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearcast.llm.common import materialise, schema_with, with_column
+from wearcast.llm.common import materialise, schema_with, small_batches, with_column
 from wearcast.llm.url_filter import url_parts
 
 BUCKETS = 1 << 16
@@ -113,7 +113,7 @@ def _with_likelihood(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
             made = [dict(zip(("ll", "grams", "known"), m.score(t.as_py()))) for t in b.column(b.schema.names.index(text_col))]
             yield with_column(b, "_text", pa.array(made, kind))
 
-    return docs.mapInArrow(run, schema_with(docs.schema.fields, "_text", "struct<ll:array<double>,grams:long,known:boolean>"))
+    return small_batches(docs).mapInArrow(run, schema_with(docs.schema.fields, "_text", "struct<ll:array<double>,grams:long,known:boolean>"))
 
 
 def _softmax(scores: Column) -> Column:

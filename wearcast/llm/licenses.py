@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wearcast.llm.common import small_batches
+
 MIN_MATCH = 4
 MAX_GAP = 12
 MIN_COVER = 0.5
@@ -236,7 +238,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
             rows = [{"doc_id": i.as_py(), **f} for i, f in zip(b.column(0), found)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return small_batches(slim).mapInArrow(run, SCHEMA)
 
 
 _ARROW = pa.schema([

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearcast.llm.common import materialise
+from wearcast.llm.common import materialise, small_batches
 from wearcast.llm.components import connected_components
 
 BITS = 64
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    return small_batches(slim).mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- local index
