@@ -1,5 +1,7 @@
 """Plan-shape checks for the scale properties the README claims."""
 
+from pyspark.sql import functions as F
+
 from wearcast import schema as S
 from wearcast.operators import model as M
 from wearcast.operators import store as ST
@@ -27,7 +29,7 @@ def test_cleanup_and_replies_do_not_shuffle(spark):
 def test_last_write_wins_pre_aggregates(spark):
     obs = _observations(spark, SF).select("location_key", "obs_hour", "snapshot_ts", "event_id", "value")
     p = _plan(ST.latest_per_key(obs, order=("snapshot_ts", "event_id")))
-    assert "partial_max_by" in p  # a hot key collapses per task before the shuffle
+    assert "partial_max(" in p  # a hot key collapses per task before the shuffle
 
 
 def test_freshness_filter_reaches_the_scan(spark):
@@ -41,3 +43,17 @@ def test_native_prediction_has_no_udf(spark):
     model = M.fit_dual(train)
     p = _plan(M.predict_outfits(model, train))
     assert "UDF" not in p and "Exchange" not in p
+
+
+def test_routed_lookup_aggregates_once_on_the_join_key(spark):
+    """Both stores share one newest-write aggregate, whose partitioning serves
+    the join: one exchange for the stores, one for the requests."""
+    obs = _observations(spark, SF).select("kind", "location_key", "obs_hour", "snapshot_ts", "event_id")
+    stores = [obs.filter(F.col("kind") == k).drop("kind") for k in ("forecast", "history")]
+    req = obs.select(F.col("event_id").alias("row_id"), "location_key", "obs_hour")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(ST.routed_lookup(req, *stores, "2024-01-15 00:00:00", order=("snapshot_ts", "event_id")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert p.count("Exchange hashpartitioning") == 2 and p.count("partial_max(") == 1
