@@ -2,19 +2,20 @@
 
 A line is removed when an earlier line of the corpus lies within one word edit
 of it (a word replaced, inserted or deleted) or equals it.  "Earlier" is by
-(doc_id, line number).  Lines are compared as words separated by ASCII white
-space, with A-Z lower-cased; lines of fewer than ``min_words`` words, and blank
+(doc_id, line number).  Lines are compared lower-cased, as words separated by
+ASCII white space; lines of fewer than ``min_words`` words, and blank
 ones, always stay.
 
 1. Equal lines collapse to one row with their earliest place.
-2. A line within one edit of another shares with it the first or the last
-   ``h`` words, where ``h`` is the power of two below half its length.  Lines
-   that share neither with a different line have no neighbour and leave here,
-   so that variants are made only where they can meet something.
-3. Each remaining line emits its deletion variants as hashed keys: itself, and
-   for each word the line without it - once with the word's place (two lines
-   that differ in that word only) and once without (a line with one word more
-   or less).  Prefix sums (XOR) of word-and-place hashes give all variants of a
+2. Of two lines within one edit, the longer one having L words, the first or
+   the last half of L - 1 words is the same.  Each line offers the hashes of
+   these halves for L its own length and one more; a line none of whose halves
+   is offered by a different line has no neighbour and leaves here.
+3. Each remaining line emits, for the halves it shares, its deletion variants
+   as hashed keys: as the shorter line itself, and as the longer one the line
+   without each word of the other half - once with the word's place (two lines
+   that differ in that word only) and once without (a line with one word
+   less).  Prefix sums (XOR) of word-and-place hashes give all variants of a
    line without rehashing it.
 4. Equal keys meet in one map-side aggregate that keeps each key's earliest
    line, so a key shared by very many lines costs one row per task, and no
@@ -30,31 +31,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearcast.llm.common import ascii_lower, materialise, order_key, words_of
+from wearcast.llm.common import materialise, order_key
 
 FULL, REPLACED, LONGER = 0, 1, 2
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, pos, norm, n): the lines long enough to compare."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    raw = docs.select(docs[id_col].cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    words = raw.select("doc_id", "pos", words_of(ascii_lower(F.col("line"))).alias("w")).where(F.size("w") >= min_words)
-    return words.select("doc_id", "pos", F.array_join("w", " ").alias("norm"), "w")
+    """(doc_id, pos, lid, norm, halves): the lines long enough to compare, with
+    single spaces between words, and a 128-bit hash of them."""
+    text = F.lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    spaced = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    raw = docs.select(docs[id_col].cast("long").alias("doc_id"), F.posexplode(F.split(spaced, "\n")).alias("pos", "line"))
+    norm = raw.select("doc_id", "pos", F.btrim("line").alias("norm"))
+    words = norm.where("norm <> ''").select("*", F.split("norm", " ").alias("w")).where(F.size("w") >= min_words)
+    return words.select("doc_id", "pos", F.unhex(F.md5("norm")).alias("lid"), "norm", _halves(F.col("w"), F.size("w")).alias("halves"))
 
 
-def _half(n: Column) -> Column:
-    """The power of two below half of ``n`` words (at least 1)."""
-    return F.pow(F.lit(2.0), F.floor(F.log2(F.greatest((n - 1) / 2, F.lit(1.0))))).cast("int")
+def _halves(w: Column, n: Column) -> Column:
+    """Hashes of the halves a neighbour would share: first and last, for the
+    longer line of the pair having n words, then n + 1."""
 
+    def keys(longer: Column) -> list[Column]:
+        h = F.floor((longer - 1) / 2).cast("int")
+        return [F.xxhash64(F.lit(0), longer, F.slice(w, 1, h)), F.xxhash64(F.lit(1), longer, F.slice(w, n - h + 1, h))]
 
-def _end_keys(w: Column, n: Column) -> Column:
-    """Hashes of the first and last words that a neighbour would share."""
-
-    def keys(h: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(0), h, F.slice(w, 1, h)), F.xxhash64(F.lit(1), h, F.slice(w, n - h + 1, h))]
-
-    return F.array_distinct(F.array(*keys(_half(n)), *keys(_half(n - 1))))
+    return F.array(*keys(n), *keys(n + 1))
 
 
 def _running_xor(values: Column) -> Column:
@@ -63,12 +64,15 @@ def _running_xor(values: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(line columns, role, at, key) for every deletion variant."""
+    """(lid, first, role, at, key) for the deletion variants of ``lines``, whose
+    ``shared`` tells where another line offers the same half: its place, and
+    whether a line of equal length or one word shorter does."""
     hashed = lines.withColumn("w", F.split("norm", " ")).select(
-        "lid", "first", "w",
+        "lid", "first", "w", "shared",
         _running_xor(F.transform("w", lambda x, i: F.xxhash64(x, i))).alias("here"),
         _running_xor(F.transform("w", lambda x, i: F.xxhash64(x, i - 1))).alias("moved"),
     )
+    n = F.size("w")
     whole = F.element_at("here", -1)
 
     def without(i: Column) -> Column:
@@ -78,11 +82,20 @@ def _variants(lines: DataFrame) -> DataFrame:
     def row(role: int, at: Column, key: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), at.cast("int").alias("at"), key.alias("key"))
 
-    places = F.sequence(F.lit(0), F.size("w") - 1)
+    half = F.floor((n - 1) / 2).cast("int")  # shared first: the edit is behind it; shared last: before it
+
+    def places(other: str) -> Column:
+        def side(place: int, start: Column, stop: Column) -> Column:
+            wanted = F.exists("shared", lambda x: (x["place"] == place) & x[other])
+            return F.when(wanted, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
+
+        return F.array_union(side(0, half, n - 1), side(1, F.lit(0), n - half - 1))
+
+    shorter = F.exists("shared", lambda x: x["place"] >= 2)
     made = F.flatten(F.array(
-        F.array(row(FULL, F.lit(-1), whole)),
-        F.transform(places, lambda i: row(REPLACED, i, F.xxhash64(without(i), i))),
-        F.transform(places, lambda i: row(LONGER, i, without(i))),
+        F.when(shorter, F.array(row(FULL, F.lit(-1), whole))).otherwise(F.array().cast("array<struct<role:int,at:int,key:bigint>>")),
+        F.transform(places("equal"), lambda i: row(REPLACED, i, F.xxhash64(without(i), i))),
+        F.transform(places("shorter"), lambda i: row(LONGER, i, without(i))),
     ))
     return hashed.select("lid", "first", F.inline(made))
 
@@ -106,36 +119,38 @@ def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     earlier line differs by an edit (True) or only an equal one is earlier."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    lines = _lines(docs, id_col, text_col, min_words)
-    lid = F.unhex(F.md5("norm"))
-    n = F.size("w")
+    lines = materialise(_lines(docs, id_col, text_col, min_words), "lines")
     distinct = materialise(
-        lines.groupBy(lid.alias("lid")).agg(
+        lines.groupBy("lid").agg(
             F.min(order_key(F.col("doc_id"), F.col("pos"))).alias("first"),
             F.count("*").alias("copies"),
-            F.first("norm").alias("norm"),
-            F.first(_end_keys(F.col("w"), n)).alias("ends"),
+            F.first("halves").alias("halves"),
         ),
-        "lines",
+        "distinct_lines",
+        release=True,
     )
-    near = _near(distinct) if max_edits else distinct.select("lid").limit(0)
+    near = _near(lines, distinct) if max_edits else distinct.select("lid").limit(0)
     marked = (
         distinct.select("lid", "first", "copies")
         .join(near.withColumn("near", F.lit(True)), "lid", "left")
         .where("near OR copies > 1")
         .select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
     )
-    places = lines.select("doc_id", "pos", lid.alias("lid"))
-    out = places.join(marked, "lid").where(F.col("near") | (order_key(F.col("doc_id"), F.col("pos")) != F.col("first")))
+    out = lines.select("doc_id", "pos", "lid").join(marked, "lid").where(F.col("near") | (order_key(F.col("doc_id"), F.col("pos")) != F.col("first")))
     return out.select("doc_id", "pos", "near")
 
 
-def _near(distinct: DataFrame) -> DataFrame:
+def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(lid): distinct lines with an earlier line one word edit away."""
-    ends = distinct.select("lid", F.explode("ends").alias("key"))
-    shared = ends.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("key")
-    alive = ends.join(shared, "key").select("lid").distinct()
-    lines = materialise(distinct.select("lid", "first", "norm").join(alive, "lid"), "near_lines")
+    halves = distinct.select("lid", F.posexplode("halves").alias("place", "key"))
+    longer = F.count_if(F.col("place") < 2)
+    met = halves.groupBy("key").agg(longer.alias("longer"), (F.count("*") - longer).alias("shorter")).where("longer > 1 OR (longer = 1 AND shorter > 0)")
+    here = F.struct("place", (F.col("longer") > 1).alias("equal"), (F.col("shorter") > 0).alias("shorter"))
+    shared = halves.join(met, "key").groupBy("lid").agg(F.collect_list(here).alias("shared"))  # four at most
+    wanted = materialise(distinct.select("lid", "first").join(shared, "lid"), "shared_halves", release=True)
+    place = order_key(F.col("doc_id"), F.col("pos"))
+    found = lines.select("lid", "norm", place.alias("here")).join(wanted, "lid").where("here = first")
+    lines = materialise(found.groupBy("lid").agg(F.first("first").alias("first"), F.first("norm").alias("norm"), F.first("shared").alias("shared")), "near_lines", release=True)
 
     variants = _variants(lines)
     line = F.struct("first", "lid", "at")
@@ -153,7 +168,7 @@ def _near(distinct: DataFrame) -> DataFrame:
         .join(words.select(F.col("lid").alias("other"), F.col("w").alias("other_w")), "other")
         .where(_within_one_edit(F.col("role"), F.col("w"), F.col("at"), F.col("other_w"), F.col("other_at")))
     )
-    return checked.select("lid").distinct()
+    return materialise(checked.select("lid").distinct(), "repeated_lines", release=True)
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = 5, max_edits: int = 1) -> DataFrame:
@@ -167,15 +182,16 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     NULL id are ordered last and also treated as one.  Columns of the input
     named n_lines or n_removed are replaced; others pass through."""
     gone = removed_lines(docs, text_col, id_col, min_words, max_edits).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-    lines = F.split(F.col(text_col), "\n")
-    gone_here = F.coalesce("_gone", F.array().cast("array<int>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_here)
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    text = F.col(text_col)
+    n_lines = F.when(text.isNull(), 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     joined = docs.drop("n_lines", "n_removed").join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]), "left")
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    counted = joined.withColumns({"n_lines": n_lines, "_lines": F.when(F.col("_gone").isNotNull(), F.split(text, "\n"))})
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    cut = counted.withColumn("_stay", F.when(F.col("_lines").isNotNull(), stay))
+    n_removed = F.when(F.col("_stay").isNotNull(), F.col("n_lines") - F.size("_stay")).otherwise(0).cast("long")
+    kept = F.array_join(F.transform("_stay", lambda i: F.get(F.col("_lines"), i)), "\n")
     return (
-        joined.withColumn("n_lines", n_lines)
-        .withColumn("n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(stay)).cast("long"))
-        .withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(F.col(text_col)))
-        .drop("_gone", "_gone_id")
+        cut.withColumn("n_removed", n_removed)
+        .withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(text))
+        .drop("_gone", "_gone_id", "_lines", "_stay")
     )

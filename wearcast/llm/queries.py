@@ -49,7 +49,7 @@ WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents WHERE text IS NOT NULL),
 words AS (
-  SELECT doc_id, pos, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT doc_id, pos, list_filter(regexp_split_to_array(lower(line),
     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM raw),
 long_lines AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS norm FROM words WHERE len(w) >= 5),
 firsts AS (
