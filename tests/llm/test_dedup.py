@@ -59,6 +59,18 @@ def test_line_dedup_awkward_rows(spark):
     assert dedup_lines(df.limit(0)).collect() == []
 
 
+def test_line_dedup_cuts_only_the_rows_own_lines(spark):
+    """Rows that share an id, or have none, but not a text."""
+    line, other, third = "one two three four five", "six seven eight nine ten", "k l m n o"
+    for shared in (7, None):
+        rows = [(1, line), (shared, f"{line}\n{other}"), (shared, f"p q r s t\n{line}"), (shared, f"{third}\nu v w x y")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in dedup_lines(df).collect())
+        assert got == sorted([(1, line, 0), (shared or 0, other, 1), (shared or 0, "p q r s t", 1), (shared or 0, f"{third}\nu v w x y", 0)])
+        twice = spark.createDataFrame([(shared, f"{line}\n{other}"), (shared, f"{line}\n{third}")], "doc_id long, text string")
+        assert sum(line in r["text"] for r in dedup_lines(twice).collect()) == 1
+
+
 def test_line_dedup_has_no_python(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = dedup_lines(df)._jdf.queryExecution().toString()
@@ -125,6 +137,16 @@ def test_simhash_awkward_rows(spark):
     assert simhash.simhash_components(df.limit(0)).collect() == [] and simhash.near_dedup(df.limit(0)).collect() == []
 
 
+def test_near_dedup_keeps_one_row_of_every_group(spark):
+    """Groups of NULL ids only, and one id on several texts."""
+    a, b, c = ("alpha beta gamma delta epsilon", "red orange yellow green blue", "un deux trois quatre cinq")
+    schema = "doc_id long, text string"
+    nulls = spark.createDataFrame([(None, a), (None, b), (None, a), (None, c), (3, c)], schema)
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in simhash.near_dedup(nulls).collect()) == [(0, a), (0, b), (3, c)]
+    shared = spark.createDataFrame([(1, a), (5, a), (5, b), (5, c), (5, c)], schema)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.near_dedup(shared).collect()) == [(1, a), (5, b), (5, c)]
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 999), (999, 1000), (5, 5)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -2,7 +2,7 @@
 
 A line is removed when an earlier line of the corpus lies within one word edit
 of it (a word replaced, inserted or deleted) or equals it.  "Earlier" is by
-(doc_id, line number).  Lines are compared lower-cased, as words separated by
+(doc_id, hash of the text, line number).  Lines are compared lower-cased, as words separated by
 ASCII white space; lines of fewer than ``min_words`` words, and blank
 ones, always stay.
 
@@ -31,20 +31,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearcast.llm.common import materialise, order_key
+from wearcast.llm.common import materialise, order_key, text_or_empty
 
 FULL, REPLACED, LONGER = 0, 1, 2
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, pos, lid, norm, halves): the lines long enough to compare, with
+    """(doc_id, text_hash, pos, lid, norm, halves): the lines long enough to compare, with
     single spaces between words, and a 128-bit hash of them."""
-    text = F.lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    spaced = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
-    raw = docs.select(docs[id_col].cast("long").alias("doc_id"), F.posexplode(F.split(spaced, "\n")).alias("pos", "line"))
-    norm = raw.select("doc_id", "pos", F.btrim("line").alias("norm"))
+    text = text_or_empty(docs, text_col)
+    spaced = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    raw = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(spaced, "\n")).alias("pos", "line"))
+    norm = raw.select("doc_id", "text_hash", "pos", F.btrim("line").alias("norm"))
     words = norm.where("norm <> ''").select("*", F.split("norm", " ").alias("w")).where(F.size("w") >= min_words)
-    return words.select("doc_id", "pos", F.unhex(F.md5("norm")).alias("lid"), "norm", _halves(F.col("w"), F.size("w")).alias("halves"))
+    return words.select("doc_id", "text_hash", "pos", F.unhex(F.md5("norm")).alias("lid"), "norm", _halves(F.col("w"), F.size("w")).alias("halves"))
+
+
+def _place() -> Column:
+    """A line's order: by document (id and text), then by line number."""
+    return order_key(F.col("doc_id"), F.col("text_hash"), F.col("pos"))
 
 
 def _halves(w: Column, n: Column) -> Column:
@@ -115,14 +120,15 @@ def _within_one_edit(role: Column, a: Column, at: Column, b: Column, b_at: Colum
 
 
 def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = 5, max_edits: int = 1) -> DataFrame:
-    """``(doc_id, pos, near)``: the lines that go, ``near`` telling whether the
-    earlier line differs by an edit (True) or only an equal one is earlier."""
+    """``(doc_id, text_hash, pos, near)``: the lines that go, ``near`` telling
+    whether the earlier line differs by an edit (True) or only an equal one is
+    earlier.  ``text_hash`` is xxhash64 of the document's text."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     lines = materialise(_lines(docs, id_col, text_col, min_words), "lines")
     distinct = materialise(
         lines.groupBy("lid").agg(
-            F.min(order_key(F.col("doc_id"), F.col("pos"))).alias("first"),
+            F.min(_place()).alias("first"),
             F.count("*").alias("copies"),
             F.first("halves").alias("halves"),
         ),
@@ -136,8 +142,8 @@ def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         .where("near OR copies > 1")
         .select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
     )
-    out = lines.select("doc_id", "pos", "lid").join(marked, "lid").where(F.col("near") | (order_key(F.col("doc_id"), F.col("pos")) != F.col("first")))
-    return out.select("doc_id", "pos", "near")
+    out = lines.select("doc_id", "text_hash", "pos", "lid").join(marked, "lid").where(F.col("near") | (_place() != F.col("first")))
+    return out.select("doc_id", "text_hash", "pos", "near")
 
 
 def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -148,8 +154,7 @@ def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     here = F.struct("place", (F.col("longer") > 1).alias("equal"), (F.col("shorter") > 0).alias("shorter"))
     shared = halves.join(met, "key").groupBy("lid").agg(F.collect_list(here).alias("shared"))  # four at most
     wanted = materialise(distinct.select("lid", "first").join(shared, "lid"), "shared_halves", release=True)
-    place = order_key(F.col("doc_id"), F.col("pos"))
-    found = lines.select("lid", "norm", place.alias("here")).join(wanted, "lid").where("here = first")
+    found = lines.select("lid", "norm", _place().alias("here")).join(wanted, "lid").where("here = first")
     lines = materialise(found.groupBy("lid").agg(F.first("first").alias("first"), F.first("norm").alias("norm"), F.first("shared").alias("shared")), "near_lines", release=True)
 
     variants = _variants(lines)
@@ -177,14 +182,15 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Every row stays; a text without removed lines is unchanged, one that loses
     all its lines becomes empty.  A NULL text stays NULL and has no lines; an
-    empty text has one (blank) line.  Documents are known by id: rows with the
-    same id and text are one document and lose the same lines; rows with a
-    NULL id are ordered last and also treated as one.  Columns of the input
+    empty text has one (blank) line.  Documents are known by (id, xxhash64 of
+    the text): rows with the same id and text are one document and lose the
+    same lines, other rows lose only their own; NULL ids are ordered last.  Columns of the input
     named n_lines or n_removed are replaced; others pass through."""
-    gone = removed_lines(docs, text_col, id_col, min_words, max_edits).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
+    gone = removed_lines(docs, text_col, id_col, min_words, max_edits).groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).agg(F.collect_set("pos").alias("_gone"))
     text = F.col(text_col)
     n_lines = F.when(text.isNull(), 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    joined = docs.drop("n_lines", "n_removed").join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]), "left")
+    mine = docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(text_or_empty(docs, text_col)) == gone["_gone_hash"])
+    joined = docs.drop("n_lines", "n_removed").join(gone, mine, "left")
     counted = joined.withColumns({"n_lines": n_lines, "_lines": F.when(F.col("_gone").isNotNull(), F.split(text, "\n"))})
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     cut = counted.withColumn("_stay", F.when(F.col("_lines").isNotNull(), stay))
@@ -193,5 +199,5 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return (
         cut.withColumn("n_removed", n_removed)
         .withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(text))
-        .drop("_gone", "_gone_id", "_lines", "_stay")
+        .drop("_gone", "_gone_id", "_gone_hash", "_lines", "_stay")
     )

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearcast.llm.common import materialise, small_batches
+from wearcast.llm.common import materialise, order_key, small_batches, text_or_empty
 from wearcast.llm.components import connected_components
 
 BITS = 64
@@ -60,17 +60,19 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, text_hash: bool = False) -> DataFrame:
     """``(doc_id, fp long)`` per row of ``docs``: the fingerprint's 64 bits as
-    a signed number.  NULL and blank texts get 0."""
+    a signed number.  NULL and blank texts get 0.  With ``text_hash`` a third
+    column has xxhash64 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return small_batches(slim).mapInArrow(run, "doc_id long, fp long")
+    more = [F.xxhash64(text_or_empty(docs, text_col)).alias("text_hash")] if text_hash else []
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *more)
+    return small_batches(slim).mapInArrow(run, "doc_id long, fp long" + ", text_hash long" * text_hash)
 
 
 # ---------------------------------------------------------------- local index
@@ -222,6 +224,13 @@ def fingerprint_components(fps: DataFrame, max_distance: int = 4, bucket_rows: i
     return connected_components(dealt.mapInArrow(_bucket_edges(max_distance), "u long, v long"))
 
 
+def _rooted(prints: DataFrame, first: Column, max_distance: int) -> DataFrame:
+    """(fp, first, root): each fingerprint's smallest ``first`` and component."""
+    least = materialise(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct_fingerprints")
+    roots = fingerprint_components(least.select("fp"), max_distance)
+    return least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
 
@@ -232,21 +241,21 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     component_id.  Repeated rows give repeated results; an empty table gives
     none; other columns are ignored."""
     prints = materialise(with_fingerprint(docs, text_col, id_col, shingle), "fingerprints")
-    least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct_fingerprints")
-    roots = fingerprint_components(least.select("fp"), max_distance)
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    rooted = _rooted(prints, F.col("doc_id"), max_distance)
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one whose
-    id is the component's smallest.  Of several rows with that id, the one with
-    the smallest text stays.  Rows with a NULL id stay only through a group
-    that has NULL ids alone; of all those rows one stays."""
-    comp = simhash_components(docs, text_col, id_col, shingle, max_distance)
-    keep = comp.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_keep_id"]), "left_semi")
-    one = kept.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
+    """``docs`` with one document of each near-duplicate group: the one with
+    the smallest id, NULL ids last, then the smallest hash of its text.  Every
+    group keeps one, also a group of NULL ids only, and one whose ids occur in
+    other groups.  Of rows equal in id and text one stays."""
+    prints = materialise(with_fingerprint(docs, text_col, id_col, shingle, text_hash=True), "fingerprints")
+    rooted = _rooted(prints, order_key(F.col("doc_id"), F.col("text_hash")), max_distance)
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash"))
+    text_hash = F.xxhash64(text_or_empty(docs, text_col))
+    kept = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_keep_id"]) & (text_hash == keep["_keep_hash"]), "left_semi")
+    one = kept.groupBy(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_or_empty(kept, text_col)).alias("_hash")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
     return one.select("_row.*")
