@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, fusion, priors, awkward rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,35 @@ def test_training_sample_is_bounded(split):
     assert few.languages == ["de", "en", "es", "fr"]
 
 
+def test_every_declared_language_is_trained(spark):
+    """The 65th language is as good as the first."""
+    r = random.Random(4)
+    words = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(r.choices(w, k=30)), x) for x, w in words.items() for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    out = language.identify(df, host_col=None).collect()
+    assert len(out) == 140 and all(x["language"] == x["lang"] and x["accepted"] for x in out)
+
+
+def test_too_many_languages_raise(spark):
+    df = spark.range(language.MAX_LANGUAGES + 1).select(F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="declared languages"):
+        language.train(df, "text", "lang")
+
+
+def test_a_text_counts_once_in_training(spark):
+    once = spark.createDataFrame([("der die das und",), ("nicht mit dem wort",), ("ein anderes wort hier",)], "text string").withColumn("lang", F.lit("de"))
+    often = once.unionByName(spark.range(3000).select(F.lit("der die das und").alias("text"), F.lit("de").alias("lang")))
+    a, b = (language.train(x, "text", "lang", sample_per_language=3) for x in (once, often))
+    assert len(np.unique(a.logp)) > 1 and np.array_equal(a.logp, b.logp)
+
+
+def test_sample_thresholds():
+    for wanted, size in ((5, 4), (5, 5), (5, 10), (2000, 10**12)):
+        share = (language._threshold(wanted, size) + (1 << 63) + 1) / (1 << 64)
+        assert share == pytest.approx(min(1.0, wanted / size), rel=1e-6)
+
+
 def test_text_beats_a_wrong_declaration(split):
     train, held = split
     model = language.train(train, "text", "lang")

@@ -2,8 +2,9 @@
 
 Evidence for each language, as log odds that add up:
 
-* the text: a smoothed model of hashed byte trigrams, trained here on a
-  bounded sample of declared documents (``sample_per_language``);
+* the text: a smoothed model of hashed byte trigrams of every declared
+  language, trained here on a bounded sample of distinct declared texts
+  (``sample_per_language``);
 * the declared language (a markup attribute or a column);
 * the address suffix (a country domain or a language directory);
 * the host: a prior smoothed hierarchically - host towards domain, domain
@@ -27,7 +28,7 @@ from wearcast.llm.common import materialise, schema_with, small_batches, with_co
 from wearcast.llm.url_filter import url_parts
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 64
+MAX_LANGUAGES = 512
 MAX_BROADCAST_HOSTS = 20_000
 
 #: Address suffixes that speak for a language: country domains, and a first
@@ -71,19 +72,29 @@ class Model:
         return total.tolist(), len(g), bool(total[best] / len(g) >= self.least[best])
 
 
+def _threshold(wanted: int, size: int) -> int:
+    """The signed 64-bit number that about ``wanted`` of ``size`` evenly spread
+    ones do not exceed."""
+    return min((wanted << 64) // size, 1 << 64) - (1 << 63) - 1 if wanted > 0 else -(1 << 63)
+
+
 def train(docs: DataFrame, text_col: str, declared_col: str, sample_per_language: int = 2000) -> Model | None:
-    """Trigram counts of a sample of at most about ``sample_per_language``
-    declared documents a language (chosen by a hash of the text); None when
-    nothing is declared."""
+    """Trigram counts of a sample of about ``sample_per_language`` distinct
+    texts a language (all where it has no more), chosen by a hash of the text,
+    however often each occurs; None when nothing is declared.  Every declared
+    language is trained; more than ``MAX_LANGUAGES`` raise."""
     label = F.lower(F.trim(docs[declared_col].cast("string")))
     rows = docs.select(label.alias("language"), docs[text_col].cast("string").alias("text")).where("language IS NOT NULL AND language <> '' AND text IS NOT NULL")
-    sizes = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    sizes = rows.select("language", "hash").distinct().groupBy("language").count().limit(MAX_LANGUAGES + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} declared languages")
     languages = sorted(r["language"] for r in sizes)
-    place = 1_000_000
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["language"]), F.lit(int(place * min(1.0, sample_per_language / r["count"]))))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(place)) < F.try_element_at(rate, F.col("language")))
+    highest = F.create_map(*[x for r in sizes for x in (F.lit(r["language"]), F.lit(_threshold(sample_per_language, r["count"])).cast("long"))])
+    sampled = rows.where(F.col("hash") <= F.try_element_at(highest, F.col("language")))
+    chosen = sampled.groupBy("language", "hash").agg(F.min("text").alias("text")).select("language", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -130,10 +141,14 @@ def host_priors(scored: DataFrame, n: int, host_strength: float, domain_strength
     row = domains.agg(*[F.sum(f"d{i}").alias(f"g{i}") for i in range(n)]).first()
     total = [float(row[i] or 0.0) for i in range(n)]
     corpus = [(x + 1.0) / (sum(total) + n) for x in total]
-    size = sum((F.col(f"d{i}") for i in range(1, n)), F.col("d0"))
-    domains = domains.select("_domain", F.array(*[(F.col(f"d{i}") + domain_strength * corpus[i]) / (size + domain_strength) for i in range(n)]).alias("_dp"))
-    size = sum((F.col(f"n{i}") for i in range(1, n)), F.col("n0"))
-    smoothed = F.array(*[(F.col(f"n{i}") + host_strength * F.element_at("_dp", i + 1)) / (size + host_strength) for i in range(n)])
+
+    def smooth(sums: Column, towards: Column, strength: float) -> Column:
+        size = F.aggregate(sums, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(sums, towards, lambda x, t: (x + strength * t) / (size + strength))
+
+    spread = F.array(*[F.lit(x) for x in corpus])
+    domains = domains.select("_domain", smooth(F.array(*[F.col(f"d{i}") for i in range(n)]), spread, domain_strength).alias("_dp"))
+    smoothed = smooth(F.array(*[F.col(f"n{i}") for i in range(n)]), F.col("_dp"), host_strength)
     return hosts.join(domains, "_domain").select("_host", smoothed.alias("_prior")), corpus
 
 
@@ -195,7 +210,9 @@ def identify(
     def evidence(value: Column, reliability: float) -> Column:
         """log P(value | language) up to a constant; no evidence for others."""
         other = (1.0 - reliability) / max(n - 1, 1)
-        return F.array(*[F.when(value.isin(languages), F.when(value == x, np.log(reliability).item()).otherwise(np.log(max(other, 1e-9)).item())).otherwise(0.0) for x in languages])
+        hit, miss = np.log(reliability).item(), np.log(max(other, 1e-9)).item()
+        names = F.array(*[F.lit(x) for x in languages])
+        return F.when(value.isin(languages), F.transform(names, lambda x: F.when(x == value, hit).otherwise(miss))).otherwise(F.array_repeat(F.lit(0.0), n))
 
     declared = F.lower(F.trim(F.col(declared_col).cast("string"))) if declared_col else F.lit(None).cast("string")
     prior = F.coalesce("_prior", F.array(*[F.lit(x) for x in corpus]))
