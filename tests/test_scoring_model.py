@@ -302,3 +302,25 @@ def test_trees_do_not_depend_on_layout(spark):
     assert native.exceptAll(direct).count() == 0 and direct.exceptAll(native).count() == 0
     right = fits[0].transform(df).where("pred_outer_layer = outer_layer").count()
     assert right > 0.99 * 60000
+
+
+def test_cuts_follow_the_weight_of_skewed_values(spark):
+    """A few far values leave the others their thresholds."""
+    import bisect
+    from collections import Counter
+
+    from wearcast.operators.model import feature_cuts
+
+    near = [(i % 6000) / 100 for i in range(12000)]
+    tables = {
+        "one_far": [*near, 1e6],
+        "both_ends": [*(x - 30 for x in near), 1e300, -1e200],
+        "powers": [float(f"{1 + i % 10}e{i // 100 - 60}") * (-1) ** i for i in range(12000)],
+        "infinite": [*near, float("inf")],
+    }
+    for name, values in tables.items():
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        cuts = feature_cuts(df, ["x"], 64)["x"]
+        assert cuts == sorted(cuts) and 50 <= len(cuts) <= 63, name
+        sizes = Counter(bisect.bisect_right(cuts, x) for x in values)
+        assert max(sizes.values()) <= 3 * len(values) / 64, name

@@ -76,6 +76,25 @@ def _fit_known(train: DataFrame, specs, parallelism: int):
         return list(pool.map(one, specs))
 
 
+def _cell(v: Column, low: float, high: float, parts: int, equal: bool) -> Column:
+    """The cell of ``v``, in ascending order, when ``low`` to ``high`` is split."""
+    if low == high:
+        return F.lit(0)
+    if not equal and (math.isinf(low) or math.isinf(high)):
+        return F.when(v == -math.inf, -1).when(v == math.inf, 1).otherwise(0)
+    if not equal and low <= 0 <= high:
+        return F.signum(v).cast("int")
+    size = F.abs(v)
+    near, far = sorted((abs(low), abs(high)))
+    if not equal and far > 2 * near:
+        place = (F.log(size) - F.log(F.lit(near))) / ((math.log(far) - math.log(near)) / parts)
+        return F.least(F.floor(place), F.lit(parts - 1)).cast("int") * (1 if low > 0 else -1)
+    width = (high - low) / parts
+    if not width:
+        return F.when(v == low, 0).otherwise(1)
+    return F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(parts - 1)).cast("int")
+
+
 def feature_cuts(df: DataFrame, features: Sequence[str], max_bins: int, weight_col: str | None = None, cells: int = 8192) -> dict[str, list[float]]:
     """Thresholds for the features with more than ``max_bins`` values: about
     equal weight between them, at most ``max_bins - 1``.
@@ -83,27 +102,46 @@ def feature_cuts(df: DataFrame, features: Sequence[str], max_bins: int, weight_c
     One pass finds each feature's range, one more its weighted histogram of
     ``cells`` equal cells (with the least and largest value in each, so few
     values are told apart exactly); thresholds lie between values of
-    neighbouring cells.  All sums are of whole weights, so the result depends
-    on the values alone, not on the layout or grouping of the rows."""
+    neighbouring cells.  A cell that holds several values and more than a
+    bin's weight is split again, in a pass for all such cells, until none is
+    left: by sign, then by magnitude where its values differ by more than a
+    factor of two, else into equal cells.  All sums are of whole weights, so
+    the result depends on the values alone, not on the layout or grouping of
+    the rows."""
     number = {f: F.col(f).cast("double") for f in features}
     spans = df.agg(*[g(number[f]).alias(f"{n}_{f}") for f in features for n, g in (("a", F.min), ("b", F.max))]).first()
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-
-    def cell(f: str) -> Column:
-        low, high = spans[f"a_{f}"], spans[f"b_{f}"]
-        if low is None or low == high:
-            return F.lit(0)
-        return F.least(F.floor((number[f] - F.lit(low)) / F.lit((high - low) / cells)), F.lit(cells - 1)).cast("int")
-
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("f"), cell(f).alias("c"), number[f].alias("v"), weight.alias("w")) for f in features])))
-    rows = long.where("v IS NOT NULL").groupBy("f", "c").agg(F.sum("w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b")).collect()  # cells x features at most
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("f"), number[f].alias("v"), weight.alias("w")) for f in features]))).where("v IS NOT NULL")
+    open_ = {f: [(spans[f"a_{f}"], spans[f"b_{f}"])] for f in features if spans[f"a_{f}"] is not None}
+    done: dict[str, list[tuple]] = {f: [] for f in features}
+    limit: dict[str, float] = {}
+    while open_:
+        first = not limit
+        parts = {f: max(32, cells // len(x)) for f, x in open_.items()}
+        ranges = F
+        for f, spread in open_.items():
+            inside = F
+            for k, (low, high) in enumerate(spread):
+                cell = _cell(F.col("v"), low, high, parts[f], equal=first)
+                inside = inside.when(F.col("v").between(low, high), F.struct(F.lit(k).alias("k"), cell.alias("c")))
+            ranges = ranges.when(F.col("f") == f, inside)
+        held = long.withColumn("at", ranges).where("at IS NOT NULL").groupBy("f", "at").agg(F.sum("w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"))
+        rows = held.select("f", "w", "a", "b").collect()  # cells x features at most, or 32 a bin
+        if first:
+            limit = {f: sum(r["w"] for r in rows if r["f"] == f) / max_bins for f in features}
+        before, open_ = open_, {}
+        for r in rows:
+            if r["a"] < r["b"] and r["w"] > limit[r["f"]] and (first or (r["a"], r["b"]) not in before[r["f"]]):
+                open_.setdefault(r["f"], []).append((r["a"], r["b"]))
+            else:
+                done[r["f"]].append((r["a"], r["b"], r["w"]))
     cuts: dict[str, list[float]] = {}
     for f in features:
-        held = sorted((r["c"], r["w"], r["a"], r["b"]) for r in rows if r["f"] == f)
-        if len(held) <= max_bins and all(a == b for _, _, a, b in held):
+        held = sorted(done[f])
+        if len(held) <= max_bins and all(a == b for a, b, _ in held):
             continue
-        total, seen, out = sum(w for _, w, _, _ in held), 0.0, []
-        for (_, w, _, high), (_, _, low, _) in zip(held, held[1:]):
+        total, seen, out = sum(w for _, _, w in held), 0.0, []
+        for (_, high, w), (low, _, _) in zip(held, held[1:]):
             seen += w
             if seen >= total * (len(out) + 1) / max_bins and len(out) < max_bins - 1:
                 out.append((high + low) / 2)
