@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import bpe, chat_format, decontaminate, html_text, language, licenses, line_dedup, quality, simhash, url_filter
+from wearcast.llm import bpe, chat_format, decontaminate, html_text, language, licenses, line_dedup, periodic, quality, simhash, url_filter
+from wearcast.llm.common import words_of
 from wearcast.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +213,61 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "cover", "templated")
+
+
+OP13_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w0,
+    flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS bits
+  FROM documents),
+hashed AS (
+  SELECT doc_id, w0, len(w0) AS n, xor(4294967295, list_reduce(bits,
+    lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, CAST(4294967295 AS BIGINT))) AS h FROM split),
+sized AS (SELECT *, h % 10 = 0 AND n > 0 AS planted, (h // 10) % greatest(n, 1) AS a, h // 10 AS g FROM hashed),
+d AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM sized),
+made AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w0 END AS w FROM d),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM made),
+matches AS (
+  SELECT y.doc_id, y.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 4 * (y.i - x.i) <= y.n),
+diagonals AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM matches),
+stretches AS (SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length FROM diagonals GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+spans AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN spans USING (doc_id, i) GROUP BY doc_id),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+    min(struct_pack(l := -length, s := start, p := period)) AS best FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.p AS period,
+  CAST((1000 * -best.l) // best.p AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
+def plant_periods(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` with a period in the texts whose id's crc32 ends in
+    0: from word a on, the p words there repeat (the contract's a and p).  A
+    NULL id's text stays."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words_of(F.coalesce("text", F.lit("")))))
+    sized = split.withColumns({"n": F.size("w").cast("long"), "g": F.floor(F.col("h") / 10)}).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    at = sized.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p, rest = F.col("a").cast("int"), F.col("p").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    times = F.ceil(F.col("n") / F.col("p")).cast("int")
+    looped = F.concat(F.slice("w", F.lit(1), a), F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), times)), F.lit(1), rest))
+    return at.select("doc_id", F.when(F.col("n") > 0, F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@register(OP13_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document (some made periodic first, as the
+    contract says), the greatest run, and digests of all runs and of the text
+    without repeats."""
+    found = periodic.find_runs(plant_periods(read_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    slim = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").alias("listed"), "collapsed")
+    length, period = F.col("best.l"), -F.col("best.p")
+    return slim.select(
+        "doc_id", "n_runs", (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
