@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import bpe, chat_format, decontaminate, html_text, language, licenses, line_dedup, periodic, quality, simhash, url_filter
+from wearcast.llm import bpe, chat_format, decontaminate, html_text, language, licenses, line_dedup, periodic, quality, secret_scan, simhash, url_filter
 from wearcast.llm.common import words_of
 from wearcast.session import read_table
 
@@ -271,3 +271,68 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slim.select(
         "doc_id", "n_runs", (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"),
         F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+_ENCODED = " ".join(f"WHEN regexp_full_match(hit, '[{c}]+') THEN {{}}" for c, _ in secret_scan.ENCODINGS)
+_ALPHABET = "CASE " + _ENCODED.format(*[f"'{a}'" for _, a in secret_scan.ENCODINGS]) + " END"
+_RATE = "CASE " + _ENCODED.format(*[f"CAST({secret_scan.change_rate(a)} AS DOUBLE)" for _, a in secret_scan.ENCODINGS]) + " END"
+_EDGES = ", ".join(f"CAST({secret_scan.tail(b)!r} AS DOUBLE)" for b in range(secret_scan.BINS + 1))
+_ASSIGN = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)") + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches_sql(kind: int, pattern: str, group: int) -> str:
+    hits = f"regexp_extract_all(text, '{pattern}', {{}})"
+    return (f"SELECT id, {kind} AS kind, unnest(regexp_split_to_array(text, '{pattern}')) AS gap, unnest({hits.format(0)}) AS hit, "
+            f"unnest({hits.format(group)}) AS val, unnest(range(1 + len({hits.format(0)}))) AS k FROM d")
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({" UNION ALL ".join([_matches_sql(0, _ASSIGN, 2), _matches_sql(1, "AKIA[A-Z0-9]+", 0), _matches_sql(2, "[0-9a-f]+", 0), _matches_sql(3, "[A-Za-z0-9+/_-]+", 0)])}),
+placed AS (
+  SELECT *, sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY id, kind ORDER BY k) - coalesce(length(hit), 0) AS s FROM raw),
+spans AS (
+  SELECT id, kind, hit, CAST(s AS BIGINT) AS s, CAST(s + length(hit) AS BIGINT) AS e FROM placed
+  WHERE hit IS NOT NULL AND length(val) >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 WHEN 2 THEN 24 ELSE 16 END),
+tokens AS (
+  SELECT *, {_ALPHABET} AS alphabet, {_RATE} AS rate, CAST(length(hit) AS DOUBLE) AS n,
+    length(regexp_replace(regexp_replace(regexp_replace(hit, '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), '[^A-Za-z]+', '0', 'g')) - 1 AS changes FROM spans WHERE kind = 3),
+coded AS (
+  SELECT *, CAST(length(alphabet) AS DOUBLE) AS k, list_transform(range(1, length(hit) + 1), lambda i: instr(alphabet, hit[i])) AS x,
+    CAST(list_sum(list_transform(string_split(alphabet, ''), lambda c: (length(hit) - length(replace(hit, c, ''))) * (length(hit) - length(replace(hit, c, ''))))) AS DOUBLE) AS sq FROM tokens),
+summed AS (
+  SELECT *, CAST(list_sum(x) AS DOUBLE) AS sx, CAST(list_sum(list_transform(x, lambda a: a * a)) AS DOUBLE) AS sxx,
+    CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * x[1 + i % len(x)])) AS DOUBLE) AS sxy FROM coded),
+tested AS (
+  SELECT *, (k / n * sq - n - (k - 1 + n * {secret_scan.UNEVEN}::DOUBLE)) / sqrt(2 * (k - 1 + 2 * (n * {secret_scan.UNEVEN}::DOUBLE))) AS uniform,
+    ((n - 1) * (rate / 2) - changes) / sqrt((n - 1) * (rate / 2) * (1 - rate / 2)) AS runs,
+    (abs(CASE WHEN n * sxx - sx * sx = 0 THEN 1.0::DOUBLE ELSE (n * sxy - sx * sx) / (n * sxx - sx * sx) END) - {secret_scan.CORRELATED}::DOUBLE) * sqrt(n) AS serial FROM summed),
+binned AS (
+  SELECT id, kind, s, e, {" + ".join(f"(n >= {x})::INT" for x in secret_scan.LENGTHS)} AS class,
+    CAST(least(greatest(floor(-10 * ((uniform + runs + serial) / sqrt(3.0::DOUBLE))), 0), {secret_scan.BINS}) AS INT) AS bin FROM tested),
+counted AS (SELECT class, bin, count(*) AS c FROM binned GROUP BY class, bin),
+ranked AS (SELECT class, bin, sum(c) OVER (PARTITION BY class ORDER BY bin DESC) AS above, sum(c) OVER (PARTITION BY class) AS m FROM counted),
+least AS (SELECT class, min(bin) AS least FROM ranked WHERE [{_EDGES}][bin + 1] * m <= 0.01::DOUBLE * above GROUP BY class),
+kept AS (
+  SELECT id, kind, s, e FROM spans WHERE kind < 3
+  UNION ALL SELECT id, kind, s, e FROM binned JOIN least USING (class) WHERE bin >= least),
+named AS (SELECT id, kind, s, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e AS said FROM kept)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY s, kind), '') AS spans
+FROM d LEFT JOIN named USING (id) GROUP BY id, doc_id
+"""
+
+
+@register(OP12_SQL)
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the base patterns and the random tokens."""
+    found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
