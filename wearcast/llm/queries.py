@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import bpe, chat_format, decontaminate, html_text, language, licenses, line_dedup, periodic, quality, secret_scan, simhash, url_filter
+from wearcast.llm import bpe, chat_format, decontaminate, hard_negatives, html_text, language, licenses, line_dedup, periodic, quality, secret_scan, simhash, url_filter
 from wearcast.llm.common import words_of
 from wearcast.session import read_table
 
@@ -336,3 +336,33 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1] * x[2])) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT a, b AS p, s AS ps FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+negatives AS (
+  SELECT p.a AS anchor_id, p AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p ORDER BY s DESC, b) AS INT) AS rank,
+    b AS negative_id, ps AS positive_score, s AS negative_score
+  FROM positives p JOIN scores n ON p.a = n.a AND NOT n.same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps)
+SELECT * FROM negatives WHERE rank <= 3
+"""
+
+
+@register(OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, for each of its positives."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    vectors = rows.where(finite).select("vec_id", moved.alias("label"), whole.alias("q"))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
