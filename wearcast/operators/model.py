@@ -8,11 +8,12 @@
   fitted from a thread pool so their per-level jobs overlap (each fit is
   itself data-parallel: one aggregation of split statistics per tree level).
 * The fitted model is one ``PipelineModel`` (assembler, trees, label
-  converters) that saves and loads with the standard ML writer.
-  Prediction compiles each fitted tree into a nested CASE over the feature
+  converters).  It is stored as one table of tree nodes (``trees``), and
+  prediction compiles each tree into a nested CASE over the feature
   columns (``native_predictions``), so scoring a row is a few native
   comparisons inside whole-stage codegen instead of ten UDF calls on a
-  feature vector; models with other stages fall back to ``transform``.
+  feature vector; models with other stages are stored by the standard ML
+  writer and fall back to ``transform``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
-import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import Bucketizer, IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +37,7 @@ from wearcast import schema as S
 from wearcast.functions.weather import humidity_fraction
 from wearcast.operators.cleaning import booleans_to_yes_no
 from wearcast.operators.scoring import score_table
+from wearcast.operators.trees import TreeModel, _bins, model_of_pipeline, predictions, read_model, write_nodes
 
 FEATURES_COL = "_features"
 
@@ -256,70 +257,23 @@ STRATEGIES = {"ddt": fit_dual, "sdt": fit_single}
 
 
 # -- L2 / L3 ----------------------------------------------------------------
-def _tree_column(tree: DecisionTreeClassificationModel, features: list[tuple[Column, list[float] | None]]) -> Column:
-    """A fitted tree's nodes as a nested CASE over (feature, bounds of its bins
-    or None): ``feature <= threshold`` goes left, and of a binned feature the
-    values below the bound that the threshold stands for; NaN goes right, as
-    in the tree's own predict.  Raises ValueError on a categorical split."""
-
-    def node(n) -> Column:
-        if n.subtreeDepth() == 0:
-            return F.lit(float(n.prediction()))
-        split = n.split()
-        if not split.getClass().getSimpleName().startswith("Continuous"):
-            raise ValueError("only continuous splits have a native form")
-        feature, bounds = features[split.featureIndex()]
-        at = float(split.threshold())
-        goes_left = feature <= F.lit(at) if bounds is None else feature < F.lit(bounds[math.floor(at) + 1])
-        return F.when(goes_left, node(n.leftChild())).otherwise(node(n.rightChild()))
-
-    return node(tree._call_java("rootNode"))
-
-
-def _bins(model: PipelineModel) -> list[tuple[str, list[float] | None]]:
-    """(feature, its bins' bounds or None) for each input of the trees."""
-    cut = next((st for st in model.stages if isinstance(st, Bucketizer)), None)
-    known = {} if cut is None else {o: (i, list(b)) for o, i, b in zip(cut.getOutputCols(), cut.getInputCols(), cut.getSplitsArray())}
-    names = next(st for st in model.stages if isinstance(st, VectorAssembler)).getInputCols()
-    return [known.get(n, (n, None)) for n in names]
-
-
-def native_predictions(model: PipelineModel, features: dict | None = None) -> dict[str, Column] | None:
+def as_trees(model: PipelineModel | TreeModel) -> TreeModel | None:
+    """The model's trees as nodes; None when it has a stage that nodes cannot
+    express."""
+    return model if isinstance(model, TreeModel) else model_of_pipeline(model)
+
+
+def native_predictions(model: PipelineModel | TreeModel, features: dict | None = None) -> dict[str, Column] | None:
     """``pred_<label>`` columns computed as native expressions (no UDF, no
-    feature vector), equal to the model's own transform on complete rows and
+    feature vector), equal to the pipeline's own transform on complete rows and
     NULL where any feature is NULL; None when the model has a stage this
     cannot express.  ``features`` may give a Column per
     feature name (default: the columns of that name)."""
-    stages = list(model.stages)
-    bins = _bins(model)
-    if stages and isinstance(stages[0], Bucketizer):
-        stages = stages[1:]
-    if not stages or not isinstance(stages[0], VectorAssembler):
-        return None
-    feats = [((features or {}).get(n, F.col(n)).cast("double"), cuts) for n, cuts in bins]
-    complete = reduce(lambda a, b: a & b, [f.isNotNull() for f, _ in feats])
-    raw: dict[str, Column] = {}
-    out: dict[str, Column] = {}
-    try:
-        for st in stages[1:]:
-            if isinstance(st, DecisionTreeClassificationModel):
-                raw[st.getPredictionCol()] = F.when(complete, _tree_column(st, feats))
-            elif isinstance(st, IndexToString):
-                arr = F.array(*[F.lit(v) for v in st.getLabels()])
-                at = raw[st.getInputCol()]
-                # element_at takes an unknown place for a non-NULL result
-                out[st.getOutputCol()] = F.when(at.isNotNull(), F.element_at(arr, at.cast("int") + 1))
-            elif isinstance(st, SQLTransformer):
-                for m in re.finditer(r"CAST\((\w+) = 1\.0 AS BOOLEAN\) AS (\w+)", st.getStatement()):
-                    out[m.group(2)] = raw[m.group(1)] == F.lit(1.0)
-            else:
-                return None
-    except (ValueError, KeyError):
-        return None
-    return out
+    trees = as_trees(model)
+    return None if trees is None else predictions(trees, features)
 
 
-def apply_model(model: PipelineModel, df: DataFrame, features: dict | None = None) -> DataFrame:
+def apply_model(model: PipelineModel | TreeModel, df: DataFrame, features: dict | None = None) -> DataFrame:
     """``df`` plus ``pred_<label>`` columns: native expressions when the
     model allows (one codegen'd projection), else the pipeline transform.
     A row with a NULL feature has NULL predictions either way."""
@@ -339,7 +293,7 @@ def apply_model(model: PipelineModel, df: DataFrame, features: dict | None = Non
     return out.select(*[F.col(saved.get(c, c)).alias(c) for c in df.columns], *preds)
 
 
-def predict_outfits(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("row_id",), normalize_humidity: bool = True) -> DataFrame:
+def predict_outfits(model: PipelineModel | TreeModel, df: DataFrame, keep: Sequence[str] = ("row_id",), normalize_humidity: bool = True) -> DataFrame:
     """Batch predict: the kept columns plus ``pred_<label>`` per label.
     Humidity is read as the clean-up reads it (M1: percent or fraction) unless
     ``normalize_humidity`` is off.  A row with a NULL feature has NULL
@@ -349,7 +303,7 @@ def predict_outfits(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (
     return out.select(*[c for c in keep if c in out.columns], *preds)
 
 
-def predict_outfit(spark: SparkSession, model: PipelineModel, **features) -> dict:
+def predict_outfit(spark: SparkSession, model: PipelineModel | TreeModel, **features) -> dict:
     """L3: one scenario given as keyword features -> ``{label: value}``.
     The same batch predict on a one-row frame (humidity in percent or as a
     fraction); a missing feature fails."""
@@ -364,7 +318,7 @@ def predict_outfit(spark: SparkSession, model: PipelineModel, **features) -> dic
 
 # -- L4 / L6 ----------------------------------------------------------------
 def score_model(
-    model: PipelineModel,
+    model: PipelineModel | TreeModel,
     df: DataFrame,
     strategy: str = "ddt",
     drop_perfect: bool = False,
@@ -418,7 +372,7 @@ def model_path(base: str, athlete: str = "default", activity: str = S.RUN, strat
     return f"{base.rstrip('/')}/{athlete}_{activity}_{strategy}"
 
 
-_POINTER_SCHEMA = "version string, path string, trained_at string, data_micros long"
+_POINTER_SCHEMA = "version string, path string, trained_at string, data_micros long, form string"
 
 
 def _micros(mtime: int | dt.datetime | None) -> int | None:
@@ -442,25 +396,38 @@ def _pointer(spark: SparkSession, path: str):
     return rows[0].asDict() if rows else None
 
 
-def save_model(spark: SparkSession, model: PipelineModel, path: str, data_mtime: int | dt.datetime | None = None) -> str:
+def save_model(spark: SparkSession, model: PipelineModel | TreeModel, path: str, data_mtime: int | dt.datetime | None = None) -> str:
     """Write a new version directory, then a pointer record naming it
-    (readers never see a half-written model)."""
+    (readers never see a half-written model).  The version is one table of
+    nodes; a pipeline with stages that nodes cannot express is written by the
+    standard ML writer."""
     version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
     target = f"{path}/v={version}"
-    model.write().save(target)
+    trees = as_trees(model)
+    if trees is None:
+        model.write().save(target)
+    else:
+        write_nodes(trees.frame(spark).coalesce(1), target)
     rec = {"version": version, "path": target, "trained_at": dt.datetime.now(dt.timezone.utc).isoformat(),
-           "data_micros": _micros(data_mtime)}
+           "data_micros": _micros(data_mtime), "form": "pipeline" if trees is None else ",".join(trees.features)}
     spark.createDataFrame([(json.dumps(rec),)], "value string").coalesce(1).write.mode("append").text(
         f"{path}/_latest"
     )
     return target
 
 
-def load_model(spark: SparkSession, path: str) -> PipelineModel:
+def _load(spark: SparkSession, ptr: dict) -> PipelineModel | TreeModel:
+    """The version a pointer names; pointers without a form name a pipeline."""
+    if ptr["form"] in (None, "pipeline"):
+        return PipelineModel.load(ptr["path"])
+    return read_model(spark, ptr["path"], ptr["form"].split(","))
+
+
+def load_model(spark: SparkSession, path: str) -> PipelineModel | TreeModel:
     ptr = _pointer(spark, path)
     if ptr is None:
         raise ValueError(f"no model at {path}")
-    return PipelineModel.load(ptr["path"])
+    return _load(spark, ptr)
 
 
 def data_modified(spark: SparkSession, path: str, glob: str = "*.parquet") -> int | None:
@@ -489,7 +456,7 @@ def get_model(
     activity: str = S.RUN,
     data_mtime: int | dt.datetime | None = None,
     **fit_kw,
-) -> tuple[PipelineModel, bool]:
+) -> tuple[PipelineModel | TreeModel, bool]:
     """L7 + F7: load the stored model unless it is missing or older than the
     training files; otherwise fit, save a new version and return it.
     ``data_mtime`` is the newest modification time of the training files
@@ -501,8 +468,9 @@ def get_model(
     mtime = _micros(data_mtime)
     if ptr is not None and ptr.get("data_micros") is not None and mtime is not None:
         if ptr["data_micros"] >= mtime:
-            return PipelineModel.load(ptr["path"]), False
+            return _load(spark, ptr), False
     model = STRATEGIES[strategy](training, **fit_kw)
+    model = as_trees(model) or model
     save_model(spark, model, path, mtime)
     return model, True
 
@@ -516,7 +484,7 @@ def train_from_logs(
     athlete: str = "default",
     data_mtime: int | dt.datetime | None = None,
     **fit_kw,
-) -> tuple[PipelineModel, bool]:
+) -> tuple[PipelineModel | TreeModel, bool]:
     """L8 then L7: clean raw activity logs for one activity and train (or load,
     when the stored model is newer than the logs) that activity's model."""
     from wearcast.operators.cleaning import clean_activity_log

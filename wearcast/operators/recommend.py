@@ -21,6 +21,7 @@ from wearcast.functions.weather import humidity_fraction, truncate_hour
 from wearcast.operators.model import apply_model
 from wearcast.operators.reply import Descriptions, add_replies
 from wearcast.operators.store import routed_lookup
+from wearcast.operators.trees import TreeModel
 
 _OBS = ["feels_like", "wind_speed", "pct_humidity"]
 LAST_WRITE = ("snapshot_ts", "seq", "epoch")
@@ -30,7 +31,7 @@ def recommend(
     requests: DataFrame,
     forecasts: DataFrame,
     history: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | TreeModel,
     descriptions: Descriptions,
     now,
     row_id: str = "row_id",

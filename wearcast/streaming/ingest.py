@@ -30,6 +30,7 @@ from wearcast import schema as S
 from wearcast.operators.cleaning import union_all_by_name
 from wearcast.operators.observations import observations_from_points
 from wearcast.operators.store import fresh_only, latest_per_key
+from wearcast.operators.trees import TreeModel
 from wearcast.session import shared_path
 from wearcast.sources.weather_json import explode_hourly
 
@@ -162,7 +163,7 @@ def compact_log(
 
 
 def start_scoring(
-    model: PipelineModel,
+    model: PipelineModel | TreeModel,
     stream: DataFrame,
     out_path: str,
     keep=("row_id",),
