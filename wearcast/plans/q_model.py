@@ -59,6 +59,30 @@ def model_roundtrip(spark, sf_dir):
     return M.predict_outfits(loaded, train)
 
 
+# -- L7 for many groups -------------------------------------------------------
+# Every supplier is an athlete with two activities and label rules of its own:
+# the quantity moves by the supplier's number.
+_OWN = {lab: rule.replace("CAST(l_quantity AS DOUBLE)", "CAST(l_quantity + l_suppkey % 5 AS DOUBLE)") for lab, rule in LABEL_RULES.items()}
+_KEYS = [("athlete", "l_suppkey"), ("activity", "CASE WHEN l_linestatus = 'F' THEN 'Run' ELSE 'Roadbike' END")]
+_GROUPED_SQL = "SELECT l_orderkey * 8 + l_linenumber AS row_id, " + ", ".join(
+    [f"{rule} AS {name}" for name, rule in _KEYS] + [f"{rule} AS pred_{lab}" for lab, rule in _OWN.items()]) + " FROM lineitem"
+
+
+@register("grouped_models", _GROUPED_SQL)
+def grouped_models(spark, sf_dir):
+    """L7, L1, L2 for many: the models of every (athlete, activity) are fitted
+    together and stored as one node table; every line item is then predicted
+    by its own group's stored model."""
+    from wearcast.operators import grouped as G
+    from wearcast.plans.inputs import LINEITEM_TRAINING, spark_view
+
+    shaped = [c for c in LINEITEM_TRAINING if c[0] not in LABEL_RULES] + _KEYS + list(_OWN.items()) + [("modified", "1")]
+    train = spark_view(read_table(spark, sf_dir, "lineitem"), shaped)
+    nodes, _ = G.refresh_groups(train, shared_path(spark, "grouped_models"))
+    out = G.predict_groups(nodes, train.drop(*S.LABELS))
+    return out.select("row_id", "athlete", "activity", *[f"pred_{lab}" for lab in S.LABELS])
+
+
 # -- L2 on incomplete rows, L3 ----------------------------------------------
 _GAPS = "SELECT l_orderkey * 8 + l_linenumber AS row_id, " + ", ".join(
     f"CASE WHEN (l_orderkey + l_linenumber) % 6 = 5 THEN {rule} END AS pred_{lab}" for lab, rule in LABEL_RULES.items()
