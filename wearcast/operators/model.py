@@ -341,20 +341,24 @@ def score_model(
     return score_table(apply_model(model, grouped), S.LABELS, drop_perfect=drop_perfect, weight_col=WEIGHT_COL)
 
 
-def fit_and_score(df: DataFrame, strategies=("ddt", "sdt"), drop_perfect: bool = False, **fit_kw) -> DataFrame:
+def fit_and_score(df: DataFrame, strategies=("ddt", "sdt"), drop_perfect: bool = False, held_out: Column | None = None, **fit_kw) -> DataFrame:
     """Fit each strategy on ``df`` and score it there, the strategies running
     concurrently; ``(strategy, label, accuracy)`` rows, ``overall`` included.
+    With ``held_out`` the rows it is true for are kept from the fit and are
+    the ones that are scored (where it is NULL a row is not held out).
     The rows are grouped to weighted distinct (features, labels) once and
     cached, and every fit and score reads that."""
+    part = F.lit(None).cast("boolean") if held_out is None else F.coalesce(held_out, F.lit(False))
     weighted = (
-        df.groupBy(*S.FEATURES, *S.LABELS)
+        df.groupBy(part.alias("_held_out"), *S.FEATURES, *S.LABELS)
         .agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    fitted, scored_on = (weighted, weighted) if held_out is None else (weighted.where("NOT _held_out"), weighted.where("_held_out"))
 
     def one(name: str) -> DataFrame:
-        model = STRATEGIES[name](weighted, weight_col=WEIGHT_COL, **fit_kw)
-        scored = score_model(model, weighted, strategy=name, drop_perfect=drop_perfect, weight_col=WEIGHT_COL)
+        model = STRATEGIES[name](fitted, weight_col=WEIGHT_COL, **fit_kw)
+        scored = score_model(model, scored_on, strategy=name, drop_perfect=drop_perfect, weight_col=WEIGHT_COL)
         rows = scored.collect()  # one row per label: bounded by the label count
         return [(name, r["label"], r["accuracy"]) for r in rows]
 
