@@ -9,8 +9,8 @@ from wearcast.functions import weather as W
 from wearcast.operators import store as ST
 from wearcast.operators.location import parse_locations, with_coordinates
 from wearcast.plans.catalog import register
-from wearcast.session import read_table
-from wearcast.sources.snapshots import read_snapshot, write_snapshot
+from wearcast.session import read_table, shared_path
+from wearcast.sources import day_table
 
 NOW = "2024-01-15 00:00:00"
 FORECAST_TYPES = ("view", "click", "purchase")
@@ -132,20 +132,15 @@ UNION ALL
 SELECT location_key, obs_date, obs_hour, snapshot_ts, event_id, value FROM f""",
 )
 def day_upsert(spark, sf_dir):
-    """S7 + A6: a first snapshot (newest write per hour of one half of the
-    writes) is saved by day; the other half is upserted day by day into it
-    and saved as a new snapshot, which is read back."""
-    obs = _observations(spark, sf_dir)
-    cols = ["location_key", "obs_date", "obs_hour", "snapshot_ts", "event_id", "value"]
-    latest = ("snapshot_ts", "event_id")
-    first = ST.latest_per_key(obs.filter(F.col("kind") == "forecast").select(*cols), order=latest)
-    first = first.select(*cols)
-    path1 = write_snapshot(first)
-    history = read_snapshot(spark, path1, like=first)
-    fresh = obs.filter(F.col("kind") == "history").select(*cols)
-    merged = ST.upsert_days(history, fresh, order=latest)
-    path2 = write_snapshot(merged)
-    return read_snapshot(spark, path2, like=merged)
+    """S7 + A6: one half of the writes (newest per hour) opens a store of
+    days; the other half is upserted into it, which writes its own days only;
+    the store is read back."""
+    obs = _observations(spark, sf_dir).select("kind", "location_key", "obs_date", "obs_hour", "snapshot_ts", "event_id", "value")
+    base, latest = shared_path(spark, "day_store"), ("snapshot_ts", "event_id")
+    for kind in ("forecast", "history"):
+        half = obs.filter(F.col("kind") == kind).drop("kind")
+        day_table.upsert(half, base, order=latest)
+    return day_table.read(spark, base, half.schema)
 
 
 # -- T1-T3 ------------------------------------------------------------------
@@ -226,7 +221,6 @@ def coordinates(spark, sf_dir):
     and read back through the coordinate source (keys stay text); each
     customer's parsed place, keyed ``ST-City``/zip, is joined to it
     (broadcast only after a bounded size check)."""
-    from wearcast.session import shared_path
     from wearcast.sources.files import read_coordinates
 
     nation = read_table(spark, sf_dir, "nation")
