@@ -127,6 +127,23 @@ def text_sources(spark, sf_dir):
     return union_all_by_name(logs, wb).select("row_id", "source", *_CLEAN)
 
 
+@register("workbook_source", f"SELECT row_id, {', '.join(_CLEAN)} FROM ({_SCEN})")
+def workbook_source(spark, sf_dir):
+    """S3 + P1: every event scenario as a row of the activity sheet of .xlsx
+    workbooks (numbers as numbers, Yes/No as text, empty rows between), stored
+    as files' bytes and read back through the workbook reader."""
+    from wearcast.sources import workbook as WB
+
+    e = read_table(spark, sf_dir, "events")
+    columns = [c for c, _ in _WORKBOOK_FILE][:25]
+    sheet = spark_view(e, _quoted(_WORKBOOK_FILE)).select(*[f"`{c}`" for c in columns])
+    empty = e.filter(F.col("event_id") % 50 == 0).select(*[F.lit(None).cast("string").alias(c) for c in columns])
+    path = shared_path(spark, "workbooks")
+    WB.pack_workbooks(sheet.unionByName(empty), rows_per_file=5000).write.parquet(path)
+    rows = WB.activity_log(WB.parse_workbooks(spark.read.parquet(path), columns=columns))
+    return rows.select(F.col("Row").cast("long").alias("row_id"), *_CLEAN)
+
+
 # -- S6 / S11 / O1 / P11-P13 / U2 -------------------------------------------
 _SAMPLE_COLS = ["row_id", *S.LABELS, *S.FEATURES, "Athlete", "activity"]
 

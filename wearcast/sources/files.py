@@ -133,8 +133,13 @@ def read_workbook_export(spark: SparkSession, path: str, first_columns: int = 25
     else:
         sheets = [_read_layout(spark, columns, files, "PERMISSIVE") for columns, files in _layouts(spark, path)]
     cut = [sheet.select(*[F.col(f"`{c}`") for c in sheet.columns[:first_columns]]) for sheet in sheets]
-    df = rename_workbook_headers(drop_empty_rows(union_all_by_name(*cut)))
-    df = drop_columns(df, S.WORKBOOK_DROPS)
+    return typed_sheet(drop_empty_rows(union_all_by_name(*cut)))
+
+
+def typed_sheet(sheet: DataFrame) -> DataFrame:
+    """A sheet's text columns renamed, the unused ones dropped, numbers and
+    Yes/No parsed."""
+    df = drop_columns(rename_workbook_headers(sheet), S.WORKBOOK_DROPS)
     typed = {c: F.col(c).cast("string").try_cast("double") for c in WORKBOOK_NUMERIC if c in df.columns}
     typed.update({c: parse_bool(c) for c in WORKBOOK_BOOLEAN if c in df.columns})
     return df.withColumns(typed)
