@@ -109,6 +109,28 @@ def stream_fresh(spark, sf_dir):
     return ST.current_observations(spark, log, now=NOW, ttl_hours=12).select(*_STREAM_COLS)
 
 
+_MS = "epoch_ms(snapshot_ts)"
+
+
+@register("stream_current", _stream_sql().replace("SELECT * FROM o\n", f"SELECT * FROM o WHERE {_MS} > (SELECT max({_MS}) FROM o) - 43200000\n"))
+def stream_current(spark, sf_dir):
+    """ST1 + ST3 in keyed state: the stream itself keeps the newest write per
+    (place, hour) and drops it twelve hours after its snapshot, by the time of
+    the newest snapshot seen; two runs, the second with late documents."""
+    from wearcast.streaming import current as C
+
+    e = read_table(spark, sf_dir, "events")
+    base = shared_path(spark, "stream_current")
+    landing = f"{base}/landing"
+    document = F.struct(F.col("user_id").cast("string").alias("location"), F.col("ts").alias("snapshot_ts"), F.col("event_id").alias("seq"), event_hourly().alias("hourly"))
+    value = F.to_json(document, {"timestampNTZFormat": ST.TS_FORMAT})
+    first = F.coalesce(F.col("event_type").isin(*FORECAST_TYPES), F.lit(False))
+    for part in (first, ~first):
+        e.filter(part).select(value.alias("value")).write.mode("append").text(landing)
+        C.start_current(ST.observation_stream(spark, landing), f"{base}/changes", checkpoint=f"{base}/ckpt").awaitTermination()
+    return C.read_current(spark, f"{base}/changes").select(*_STREAM_COLS)
+
+
 @register("stream_score", _PRED_SQL)
 def stream_score(spark, sf_dir):
     """ST2: a model fitted on every line item scores line items arriving as

@@ -2,9 +2,10 @@
 (ST2) and forecast expiry on read (ST3).
 
 ST1 keeps an append-only observation log (Parquet, a folder per micro-batch,
-days below it).  A micro-batch writes its own folder - written anew if the
-batch is run again - and then a commit record, so each batch counts once and
-only when it is complete.  "Newest arrival wins per (place, hour)" is resolved
+days below it).  Every attempt at a micro-batch writes a folder of its own and
+then a commit record that names it, so each batch counts once and only when it
+is complete; a batch that is run again leaves what readers see alone until it
+commits.  "Newest arrival wins per (place, hour)" is resolved
 when the log is read, with the same last-write-wins aggregate as the batch
 store.  Late or repeated hours therefore simply overwrite, as in the
 original's dictionary, with no state kept in the stream.
@@ -19,6 +20,9 @@ unless given.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +36,7 @@ from wearcast.operators.observations import observations_from_points
 from wearcast.operators.store import fresh_only, latest_per_key
 from wearcast.operators.trees import TreeModel
 from wearcast.session import shared_path
+from wearcast.sources.snapshots import write_snapshot
 from wearcast.sources.weather_json import explode_hourly
 
 # A forecast document as it arrives: the hourly payload plus an envelope
@@ -69,36 +74,60 @@ def start_observation_log(
     ckpt = checkpoint or shared_path(stream.sparkSession, "streams", "observation_log")
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("ingest_ts", F.current_timestamp())
-        rows.write.mode("overwrite").partitionBy("obs_date").parquet(f"{log_path}/batch_id={batch_id}")
-        commit = batch.sparkSession.createDataFrame([(batch_id,)], "batch_id long").coalesce(1)
-        commit.write.mode("overwrite").json(f"{log_path}/_commits/n={batch_id}")
+        append_batch(batch.withColumn("ingest_ts", F.current_timestamp()), batch_id, log_path, "obs_date")
 
     writer = stream.writeStream.foreachBatch(append).outputMode("append").option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def last_batch(spark: SparkSession, log_path: str) -> int:
-    """The last committed batch of a log (-1: none yet)."""
+_COMMIT = "batch_id long, folder string, committed long"
+
+
+def append_batch(batch: DataFrame, batch_id: int, log_path: str, *partition_by: str) -> None:
+    """One attempt at a batch: its rows in a new folder, then the commit."""
+    folder = f"{batch_id}_{uuid.uuid4().hex}"
+    batch.write.partitionBy(*partition_by).parquet(f"{log_path}/batch_id={folder}")
+    record = batch.sparkSession.createDataFrame([(batch_id, folder, time.time_ns())], _COMMIT).coalesce(1)
+    record.write.mode("append").json(f"{log_path}/_commits/n={batch_id}")
+
+
+def _committed(spark: SparkSession, log_path: str, after: int = -1, upto: int | None = None) -> dict[int, str]:
+    """The folder of each committed batch, of its last commit: one entry a
+    batch.  A commit without a folder names one called as the batch."""
+    n = F.col("batch_id")
     try:
-        row = spark.read.schema("batch_id long").json(f"{log_path}/_commits").agg(F.max("batch_id")).first()
+        commits = spark.read.schema(_COMMIT).json(f"{log_path}/_commits").where(n > after)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return -1
-    return -1 if row[0] is None else row[0]
+        return {}
+    if upto is not None:
+        commits = commits.where(n <= upto)
+    last = commits.groupBy("batch_id").agg(F.max_by(F.coalesce("folder", n.cast("string")), F.struct("committed", "folder")).alias("folder"))
+    return {r["batch_id"]: r["folder"] for r in last.collect()}
+
+
+def last_batch(spark: SparkSession, log_path: str) -> int:
+    """The last committed batch of a log (-1: none yet)."""
+    return max(_committed(spark, log_path), default=-1)
 
 
-def read_log(spark: SparkSession, log_path: str, schema: T.StructType | None = None, after: int = -1, upto: int | None = None) -> DataFrame:
-    """Log rows of the batches after ``after`` up to ``upto`` (default: the
-    last committed one).  The bounds prune folders."""
-    upto = last_batch(spark, log_path) if upto is None else upto
+def read_log(
+    spark: SparkSession, log_path: str, schema: T.StructType | None = None, after: int = -1, upto: int | None = None, batch_as: str | None = None
+) -> DataFrame:
+    """Log rows of the committed batches after ``after`` up to ``upto``
+    (default: the last one), with the batch's number if ``batch_as`` names a
+    column for it.  Other folders are pruned."""
+    folders = _committed(spark, log_path, after, upto)
     reader = spark.read
     if schema is not None:
-        reader = reader.schema(schema)
-    n = F.col("batch_id").cast("long")
-    return reader.parquet(log_path).where((n > after) & (n <= upto)).drop("batch_id")
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())]) if "batch_id" not in schema.fieldNames() else schema)
+    folder = F.col("batch_id").cast("string")
+    rows = reader.parquet(log_path).where(folder.isin(list(folders.values())))
+    if batch_as is not None:
+        rows = rows.withColumn(batch_as, F.substring_index(folder, "_", 1).cast("long"))
+    return rows.drop("batch_id")
 
 
 def _snapshot(spark: SparkSession, manifest: str, like: DataFrame, days: list | None = None) -> DataFrame:
@@ -156,7 +185,7 @@ def compact_log(
     if previous:
         kept = [(r["obs_date"], r["folder"]) for r in spark.read.schema(_MANIFEST).json(previous[0]).collect() if r["obs_date"] not in days]
         rows = _snapshot(spark, previous[0], recent, days).unionByName(recent, allowMissingColumns=True)
-    latest_per_key(rows, order=LOG_ORDER).write.partitionBy("obs_date").parquet(f"{base}/days")
+    write_snapshot(latest_per_key(rows, order=LOG_ORDER), f"{base}/days")
     entries = kept + [(d, f"{base}/days") for d in days]
     spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.json(f"{base}/manifest")
     return f"{base}/manifest", cut
