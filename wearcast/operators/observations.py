@@ -66,3 +66,28 @@ def quarantine(df: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
     it first if it is expensive."""
     ok = F.coalesce(valid, F.lit(False))
     return df.filter(ok), df.filter(~ok)
+
+
+def with_reasons(df: DataFrame, rules: dict, name: str = "reasons") -> DataFrame:
+    """V1/V2 with the reason told: adds an array of the names of the ``rules``
+    (name -> condition) that a row breaks; a NULL condition is broken."""
+    broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in rules.items()]
+    return df.withColumn(name, F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>"))
+
+
+def write_checked(df: DataFrame, rules: dict, path: str, name: str = "reasons") -> tuple[DataFrame, DataFrame]:
+    """Split good rows from bad ones in one pass: every row is tagged and
+    written once, under ``path`` in a folder for its outcome.  Returns (good
+    rows as they came, bad rows with their reasons), each reading its folder
+    only.  ``path`` must be new."""
+    if name in df.columns or "_good" in df.columns:
+        raise ValueError(f"the rows have a column {name!r} or '_good' of their own")
+    tagged = with_reasons(df, rules, name)
+    tagged.withColumn("_good", F.size(name) == 0).write.partitionBy("_good").parquet(path)
+    read = df.sparkSession.read.schema(tagged.withColumn("_good", F.lit(True)).schema).parquet(path)
+    return read.where("_good").drop("_good", name), read.where("NOT _good").drop("_good")
+
+
+def reason_counts(bad: DataFrame, name: str = "reasons") -> DataFrame:
+    """``(reason, n_rows)``: how many rows break each rule."""
+    return bad.select(F.explode(name).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))

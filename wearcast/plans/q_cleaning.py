@@ -130,7 +130,7 @@ def parse_bool_query(spark, sf_dir):
 @register(
     "yes_no",
     f"""WITH s AS ({_SCEN})
-SELECT row_id, {", ".join(f"CASE WHEN {c} THEN 'Yes' WHEN NOT {c} THEN 'No' END AS {c}" for c in S.BOOLEAN_LABELS)}
+SELECT row_id, {", ".join(f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END AS {c}" for c in S.BOOLEAN_LABELS)}
 FROM s""",
 )
 def yes_no(spark, sf_dir):

@@ -18,6 +18,7 @@ from wearcast.operators.reply import (
 from wearcast.plans.catalog import register, sql_str
 from wearcast.plans.inputs import event_scenarios, event_scenarios_sql
 from wearcast.plans.q_cleaning import _clean_sql
+from wearcast.session import read_table
 
 _SCEN = event_scenarios_sql()
 
@@ -56,6 +57,59 @@ def descriptions(spark, sf_dir):
     return lookup_descriptions(items, resolved).select("row_id", "label", "item", "description", "alt_description")
 
 
+# -- X1 over several generations ----------------------------------------------
+# A profile per customer, which inherits from the nation's, the region's and
+# the base one; each mentions some of nine items and deletes a few.
+_FAMILY = {
+    "customer": ("'c' || CAST(c_custkey AS STRING)", "'n' || CAST(c_nationkey AS STRING)", "c_custkey"),
+    "nation": ("'n' || CAST(n_nationkey AS STRING)", "'r' || CAST(n_regionkey AS STRING)", "n_nationkey"),
+    "region": ("'r' || CAST(r_regionkey AS STRING)", "'base'", "r_regionkey"),
+}
+
+
+def _mention(activity: str, key: str, item: str) -> list[tuple[str, str]]:
+    return [("activity", activity), ("item", f"'item' || CAST({item} AS STRING)"),
+            ("description", f"CASE WHEN {key} % 4 <> 3 THEN {activity} || ' wears ' || CAST({item} AS STRING) END"),
+            ("alt_description", f"CASE WHEN {key} % 4 = 0 THEN 'other' END")]
+
+
+_MENTIONS = [(t, _mention(name, key, item.format(k=key))) for t, (name, _, key) in _FAMILY.items() for item in ("{k} % 9", "({k} * 5 + 2) % 9")]
+_MENTIONS.append(("nation", _mention("'base'", "(n_nationkey * 2)", "n_nationkey % 8")))
+
+
+def _inherited_sql() -> str:
+    mentions = " UNION ALL ".join(f"SELECT {', '.join(f'{e} AS {n}' for n, e in spec)} FROM {t}" for t, spec in _MENTIONS)
+    p = {t: f"SELECT {name} AS activity, {parent} AS parent FROM {t}" for t, (name, parent, _) in _FAMILY.items()}
+    return f"""WITH c AS ({p["customer"]}), n AS ({p["nation"]}), r AS ({p["region"]}),
+line AS (
+  SELECT activity, activity AS ancestor, 0 AS depth FROM c UNION ALL SELECT activity, parent, 1 FROM c
+  UNION ALL SELECT c.activity, n.parent, 2 FROM c JOIN n ON c.parent = n.activity
+  UNION ALL SELECT c.activity, r.parent, 3 FROM c JOIN n ON c.parent = n.activity JOIN r ON n.parent = r.activity
+  UNION ALL SELECT activity, activity, 0 FROM n UNION ALL SELECT activity, parent, 1 FROM n
+  UNION ALL SELECT n.activity, r.parent, 2 FROM n JOIN r ON n.parent = r.activity
+  UNION ALL SELECT activity, activity, 0 FROM r UNION ALL SELECT activity, parent, 1 FROM r),
+m AS (SELECT activity AS ancestor, item, max(struct_pack(d := description, a := alt_description)) AS x FROM (
+  SELECT activity, item, coalesce(description, '') AS description, coalesce(alt_description, '') AS alt_description FROM ({mentions})) GROUP BY ALL)
+SELECT activity, item, nullif(x.d, '') AS description, nullif(x.a, '') AS alt_description, depth FROM line JOIN m USING (ancestor)
+QUALIFY row_number() OVER (PARTITION BY activity, item ORDER BY depth) = 1"""
+
+
+@register("inherited_profiles", _inherited_sql())
+def inherited_profiles(spark, sf_dir):
+    """X1 + J4 over generations: every customer's, nation's and region's
+    profile resolved against its ancestors, deletions kept, by one recursive
+    query."""
+    from functools import reduce
+
+    from wearcast.operators.profiles import resolve_inherited
+    from wearcast.plans.inputs import spark_view
+
+    tables = {t: read_table(spark, sf_dir, t) for t in _FAMILY}
+    parents = reduce(lambda a, b: a.unionByName(b), [spark_view(tables[t], [("activity", a), ("parent", p)]) for t, (a, p, _) in _FAMILY.items()])
+    mentions = reduce(lambda a, b: a.unionByName(b), [spark_view(tables[t], spec) for t, spec in _MENTIONS])
+    return resolve_inherited(parents, mentions)
+
+
 def _list_sql(parts: list[str]) -> str:
     t = f"trim(concat_ws(', ', {', '.join(parts)}), ', ')"
     return f"CASE WHEN contains({t}, ',') THEN replace(regexp_replace({t}, ',([^,]*)$', ' and\\1'), 'and and', 'and') ELSE {t} END"

@@ -9,10 +9,10 @@ from wearcast import schema as S
 from wearcast.functions import parsing as P
 from wearcast.functions import phrases as T
 from wearcast.functions import weather as W
-from wearcast.operators.observations import observations_from_points, units_valid
+from wearcast.operators.observations import observations_from_points, reason_counts, units_valid, write_checked
 from wearcast.plans.catalog import register, sql_list
 from wearcast.plans.inputs import _case, event_scenarios, event_scenarios_sql, spark_view, sql_view
-from wearcast.session import read_table
+from wearcast.session import read_table, shared_path
 
 _SCEN = event_scenarios_sql()
 
@@ -254,6 +254,30 @@ def quality_flags(spark, sf_dir):
     )
 
 
+_OK = {"units": f"COALESCE(units IN ({sql_list(S.UNITS)}), false)", "reading": "TRY_CAST(reading AS DOUBLE) IS NOT NULL", "positive": "COALESCE(TRY_CAST(reading AS DOUBLE) > 0, false)"}
+
+
+@register(
+    "checked_split",
+    f"WITH s AS ({_TXT}) SELECT 'good' AS reason, count(*) FILTER ({' AND '.join(_OK.values())}) AS n_rows, count(*) FILTER ({' AND '.join(_OK.values())}) AS n_only FROM s"
+    + "".join(
+        f" UNION ALL SELECT '{rule}', count(*) FILTER (NOT {ok}), count(*) FILTER (NOT {ok} AND {' AND '.join(o for r, o in _OK.items() if r != rule)}) FROM s"
+        for rule, ok in _OK.items()),
+)
+def checked_split(spark, sf_dir):
+    """V1 + V2 as a quarantine: every reading is tagged with the rules it
+    breaks and written once, good rows and bad ones to their own folders;
+    counted per reason from there, and those that break one rule only."""
+    s = _text_inputs(spark, sf_dir)
+    number = P.try_number("reading")
+    rules = {"units": units_valid("units"), "reading": number.isNotNull(), "positive": number > 0}
+    good, bad = write_checked(s, rules, shared_path(spark, "checked"))
+    only = reason_counts(bad.where(F.size("reasons") == 1)).withColumnRenamed("n_rows", "n_only")
+    named = spark.createDataFrame([(r,) for r in rules], "reason string")
+    counts = named.join(reason_counts(bad), "reason", "left").join(only, "reason", "left").na.fill(0)
+    return good.agg(F.lit("good").alias("reason"), F.count("*").alias("n_rows"), F.count("*").alias("n_only")).unionByName(counts)
+
+
 # -- T5-T8 ------------------------------------------------------------------
 def _temp_sql(x: str) -> str:
     whens = " ".join(f"WHEN {x} < {b} THEN '{w}'" for b, w in S.TEMP_PHRASES)

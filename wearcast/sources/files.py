@@ -152,7 +152,9 @@ def read_coordinates(spark: SparkSession, path: str, seed_missing: bool = False)
     written to ``path`` first with ``seed_missing``."""
     try:
         return spark.read.schema(S.COORDINATE_SCHEMA).option("header", True).csv(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         defaults = spark.createDataFrame(S.DEFAULT_COORDINATES, S.COORDINATE_SCHEMA)
         if not seed_missing:
             return defaults
@@ -161,23 +163,28 @@ def read_coordinates(spark: SparkSession, path: str, seed_missing: bool = False)
 
 
 # -- S9 ---------------------------------------------------------------------
-RULES_SCHEMA = "map<string, map<string, map<string, string>>>"
+def _entries(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
+    """One row per entry of the objects in a variant column; what is no object
+    has none."""
+    spark = df.sparkSession
+    each = df.lateralJoin(spark.tvf.variant_explode(F.col(column).outer()))
+    return each.where("key IS NOT NULL").select(*[c for c in df.columns if c != column], F.col("key").alias(key), F.col("value").alias(value))
 
 
 def read_clothing_rules(spark: SparkSession, path: str) -> DataFrame:
     """Nested rules JSON (activity -> condition -> body part -> item or
-    list of items) flattened to ``(activity, condition, body_part, item)``;
-    empty items are dropped.  A value that only looks like a list (not valid
-    JSON) is kept as one item."""
-    text = spark.read.text(path, wholetext=True)
-    doc = text.select(F.from_json("value", RULES_SCHEMA).alias("d"))
-    a = doc.select(F.explode("d").alias("activity", "conds"))
-    c = a.select("activity", F.explode("conds").alias("condition", "parts"))
-    p = c.select("activity", "condition", F.explode("parts").alias("body_part", "raw"))
-    as_list = F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>"))
-    items = F.coalesce(as_list, F.array("raw"))
-    out = p.select("activity", "condition", "body_part", F.explode(items).alias("item"))
-    return out.filter(F.col("item").isNotNull() & (F.col("item") != ""))
+    list of items) flattened to ``(activity, condition, body_part, item)``.
+
+    The document is read as one variant, so a value is a list or a scalar by
+    its type and not by its text; an item that is neither is kept as its JSON.
+    Empty and null items are dropped; a level that is no object has no
+    entries."""
+    doc = spark.read.option("singleVariantColumn", "v").option("multiLine", True).json(path)
+    parts = _entries(_entries(_entries(doc, "v", "activity", "v"), "v", "condition", "v"), "v", "body_part", "v")
+    many = F.try_variant_get("v", "$", "array<variant>")
+    out = parts.select("activity", "condition", "body_part", F.explode(F.coalesce(many, F.array("v"))).alias("i"))
+    item = F.try_variant_get("i", "$", "string")
+    return out.select("activity", "condition", "body_part", item.alias("item")).where("item <> ''")
 
 
 # -- S11 / O1 ---------------------------------------------------------------
