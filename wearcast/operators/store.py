@@ -75,11 +75,15 @@ def route(when_col, now) -> Column:
 
 
 # -- F6 ---------------------------------------------------------------------
+def freshness_cutoff(now, hours: int = S.FORECAST_TTL_HOURS) -> Column:
+    """The oldest time stamp that is still fresh at ``now``."""
+    return _lit_ts(now) - F.make_dt_interval(F.lit(0), F.lit(hours))
+
+
 def fresh_only(df: DataFrame, now, ts_col: str = "snapshot_ts", hours: int = S.FORECAST_TTL_HOURS) -> DataFrame:
     """Rows whose snapshot is at most ``hours`` old at ``now`` (pushed down to
     the scan as a range predicate when ``ts_col`` is a stored column)."""
-    cutoff = _lit_ts(now) - F.make_dt_interval(F.lit(0), F.lit(hours))
-    return df.filter(F.col(ts_col) >= cutoff)
+    return df.filter(F.col(ts_col) >= freshness_cutoff(now, hours))
 
 
 # -- J3 ---------------------------------------------------------------------

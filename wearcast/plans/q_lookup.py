@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wearcast.functions import weather as W
 from wearcast.operators import store as ST
 from wearcast.operators.location import parse_locations, with_coordinates
-from wearcast.plans.catalog import register
+from wearcast.plans.catalog import ORACLES, register
 from wearcast.session import read_table, shared_path
 from wearcast.sources import day_table
 
@@ -91,6 +91,23 @@ def observation_lookup(spark, sf_dir):
     )
 
 
+@register("store_lookup", ORACLES["observation_lookup"])
+def store_lookup(spark, sf_dir):
+    """J7 + A5 over a bucketed store: one half of the writes is stored by
+    (kind, place, hour), the other half added to it, and every request looked
+    up without shuffling the store."""
+    from wearcast.sources import observation_store as OS
+
+    obs = _observations(spark, sf_dir).select("kind", "location_key", "obs_hour", "snapshot_ts", "event_id", "value")
+    order, late = ("snapshot_ts", "event_id"), F.col("event_id") % 2 == 1
+    part = {(k, b): obs.filter((F.col("kind") == k) & (late == F.lit(b))).drop("kind") for k in ("forecast", "history") for b in (False, True)}
+    table = OS.write_store(part["forecast", False], part["history", False], 8, order)
+    for kind in ("forecast", "history"):
+        OS.append_store(table, part[kind, True], kind, order)
+    out = OS.store_lookup(_requests(spark, sf_dir).drop("obs_date"), table, NOW, order=order)
+    return out.select("row_id", "location_key", "obs_hour", "kind", "obs_event_id", "obs_value", "obs_snapshot_ts", "found")
+
+
 # -- J3 ---------------------------------------------------------------------
 @register(
     "fetch_plan",
