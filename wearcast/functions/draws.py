@@ -1,9 +1,11 @@
 """Per-row random draws as native expressions.
 
-Every draw is a function of (row id, seed, draw number) through the first 52
-bits of an MD5 digest, so a generated table is the same however it is
-partitioned or re-run after a lost executor (``rand(seed)`` depends on the
-partition layout), and any engine can draw the same."""
+Every draw is a function of (row id, seed, draw number), so a generated table
+is the same however it is partitioned or re-run after a lost executor
+(``rand(seed)`` depends on the partition layout), and any engine can draw the
+same.  Eight draws of 32 bits come from one SHA-256 digest of the row, which
+Spark computes once for all of them; a single ``draw`` of 52 bits has an MD5
+digest of its own."""
 
 from __future__ import annotations
 
@@ -13,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO_52 = float(2**52)
+#: draws that one digest holds
+PER_DIGEST = 8
+_TWO_32 = float(2**32)
 
 
 def _col(c) -> Column:
@@ -27,8 +31,10 @@ def draw(row_id, seed: int, k: int) -> Column:
 
 
 def uniform(row_id, seed: int, k: int) -> Column:
-    """U[0, 1) from ``draw``."""
-    return draw(row_id, seed, k).cast("double") / F.lit(_TWO_52)
+    """U[0, 1): the k-th 32 bits of the digests of ``id:seed:0``, ``id:seed:1``, ..."""
+    text = F.concat_ws(":", _col(row_id).cast("string"), F.lit(str(seed)), F.lit(str(k // PER_DIGEST)))
+    bits = F.substring(F.sha2(text, 256), 1 + 8 * (k % PER_DIGEST), 8)
+    return F.conv(bits, 16, 10).cast("double") / F.lit(_TWO_32)
 
 
 def randrange(row_id, seed: int, k: int, lo: int, hi: int, step: int = 1) -> Column:
@@ -38,9 +44,9 @@ def randrange(row_id, seed: int, k: int, lo: int, hi: int, step: int = 1) -> Col
 
 
 def normal(row_id, seed: int, k: int, mean: float, sd: float) -> Column:
-    """N(mean, sd) by Box-Muller from two uniform draws."""
+    """N(mean, sd) by Box-Muller from the uniform draws k and k + 1."""
     u1 = F.lit(1.0) - uniform(row_id, seed, k)  # (0, 1]
-    u2 = uniform(row_id, seed, k + 1000)
+    u2 = uniform(row_id, seed, k + 1)
     z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
     return z * sd + mean
 

@@ -30,19 +30,19 @@ def random_scenarios(ids: DataFrame, seed: int = 7, year: int = 2024, row_id: st
     * wind chill below 50 F, heat index from 50 F, giving feels-like (G7, M2).
     Rounding is half-to-even, as in Python."""
     r = F.col(row_id)
-    month = D.randrange(r, seed, 1, 1, 12)
-    day = D.randrange(r, seed, 2, 1, 28)
-    hour = D.randrange(r, seed, 3, 5, 21)
-    pchance = D.randrange(r, seed, 4, 0, 100, 10)
-    temp = D.python_round(D.normal(r, seed, 5, 55.0, 20.0))
+    month = D.randrange(r, seed, 0, 1, 12)
+    day = D.randrange(r, seed, 1, 1, 28)
+    hour = D.randrange(r, seed, 2, 5, 21)
+    pchance = D.randrange(r, seed, 3, 0, 100, 10)
+    temp = D.python_round(D.normal(r, seed, 4, 55.0, 20.0))
     wind = D.clamp(D.python_round(D.normal(r, seed, 6, 8.0, 8.0)), 0, 30)
-    humidity = D.python_round(D.normal(r, seed, 7, 55.0, 20.0))
+    humidity = D.python_round(D.normal(r, seed, 8, 55.0, 20.0))
     weights = [S.HIGH_WEIGHT] * len(S.HIGH_CONDITIONS) + [S.LOW_WEIGHT] * len(S.LOW_CONDITIONS)
-    condition = D.weighted_choice(r, seed, 8, S.WEATHER_CONDITIONS, weights)
-    wind_dir = D.choice(r, seed, 9, list(S.WIND_DIRECTION_NAMES_COMPAT))
-    is_light = D.uniform(r, seed, 10) < 0.5
-    duration = F.greatest(F.lit(20.0), D.python_round(D.normal(r, seed, 11, 45.0, 45.0)))
-    pace_draw = D.triangular(r, seed, 12, 8.0, 15.0, 10.5)
+    condition = D.weighted_choice(r, seed, 10, S.WEATHER_CONDITIONS, weights)
+    wind_dir = D.choice(r, seed, 11, list(S.WIND_DIRECTION_NAMES_COMPAT))
+    is_light = D.uniform(r, seed, 12) < 0.5
+    duration = F.greatest(F.lit(20.0), D.python_round(D.normal(r, seed, 13, 45.0, 45.0)))
+    pace_draw = D.triangular(r, seed, 15, 8.0, 15.0, 10.5)
 
     base = ids.select(
         r.alias("row_id"),

@@ -256,13 +256,13 @@ def clothing_rules(spark, sf_dir):
 # -- S10 / G1-G7 / T11 / X2 -------------------------------------------------
 def _scenarios_sql(seed: int = 7) -> str:
     def u(k: int, s: int = seed) -> str:
-        return f"(CAST(('0x' || substr(md5(row_id || ':{s}:{k}'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+        return f"(CAST(('0x' || substr(sha256(row_id || ':{s}:{k // 8}'), {1 + 8 * (k % 8)}, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
 
     def between(k: int, lo: int, n: int, step: int = 1) -> str:
         return f"(CAST(floor({u(k)} * {n}) AS BIGINT) * {step} + {lo})"
 
     def normal(k: int, mean: float, sd: float) -> str:
-        return f"round_even(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u(k)})) * cos(6.283185307179586::DOUBLE * {u(k + 1000)}) * {sd} + {mean}, 0)"
+        return f"round_even(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u(k)})) * cos(6.283185307179586::DOUBLE * {u(k + 1)}) * {sd} + {mean}, 0) + 0.0::DOUBLE"  # no negative zero
 
     def one_of(options, k: int) -> str:
         return f"[{sql_list(options)}][CAST(floor({u(k)} * {len(options)}) AS BIGINT) + 1]"
@@ -271,14 +271,14 @@ def _scenarios_sql(seed: int = 7) -> str:
         return f"[{sql_list(options)}][CAST(('0x' || substr(md5(row_id || ':{s}:0'), 1, 13)) AS BIGINT) % {len(options)} + 1]"
 
     common, seldom = ["clear", "wind", "fog", "cloudy", "partly-cloudy"], ["rain", "snow", "sleet"]
-    whens = " ".join(f"WHEN {u(8)} * 440 < {70 * (i + 1)} THEN '{c}'" for i, c in enumerate(common))
-    whens += " " + " ".join(f"WHEN {u(8)} * 440 < {350 + 30 * (i + 1)} THEN '{c}'" for i, c in enumerate(seldom))
+    whens = " ".join(f"WHEN {u(10)} * 440 < {70 * (i + 1)} THEN '{c}'" for i, c in enumerate(common))
+    whens += " " + " ".join(f"WHEN {u(10)} * 440 < {350 + 30 * (i + 1)} THEN '{c}'" for i, c in enumerate(seldom))
     winds = ["N", "NNE", "NNW", "ENE", "WNW", "E", "W", "S", "SSE", "SSW", "ESE", "WSW"]
     return f"""WITH e AS (SELECT event_id AS row_id FROM events),
-d AS (SELECT row_id, {between(1, 1, 11)} AS m, {between(2, 1, 27)} AS d, {between(3, 5, 16)} AS h, {between(4, 0, 10, 10)} AS p,
-  {normal(5, 55.0, 20.0)} AS temp_f, LEAST(30.0, GREATEST(0.0, {normal(6, 8.0, 8.0)})) AS wind_speed, {normal(7, 55.0, 20.0)} AS hum,
-  CASE {whens} ELSE 'sleet' END AS condition, {one_of(winds, 9)} AS wind_dir, {u(10)} < 0.5 AS is_light,
-  GREATEST(20.0, {normal(11, 45.0, 45.0)}) AS duration, {u(12)} AS t FROM e),
+d AS (SELECT row_id, {between(0, 1, 11)} AS m, {between(1, 1, 27)} AS d, {between(2, 5, 16)} AS h, {between(3, 0, 10, 10)} AS p,
+  {normal(4, 55.0, 20.0)} AS temp_f, LEAST(30.0, GREATEST(0.0, {normal(6, 8.0, 8.0)})) AS wind_speed, {normal(8, 55.0, 20.0)} AS hum,
+  CASE {whens} ELSE 'sleet' END AS condition, {one_of(winds, 11)} AS wind_dir, {u(12)} < 0.5 AS is_light,
+  GREATEST(20.0, {normal(13, 45.0, 45.0)}) AS duration, {u(15)} AS t FROM e),
 g AS (SELECT *, CASE WHEN t < 2.5 / 7.0 THEN 8.0 + sqrt(t * 17.5) ELSE 15.0 - sqrt((1.0 - t) * 31.5) END AS pace_draw FROM d),
 f AS (SELECT *, round_even(duration / pace_draw, 2) AS distance FROM g)
 SELECT row_id, make_timestamp(2024, m, d, h, 0, 0.0) AS ts, CAST(CASE WHEN p < 20 THEN 0 WHEN p > 80 THEN 100 ELSE p END AS DOUBLE) AS precip_chance,
