@@ -100,7 +100,8 @@ def feature_cuts(df: DataFrame, features: Sequence[str], max_bins: int, weight_c
     """Thresholds for the features with more than ``max_bins`` values: about
     equal weight between them, at most ``max_bins - 1``.
 
-    One pass finds each feature's range, one more its weighted histogram of
+    One pass finds each feature's range and about how many values it has; only
+    for features near or beyond ``max_bins`` follows a weighted histogram of
     ``cells`` equal cells (with the least and largest value in each, so few
     values are told apart exactly); thresholds lie between values of
     neighbouring cells.  A cell that holds several values and more than a
@@ -110,7 +111,12 @@ def feature_cuts(df: DataFrame, features: Sequence[str], max_bins: int, weight_c
     the result depends on the values alone, not on the layout or grouping of
     the rows."""
     number = {f: F.col(f).cast("double") for f in features}
-    spans = df.agg(*[g(number[f]).alias(f"{n}_{f}") for f in features for n, g in (("a", F.min), ("b", F.max))]).first()
+    looks = (("a", F.min), ("b", F.max), ("d", lambda c: F.approx_count_distinct(c, 0.02)))
+    spans = df.agg(*[g(number[f]).alias(f"{n}_{f}") for f in features for n, g in looks]).first()
+    # an estimate this far below the bound (five standard errors) needs no exact count
+    features = [f for f in features if spans[f"d_{f}"] > 0.9 * max_bins]
+    if not features:
+        return {}
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("f"), number[f].alias("v"), weight.alias("w")) for f in features]))).where("v IS NOT NULL")
     open_ = {f: [(spans[f"a_{f}"], spans[f"b_{f}"])] for f in features if spans[f"a_{f}"] is not None}
