@@ -49,16 +49,30 @@ def _placeholder(kind: Column, turn: Column, part: Column) -> Column:
     return F.concat(F.lit("<|"), F.regexp_replace(kind, "[^a-z_]", "_"), F.lit(":"), turn.cast("string"), F.lit("."), part.cast("string"), F.lit("|>"))
 
 
+#: A mark and what follows it stand for a mark of the text's own, and for the
+#: two ends of a placeholder, while a body is put together.
+MARK = "\x01"
+OWN, OPEN, CLOSE = MARK + "a", MARK + "b", MARK + "c"
+
+
 def _body(turn: Column, i: Column) -> Column:
-    """The visitor: parts in order, as escaped text and placeholders."""
+    """The visitor: parts in order, as escaped text and placeholders.
+
+    Texts are joined before they are escaped, so a control string that is
+    split over several parts is escaped like any other; the placeholders
+    between them are marked until then."""
     parts = F.coalesce(turn["parts"], F.array().cast(PARTS))
-    return F.array_join(
-        F.transform(
-            parts,
-            lambda p, j: F.when(F.coalesce(p["kind"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(_placeholder(p["kind"], i, j)),
-        ),
-        "",
-    )
+
+    def part(p: Column, j: Column) -> Column:
+        inner = F.substr(_placeholder(p["kind"], i, j), F.lit(3))
+        marked = F.concat(F.lit(OPEN), F.substring_index(inner, "|>", 1), F.lit(CLOSE))
+        text = F.replace(F.coalesce(p["text"], F.lit("")), F.lit(MARK), F.lit(OWN))
+        return F.when(F.coalesce(p["kind"], F.lit("text")) == "text", text).otherwise(marked)
+
+    body = escape(F.array_join(F.transform(parts, part), ""))
+    for mark, text in ((OPEN, "<|"), (CLOSE, "|>"), (OWN, MARK)):
+        body = F.replace(body, F.lit(mark), F.lit(text))
+    return body
 
 
 def _attachments(turns: Column, rates: dict[str, float]) -> Column:
