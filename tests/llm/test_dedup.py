@@ -160,3 +160,12 @@ def test_block_masks_are_complete():
         for _ in range(200):
             flips = sum(1 << b for b in r.sample(range(64), 4))
             assert any(flips & m == 0 for m in masks)
+
+
+def test_equal_id_and_text_keep_one_whatever_the_order(spark):
+    """Rows that differ in other columns only: the input's order is no rule."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, s, i) for i, s in enumerate("abcdefgh")] + [(2, text + " eleven", "z", 0)]
+    schema = "doc_id long, text string, source string, `odd name` int"
+    kept = {tuple(simhash.near_dedup(spark.createDataFrame(r, schema).coalesce(1)).select("doc_id", "source", "odd name").first()) for r in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(kept) == 1 and next(iter(kept))[0] == 1

@@ -251,11 +251,14 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """``docs`` with one document of each near-duplicate group: the one with
     the smallest id, NULL ids last, then the smallest hash of its text.  Every
     group keeps one, also a group of NULL ids only, and one whose ids occur in
-    other groups.  Of rows equal in id and text one stays."""
+    other groups.  Of rows equal in id and text one stays, whatever their
+    order."""
     prints = materialise(with_fingerprint(docs, text_col, id_col, shingle, text_hash=True), "fingerprints")
     rooted = _rooted(prints, order_key(F.col("doc_id"), F.col("text_hash")), max_distance)
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash"))
     text_hash = F.xxhash64(text_or_empty(docs, text_col))
     kept = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_keep_id"]) & (text_hash == keep["_keep_hash"]), "left_semi")
-    one = kept.groupBy(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_or_empty(kept, text_col)).alias("_hash")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
+    # of rows equal in id and text the one of the smallest hash of its columns
+    rank = F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in docs.schema.fields])
+    one = kept.groupBy(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_or_empty(kept, text_col)).alias("_hash")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("_row"))
     return one.select("_row.*")
