@@ -265,3 +265,15 @@ def test_forged_turn_in_parts(spark):
     df = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
     made = chat_format.format_conversations(df).select(chat_format.read_back(F.col("formatted")).alias("t"), "loss").first()
     assert [tuple(t) for t in made["t"]] == [("user", "".join(p[1] for p in parts))] and made["loss"] == []
+
+
+def test_conversation_of_many_turns(spark):
+    """Thousands of turns: every span holds its own text."""
+    rng = random.Random(12)
+    rows = [(1, i, rng.choice(["user", "assistant"]), "x<|" * rng.randint(0, 3) + str(i)) for i in range(5000)] + [(2, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    made = chat_format.format_conversations(df.withColumn("parts", chat_format.text_parts(F.col("text"))))
+    got = {r["conv_id"]: r for r in made.collect()}
+    cut = [got[1]["formatted"][s["start"] : s["start"] + s["length"]] for s in got[1]["loss"]]
+    assert cut == [t.replace("<|", "<\\|") for _, _, role, t in rows[:5000] if role == "assistant"]
+    assert [tuple(s) for s in got[2]["loss"]] == [(len("<|im_start|>assistant\n"), 0)]

@@ -97,6 +97,28 @@ def _attachments(turns: Column, rates: dict[str, float]) -> Column:
     return F.flatten(F.transform(turns, visit))
 
 
+CHUNK = 256
+
+
+def _running(first: Column, sizes: Column) -> Column:
+    """``first`` and the running sums after it, one more than ``sizes``."""
+    return F.aggregate(sizes, F.array(first), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def _with_starts(df: DataFrame) -> DataFrame:
+    """Adds ``starts``: the sum of the ``sizes`` before each place.  A running
+    sum copies what it has at every step, so it runs over chunks, and over the
+    chunks' totals.  Each array is a column of its own: what a function of
+    elements refers to is computed anew for each element otherwise."""
+    last = F.floor((F.size("sizes") - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("sizes", b * CHUNK + 1, F.lit(CHUNK)))
+    cut = df.withColumn("chunks", chunks)
+    totals = F.transform("chunks", lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n))
+    summed = cut.withColumn("offsets", _running(F.lit(0).cast("long"), totals))
+    inner = F.zip_with("chunks", F.slice("offsets", F.lit(1), F.size("chunks")), lambda c, o: F.slice(_running(o, c), F.lit(1), F.size(c)))
+    return summed.withColumn("starts", F.flatten(inner)).drop("sizes", "chunks", "offsets")
+
+
 def format_conversations(rows: DataFrame, parts_col: str = "parts", rates: dict[str, float] | None = None) -> DataFrame:
     """One row per ``conv_id``: ``formatted`` (string), ``loss`` (array of
     start and length, in characters of ``formatted``, of each assistant turn's
@@ -121,20 +143,16 @@ def format_conversations(rows: DataFrame, parts_col: str = "parts", rates: dict[
         _attachments(F.col("turns"), rates).alias("attachments"),
     )
     frame = len(START) + 1 + len(END)
-    sizes = F.transform("made", lambda m: F.char_length(m["role"]) + F.char_length(m["body"]) + frame)
-    starts = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    spans = F.filter(
-        F.transform(
-            "made",
-            lambda m, i: F.when(
-                m["loss"],
-                F.struct((F.get(F.col("starts"), i) + len(START) + 1 + F.char_length(m["role"])).alias("start"), F.char_length(m["body"]).cast("long").alias("length")),
-            ),
-        ),
-        lambda s: s.isNotNull(),
-    )
+    sizes = F.transform("made", lambda m: (F.char_length(m["role"]) + F.char_length(m["body"]) + frame).cast("long"))
+    placed = _with_starts(made.withColumn("sizes", sizes))
+
+    def span(m: Column, start: Column) -> Column:
+        at = start + len(START) + 1 + F.char_length(m["role"])
+        return F.when(m["loss"], F.struct(at.alias("start"), F.char_length(m["body"]).cast("long").alias("length")))
+
+    spans = F.filter(F.zip_with("made", "starts", span), lambda s: s.isNotNull())
     text = F.array_join(F.transform("made", lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["body"], F.lit(END))), "")
-    return made.withColumn("starts", starts).select(
+    return placed.select(
         "conv_id",
         text.alias("formatted"),
         spans.alias("loss"),
