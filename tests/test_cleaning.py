@@ -102,3 +102,8 @@ def test_observed_drop_metric(spark):
     observed, obs = C.observe_dropped_layers(df)
     assert observed.filter(~C.no_layer()).count() == 2
     assert obs.get == {"rows": 3, "dropped": 1}
+
+
+def test_yes_no_keeps_an_unknown_answer_apart(spark):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "row_id int, gloves boolean")
+    assert {r.row_id: r.gloves for r in C.booleans_to_yes_no(rows).collect()} == {1: "Yes", 2: "No", 3: None}

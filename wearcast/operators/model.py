@@ -256,7 +256,13 @@ def fit_dual(df: DataFrame, **kw) -> PipelineModel:
 def fit_single(df: DataFrame, **kw) -> PipelineModel:
     """sdt: booleans become Yes/No categories, then all ten labels are
     categorical (the original's single-strategy fit, completed)."""
-    return fit_trees(booleans_to_yes_no(df, S.BOOLEAN_LABELS), S.LABELS, [], **kw)
+    return fit_trees(_single_labels(df), S.LABELS, [], **kw)
+
+
+def _single_labels(df: DataFrame) -> DataFrame:
+    """The single strategy's labels: Yes/No for booleans, a blank one false as
+    the clean-up fills it."""
+    return booleans_to_yes_no(df.fillna(False, subset=S.BOOLEAN_LABELS), S.BOOLEAN_LABELS)
 
 
 STRATEGIES = {"ddt": fit_dual, "sdt": fit_single}
@@ -338,7 +344,7 @@ def score_model(
     predicted once: the accuracies are the same weighted counts, computed
     from far fewer tree evaluations when readings repeat.  ``weight_col``
     marks input that is already weighted."""
-    actual = booleans_to_yes_no(df, S.BOOLEAN_LABELS) if strategy == "sdt" else df
+    actual = _single_labels(df) if strategy == "sdt" else df
     if weight_col is not None:
         return score_table(apply_model(model, actual), S.LABELS, drop_perfect=drop_perfect, weight_col=weight_col)
     if not compress:
