@@ -132,3 +132,18 @@ def test_clashing_names_and_no_rules(spark, tmp_path):
         write_checked(df.withColumn("reasons", F.lit(1)), {}, str(tmp_path / "x"))
     good, bad = write_checked(df, {}, str(tmp_path / "y"))
     assert good.count() == 5 and bad.count() == 0
+
+
+def test_lines_of_more_rows_than_a_recursion_may_have(spark):
+    """The row limit of recursive queries binds neither leaves nor parents,
+    and stays as it was."""
+    spark.conf.set(P.ROW_LIMIT, "50")
+    try:
+        chain = [(f"g{i}", f"g{i - 1}" if i else None) for i in range(20)]
+        leaves = [(f"leaf{i}", "g19" if i % 2 else "unlisted") for i in range(100)]
+        got = {(r["activity"], r["ancestor"]): r["depth"] for r in P.ancestry(spark.createDataFrame(chain + leaves, PARENTS)).collect()}
+        assert spark.conf.get(P.ROW_LIMIT) == "50"
+    finally:
+        spark.conf.unset(P.ROW_LIMIT)
+    assert len(got) == 20 * 21 // 2 + 50 * 21 + 50 * 2
+    assert got[("leaf1", "g0")] == 20 and got[("leaf0", "unlisted")] == 1 and got[("g19", "g0")] == 19 and got[("leaf2", "leaf2")] == 0
