@@ -2,8 +2,11 @@
 
 import datetime as dt
 import json
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wearcast.session import shared_path
 from wearcast.streaming import current as C
@@ -80,3 +83,50 @@ def test_compaction_writes_about_a_file_a_day(spark, tmp_path):
     ST.compact_log(spark, log, target=str(tmp_path / "compacted"))
     files = [p for p in (tmp_path / "compacted" / "days").rglob("part-*.parquet")]
     assert days <= len(files) <= 2 * days + 8
+
+
+class _Store:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_place_costs_a_few_state_calls_a_batch(spark):
+    """However many hours it has; one timer serves them all."""
+    schema = T.StructType([T.StructField("place", T.StringType()), T.StructField("hour", T.IntegerType()), T.StructField("seq", T.LongType())])
+    store, held = _Store(), C.NewestPerKey(schema, ["place", "hour"], ["seq"])
+    held.init(store)
+    first = [Row(place="a", hour=h, seq=1, _at=100 + h) for h in range(200)]
+    told = list(held.handleInputRows(("a",), iter(first), None))
+    assert [(r.place, r.hour, r.change, r.seq) for r in told] == [("a", h, "set", 1) for h in range(200)] and store.calls <= 3 and store.timers == [100]
+    store.calls = 0
+    again = [Row(place="a", hour=0, seq=2, _at=150), Row(place="a", hour=0, seq=1, _at=100), Row(place="a", hour=5, seq=1, _at=105)]
+    assert [(r.hour, r.seq) for r in held.handleInputRows(("a",), iter(again), None)] == [(0, 2)] and store.calls <= 4 and store.timers == [101]
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 149)
+    store.timers, store.calls = [], 0
+    gone = list(held.handleExpiredTimer(("a",), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 101)))
+    assert sorted(r.hour for r in gone) == list(range(1, 50)) and {r.change for r in gone} == {"expired"} and store.timers == [150] and store.calls <= 3
+    clock.getCurrentWatermarkInMs = lambda: 500
+    assert len(list(held.handleExpiredTimer(("a",), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 150)))) == 151 and store.value is None
