@@ -4,7 +4,7 @@
   labels as 0/1 classes; ``fit_single`` (sdt): booleans first become Yes/No
   categories, then every label is categorical.
 * Training rows are grouped to weighted distinct combinations and cached
-  once (feature assembly is a cheap projection on top); the trees are
+  once, then, for each tree, to the combinations with its own label; the trees are
   fitted from a thread pool so their per-level jobs overlap (each fit is
   itself data-parallel: one aggregation of split statistics per tree level).
 * The fitted model is one ``PipelineModel`` (assembler, trees, label
@@ -61,22 +61,6 @@ def _tree(label_col: str, prefix: str, max_depth: int, max_bins: int, seed: int)
     )
 
 
-def _fit_known(train: DataFrame, specs, parallelism: int):
-    """Fit ``(label_col, known_below, estimator)`` triples, each on the rows
-    whose label is known (not NULL, and below the count of known classes for
-    indexed labels); returns the models in order."""
-
-    def one(spec):
-        label_col, known_below, est = spec
-        rows = train.filter(F.col(label_col).isNotNull())
-        if known_below is not None:
-            rows = rows.filter(F.col(label_col) < known_below)
-        return est.fit(rows)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(one, specs))
-
-
 def _cell(v: Column, low: float, high: float, parts: int, equal: bool) -> Column:
     """The cell of ``v``, in ascending order, when ``low`` to ``high`` is split."""
     if low == high:
@@ -180,15 +164,16 @@ def fit_trees(
     ``compress``.
     With ``compress`` the binned training rows are grouped to distinct
     (features, labels) combinations weighted by their count: every split
-    statistic is a weighted class count, and each per-level pass reads the
-    combinations, whose number the bins bound, instead of all rows.  The
-    grouping is one partially aggregated shuffle.
-    The training rows are then held in about one partition per
+    statistic is a weighted class count.  Each label's tree then reads the
+    combinations of the features with that label alone, grouped once more:
+    their number is bounded by the bins and the label's classes, whatever the
+    other labels are.  Both groupings are partially aggregated shuffles.
+    The training rows of a label are held in about one partition per
     ``rows_per_partition`` rows, so small inputs do not pay per-task overhead
     at every tree level and large ones keep full parallelism.
 
     ``weight_col`` marks input that is already weighted (each row counting
-    as its weight), which is used as it is.
+    as its weight).  It is read once a label: cache it if it is costly.
 
     The returned model needs only the feature columns: assembler, the trees,
     then converters back to label values (``pred_<label>``)."""
@@ -210,36 +195,46 @@ def fit_trees(
         base = df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
     else:
         base = df.select(*cols, F.lit(1.0).alias(WEIGHT_COL))
-    # Materialise the training rows once, before the indexer and the
-    # concurrent fits read them (otherwise every fit would recompute them).
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    assembler = VectorAssembler(inputCols=inputs, outputCol=FEATURES_COL)
+
+    def one(label: str):
+        """The tree of a label, on the rows that have it, and its classes."""
+        rows = base.where(F.col(label).isNotNull()).select(*inputs, label, WEIGHT_COL)
+        if compress:
+            rows = rows.groupBy(*inputs, label).agg(F.sum(WEIGHT_COL).alias(WEIGHT_COL))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n_rows = rows.count()
+            parts = max(1, min(rows.rdd.getNumPartitions(), -(-n_rows // rows_per_partition)))
+            train, classes = assembler.transform(rows.coalesce(parts)), None
+            if label in categorical:
+                code = f"_{label}_idx"
+                indexer = StringIndexer(inputCols=[label], outputCols=[code], stringOrderType="alphabetAsc").fit(rows.select(label))
+                train, classes = indexer.transform(train), list(indexer.labelsArray[0])
+            else:
+                code = f"_{label}_lbl"
+                train = train.withColumn(code, F.col(label).cast("double"))
+            # thresholds are sampled from a table of more than maxBins ** 2 rows
+            tree_bins = min(46_000, max(max_bins, math.isqrt(n_rows) + 2))
+            tree = _tree(code, f"_{label}", max_depth, tree_bins, seed)
+            return tree.fit(train.select(FEATURES_COL, WEIGHT_COL, code)), classes
+        finally:
+            rows.unpersist()
+
+    # Materialise grouped training rows once, before the concurrent fits read
+    # them; weighted input is the caller's to hold.
+    if weight_col is None:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_rows = base.count()
-        parts = max(1, min(base.rdd.getNumPartitions(), -(-n_rows // rows_per_partition)))
-        assembler = VectorAssembler(inputCols=inputs, outputCol=FEATURES_COL)
-        # thresholds are sampled from a table of more than maxBins ** 2 rows
-        tree_bins = min(46_000, max(max_bins, math.isqrt(n_rows) + 2))
-        train = assembler.transform(base.coalesce(parts))
-        labels_of: dict[str, list[str]] = {}
-        if categorical:
-            indexer = StringIndexer(
-                inputCols=categorical,
-                outputCols=[f"_{c}_idx" for c in categorical],
-                stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            ).fit(base.select(*categorical))
-            labels_of = {c: list(lbls) for c, lbls in zip(categorical, indexer.labelsArray)}
-            train = indexer.transform(train)
-        label_exprs = {f"_{b}_lbl": F.col(b).cast("double") for b in boolean}
-        keep = [FEATURES_COL, WEIGHT_COL] + [f"_{c}_idx" for c in categorical] + list(label_exprs)
-        train = train.withColumns(label_exprs).select(*keep)
-        specs = [
-            (f"_{c}_idx", len(labels_of[c]), _tree(f"_{c}_idx", f"_{c}", max_depth, tree_bins, seed))
-            for c in categorical
-        ] + [(f"_{b}_lbl", None, _tree(f"_{b}_lbl", f"_{b}", max_depth, tree_bins, seed)) for b in boolean]
-        trees = _fit_known(train, specs, parallelism)
+        if weight_col is None:
+            base.count()
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            fitted = list(pool.map(one, [*categorical, *boolean]))
     finally:
-        base.unpersist()
+        if weight_col is None:
+            base.unpersist()
+    trees = [tree for tree, _ in fitted]
+    labels_of = {c: classes for c, (_, classes) in zip(categorical, fitted)}
     post = [IndexToString(inputCol=f"_{c}_pred", outputCol=f"pred_{c}", labels=labels_of[c]) for c in categorical]
     if boolean:
         casts = ", ".join(f"CAST(_{b}_pred = 1.0 AS BOOLEAN) AS pred_{b}" for b in boolean)
