@@ -16,9 +16,11 @@ columns); they are applied by a join on the group, or taken out one by one.
 from __future__ import annotations
 
 import datetime as dt
+import gc
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +35,17 @@ GROUP = ("athlete", "activity")
 WEIGHT = "_weight"
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage."""
-    path = shared_path(df.sparkSession, "trees", name)
+def _stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage.
+    With ``release`` the driver collects its garbage then, upon which Spark
+    deletes the shuffle files that led to the table."""
+    spark = df.sparkSession
+    path = shared_path(spark, "trees", name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
@@ -165,7 +173,8 @@ def fit_groups(
     wide = df.where(known).select(
         *named, *([weight_col] if weight_col else []),
         F.array(*values.values()).alias("x"), F.array(*[F.col(c).cast("string") for c in labels]).alias("y"))
-    base = _stored(wide.groupBy(*keys, "x", "y").agg(w.alias("w")), "rows")
+    # rows of a group side by side (a large one over several files): a task then sums up most of a histogram itself
+    base = _stored(wide.groupBy(*keys, "x", "y").agg(w.alias("w")).hint("rebalance", *keys), "rows", release=True)
     splits: DataFrame | None = None
     nodes: list[DataFrame] = []
     for depth in range(max_depth + 1):
@@ -174,7 +183,7 @@ def fit_groups(
             by_group = _split_arrays(splits, keys, len(labels))
             rows = base.join(by_group.withColumnsRenamed({k: f"{k}_" for k in keys}), _same([F.col(k) for k in keys], [F.col(f"{k}_") for k in keys]))
         last = depth == max_depth
-        hist = _stored(_histogram(rows, keys, depth, last), f"level{depth}")
+        hist = _histogram(rows, keys, depth, last).persist(StorageLevel.MEMORY_AND_DISK)
         counts = hist.where("f = 0 OR f IS NULL").groupBy(*keys, "label", "node", "value").agg(F.sum("w").alias("w"))
         classes = _classes(counts, keys)
         if last:
@@ -186,6 +195,9 @@ def fit_groups(
             best = _best_splits(kept, keys, min_gain).withColumnsRenamed({c: f"{c}_" for c in at})
             found = classes.join(best, _same([classes[c] for c in at], [F.col(f"{c}_") for c in at]), "left").drop(*[f"{c}_" for c in at])
         found = _stored(found.select(*keys, "label", "node", "value", "f", "t", "l_pure", "r_pure"), f"nodes{depth}")
+        hist.unpersist()
+        gc.collect()  # the level's shuffle files go with it
+        df.sparkSession.sparkContext._jvm.System.gc()
         nodes.append(found)
         here = found.where("f IS NOT NULL")
         splits = here if splits is None else splits.unionByName(here)
