@@ -194,3 +194,20 @@ def test_only_stale_groups_are_fitted_anew(spark):
     untouched = "athlete IS NULL OR athlete <> 'hot'"
     assert after.where(untouched).exceptAll(nodes.where(untouched)).count() == 0 and after.where("athlete = 'a3'").count() > 0
     assert G.load_groups(spark, path).exceptAll(after).count() == 0 and G.load_groups(spark, shared_path(spark, "nothing")) is None
+
+
+def test_rows_of_a_group_lie_together_and_histograms_go(spark, monkeypatch):
+    """Scattered over tasks, every task made its own histogram of every group;
+    and each level's was kept."""
+    from wearcast.operators import grouped as G
+
+    kept, store = {}, G._stored
+    monkeypatch.setattr(G, "_stored", lambda df, name, **kw: kept.setdefault(name, []).append(store(df, name, **kw)) or kept[name][-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        G.fit_groups(_grouped(spark), **OPTIONS, max_depth=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = kept["rows"][0].select("g0", "g1", F.input_file_name().alias("file")).distinct().groupBy("g0", "g1").count().collect()
+    assert len(files) > 4 and {r["count"] for r in files} == {1}
+    assert not [name for name in kept if name.startswith("level")]
