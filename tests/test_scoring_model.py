@@ -324,3 +324,16 @@ def test_cuts_follow_the_weight_of_skewed_values(spark):
         assert cuts == sorted(cuts) and 50 <= len(cuts) <= 63, name
         sizes = Counter(bisect.bisect_right(cuts, x) for x in values)
         assert max(sizes.values()) <= 3 * len(values) / 64, name
+
+
+def test_a_tree_reads_the_combinations_of_its_own_label(spark, monkeypatch):
+    """Other labels, however many patterns they make, add no rows to it."""
+    read, fit = [], M.DecisionTreeClassifier.fit
+    monkeypatch.setattr(M.DecisionTreeClassifier, "fit", lambda self, df: read.append(df.count()) or fit(self, df))
+    i = F.col("id")
+    df = spark.range(512).select(
+        *[(i % 4).cast("double").alias(f) for f in S.FEATURES[:4]], (i % 2 == 0).alias("is_light"),
+        *[F.when(F.shiftright(i, k) % 2 == 1, S.CATEGORICAL_DOMAINS[c][0]).otherwise("None").alias(c) for k, c in enumerate(S.CATEGORICAL_LABELS, 2)],
+        *[(F.shiftright(i, k) % 2 == 1).alias(b) for k, b in enumerate(S.BOOLEAN_LABELS, 4)])
+    M.fit_and_score(df, ("ddt",))
+    assert len(read) == 10 and max(read) <= 8  # four values of the features, two classes
