@@ -228,6 +228,73 @@ def test_host_suffix_array(spark):
     assert html_text.extract_text(df.limit(0)).collect() == []
 
 
+def _pages_of_hosts(seed):
+    """Pages of few distinct words, with and without article, whose blocks
+    recur in sequences and in parts."""
+    r = random.Random(seed)
+    common = [[r.choice("abcde") for _ in range(r.randint(1, 9))] for _ in range(8)]
+    rows = []
+    for p in range(30):
+        made = []
+        for _ in range(r.randint(0, 6)):
+            words = [f"u{p}x{r.randrange(99)}" for _ in range(r.randint(1, 3))] if r.random() < 0.3 else list(r.choice(common))
+            made.append(f"<{(tag := r.choice(['p', 'div', 'nav']))}>{' '.join(words)}</{tag}>")
+        if r.random() < 0.2:
+            made.insert(r.randint(0, len(made)), f"<article><p>{' '.join(r.choice(common))}</p></article>")
+        rows.append((p, r.choice(["https://a.org/1", "http://b.org/2", "none"]), "".join(made)))
+    return rows + rows[:3]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_host_array_equals_all_pages(spark, seed):
+    """Also with runs of equal suffixes cut by the edges of tasks."""
+    rows, run = _pages_of_hosts(seed), 4
+    pages = {}
+    for _, url, markup in rows:
+        text, _, stream = html_text.page_streams(markup)
+        words = [(w, k, zone) for k, (zone, t) in enumerate(stream) for w in t.split(" ")]
+        pages[url, markup] = (text, stream, words)
+
+    def windows(words):
+        parts = [(i, words[i : i + run]) for i in range(len(words) - run + 1)]
+        return [(i, tuple(w for w, *_ in part)) for i, part in parts if all(z != html_text.VETOED for *_, z in part)]
+
+    def expected(page):
+        text, stream, words = pages[page]
+        if text is not None:
+            return text
+        seen = {w for other in pages if other != page and other[0] == page[0] for _, w in windows(pages[other][2])}
+        gone = set()
+        for i, w in windows(words):
+            if w in seen:
+                for k in range(len(stream)):
+                    block = [j for j, x in enumerate(words) if x[1] == k]
+                    part = [j for j in block if i <= j < i + run]
+                    gone.update(part if len(part) in (run, len(block)) else [])
+        kept = [" ".join(x[0] for j, x in enumerate(words) if x[1] == k and j not in gone) for k, (zone, _) in enumerate(stream) if zone == html_text.EXPOSED]
+        return "\n".join(t for t in kept if t)
+
+    want = sorted((p, url, expected((url, markup))) for p, url, markup in rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    for merged in ("true", "false"):
+        spark.conf.set(coalesce, merged)
+        try:
+            assert sorted(tuple(r) for r in html_text.extract_text(df, run=run).collect()) == want
+        finally:
+            spark.conf.set(coalesce, "true")
+
+
+def test_repeated_blocks_shorter_than_the_run(spark):
+    """Menu entries and footers in blocks of a few words, without markup that names them."""
+    menu = "".join(f"<div>{x}</div>" for x in ("Home", "About us", "Contact now", "Terms of use", "Our shops"))
+    foot = "<p>All rights reserved</p><p>Made by the staff of our host</p>"
+    own = [f"Story {p} w{p}a w{p}b" for p in range(6)]
+    rows = [(p, f"https://a.org/{p}", f"{menu}<p>{own[p]}</p>{foot}") for p in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(own))
+
+
 def test_control_strings_split_over_parts(spark):
     """However a text is cut into parts, and whatever stands between, it is
     read back as it is and never as a turn."""

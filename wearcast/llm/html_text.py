@@ -3,27 +3,37 @@
 A page is cut into blocks with a zone each.  Blocks inside the page's article
 (or, without one, its main element) are its text.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are
-chrome.  A page with neither article nor main element has open blocks only,
-and there the host decides: the token streams of all blocks outside articles
-are concatenated per host and their suffixes sorted to a depth of ``run``
-tokens; suffixes that agree to that depth and come from distinct pages mark a
-long repeated substring.  Open blocks lose the tokens such substrings cover
-and keep their unique runs.
-
-The suffix array is a Spark sort over (host, prefix, page) with the prefix as
-a hash, so a host of any size spreads over tasks, as does a run of very many
-equal suffixes; runs that cross a task's edge meet in an aggregate of one row
-per run and task.
+chrome.  The rest of a page without article and main element is open, and
+there the host decides.
+
+The blocks of every page, in page order, are one stream of tokens; the streams
+of a host's pages, put one after another, are its text.  Its suffixes are
+sorted to a depth of ``run`` tokens, and neighbours compared: a suffix whose
+first ``run`` tokens also start a suffix of another page begins a long
+repeated substring.  (A longer one shows by the suffixes after it, so a greater
+depth finds no more.)  A substring may run over several blocks, such as the
+entries of a menu, but not over the end of a page.  Open blocks that lie in
+one whole go, and so do stretches of ``run`` tokens inside a block; a block that
+one merely touches at its edge stays.
+
+Articles (main elements on pages without one) veto: their text stays, however
+often it recurs, and ends a stream's stretch.  It is no evidence either, or a
+page without markup that quotes an article would lose the quoted text.
+
+The suffix array is a Spark sort by (host, prefix, page, place), so a host of
+any size spreads over tasks, as does a run of very many equal suffixes; runs
+that cross a task's edge meet in an aggregate of two rows a task.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +65,7 @@ CHROME_WORDS = frozenset(
 REMARKS = frozenset(("comment", "comments", "disqus"))
 KEEP_OPEN = frozenset("html body article main".split())
 ARTICLE, MAIN, OPEN, OUTSIDE = "article", "main", "open", "chrome"
+ASIDE, EXPOSED, VETOED = 0, 1, 2  # in a stream: evidence only, may be removed, stays
 
 
 def _marked(rest: str) -> str | None:
@@ -149,65 +160,153 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return found
 
 
-def page_streams(page: str | None) -> tuple[str | None, list[str], list[str]]:
-    """(text, open blocks, blocks outside the text): text is None where the
-    page has neither article nor main element."""
+def page_streams(page: str | None) -> tuple[str | None, list[str], list[tuple[int, str]]]:
+    """(text, open blocks, stream): text is None where the page has neither
+    article nor main element.  The stream has all blocks in order, as (ASIDE,
+    EXPOSED or VETOED, text); vetoed ones without their text, which is in the first."""
     cut = blocks(page)
     zones = {z for z, _ in cut}
     chosen = ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else None
-    rest = [t for z, t in cut if z != chosen]
     if chosen:
-        return "\n".join(t for z, t in cut if z == chosen), [], rest
-    return None, [t for z, t in cut if z == OPEN], rest
+        return "\n".join(t for z, t in cut if z == chosen), [], [(VETOED, "") if z == chosen else (ASIDE, t) for z, t in cut]
+    return None, [t for z, t in cut if z == OPEN], [(EXPOSED if z == OPEN else ASIDE, t) for z, t in cut]
 
 
-def _prefixes(texts: list[str], run: int) -> Iterator[tuple[int, int, int]]:
-    """(block, place, hash of the suffix's first ``run`` tokens)."""
-    for k, text in enumerate(texts):
-        tokens = text.split(" ")
-        for i in range(len(tokens) - run + 1):
-            yield k, i, xxhash.xxh64_intdigest(" ".join(tokens[i : i + run])) - (1 << 63)
+def _prefixes(stream: list[dict], run: int) -> Iterator[tuple[str, int, bool]]:
+    """(first ``run`` tokens, place, whether an open block is among them) of
+    the suffixes of a page's stream; places count the page's tokens."""
+    tokens: list[str] = []
+    exposed: list[bool] = []
+    start = 0  # where the stretch behind the last veto starts
 
+    def stretch() -> Iterator[tuple[str, int, bool]]:
+        for i in range(start, len(tokens) - run + 1):
+            yield " ".join(tokens[i : i + run]), i, any(exposed[i : i + run])
 
-_PARSED = "key long, text string, open array<string>, outside array<string>"
+    for block in stream:
+        if block["zone"] == VETOED:
+            yield from stretch()
+            start = len(tokens)
+        else:
+            words = block["text"].split(" ")
+            tokens += words
+            exposed += [block["zone"] == EXPOSED] * len(words)
+    yield from stretch()
+
+
+_STREAM = pa.list_(pa.struct([("zone", pa.int8()), ("text", pa.string())]))
+_PARSED = "key long, text string, stream array<struct<zone:tinyint,text:string>>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = [page_streams(x.as_py()) for x in b.column(1)]
-        strings = pa.list_(pa.string())
+        streams = [[{"zone": z, "text": t} for z, t in m[2]] for m in made]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], strings), pa.array([m[2] for m in made], strings), *b.columns[2:]],
-            names=["key", "text", "open", "outside", *b.schema.names[2:]],
+            [b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array(streams, _STREAM), *b.columns[2:]],
+            names=["key", "text", "stream", *b.schema.names[2:]],
         )
 
 
+_SUFFIX = "host string, prefix string, page long, place int, exposed boolean"
+
+
 def _suffixes(run: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for host, key, texts in zip(b.column(0), b.column(1), b.column(2)):
-                out += [(host.as_py(), key.as_py(), h, k, i) for k, i, h in _prefixes(texts.as_py(), run)]
+            for host, key, stream in zip(b.column(0), b.column(1), b.column(2)):
+                out += [(host.as_py(), h, key.as_py(), i, mine) for h, i, mine in _prefixes(stream.as_py(), run)]
             cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())],
-                names=["host", "page", "prefix", "block", "place"],
-            )
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "prefix", "page", "place", "exposed"])
 
     return rows
 
 
-def _unique_runs(run: int):
+_REPEATED = "host string, prefix string, page long, place int, low long, high long"
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares neighbours of a sorted part of the suffix array: (page, place)
+    of the exposed suffixes that share their prefix with another page, host
+    and prefix being NULL.  The part's first and last prefix may go on in
+    other parts: they give a row with their lowest and highest page, and one
+    for each suffix that has met no other page here."""
+    now: tuple | None = None  # host and prefix of the suffixes being read
+    low = high = last = None
+    alone: list[int] = []  # places on the first page, until another one comes
+    edge = True
+    out: list[tuple] = []
+
+    def close() -> None:
+        if edge and now is not None:
+            out.append((*now, None, None, low, high))
+            out.extend((*now, low, i, None, None) for i in alone)
+
+    def batch() -> pa.RecordBatch:
+        cols = list(zip(*out)) if out else [()] * 6
+        out.clear()
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "prefix", "page", "place", "low", "high"])
+
+    for b in batches:
+        for host, prefix, page, place, exposed in zip(*(c.to_pylist() for c in b.columns)):
+            if (host, prefix) != now:
+                if now is not None:
+                    close()
+                    edge = False
+                now, low, last, alone = (host, prefix), page, None, []
+            high = page
+            if page != low and alone:
+                out.extend((None, None, low, i, None, None) for i in alone)
+                alone = []
+            if exposed and (page, place) != last:
+                if page == low:
+                    alone.append(place)
+                else:
+                    out.append((None, None, page, place, None, None))
+            last = (page, place)
+        yield batch()
+    edge = True
+    close()
+    yield batch()
+
+
+def repeated_suffixes(streams: DataFrame, run: int) -> DataFrame:
+    """``(page, place)``: exposed suffixes of ``streams`` (host, key, stream)
+    whose first ``run`` tokens also stand on another page of the host."""
+    order = ["host", "prefix", "page", "place"]
+    array = streams.select("host", "key", "stream").mapInArrow(_suffixes(run), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialise(array.mapInArrow(_repeated, _REPEATED), "repeated_suffixes", release=True)
+    edges = found.where("prefix IS NOT NULL")
+    several = edges.groupBy("host", "prefix").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("host", "prefix")
+    late = edges.where("page IS NOT NULL").join(several, ["host", "prefix"])
+    return found.where("prefix IS NULL").select("page", "place").unionByName(late.select("page", "place"))
+
+
+def unique_text(stream: list[dict], places: list[int], run: int) -> str:
+    """The open blocks of a stream without what the repeated substrings at
+    ``places`` cover: blocks whole, or ``run`` tokens inside a block."""
+    cut = [block["text"].split(" ") for block in stream]
+    ends = list(accumulate(map(len, cut)))
+    gone: set[int] = set()
+    for place in places:
+        k, stop = bisect_right(ends, place), place + run
+        while k < len(cut) and ends[k] - len(cut[k]) < stop:
+            start = ends[k] - len(cut[k])
+            if place <= start and ends[k] <= stop or start <= place and stop <= ends[k]:
+                gone.update(range(max(place, start), min(stop, ends[k])))
+            k += 1
+    kept = (" ".join(t for i, t in enumerate(words, end - len(words)) if i not in gone) for words, end, block in zip(cut, ends, stream) if block["zone"] == EXPOSED)
+    return "\n".join(t for t in kept if t)
+
+
+def _unique_texts(run: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for open_, covered in zip(b.column(1), b.column(2)):
-                gone: set[tuple[int, int]] = set()
-                for c in covered.as_py() or []:
-                    gone.update((c["block"], c["place"] + j) for j in range(run))
-                kept = (" ".join(t for i, t in enumerate(text.split(" ")) if (k, i) not in gone) for k, text in enumerate(open_.as_py() or []))
-                texts.append("\n".join(t for t in kept if t))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["key", "text"])
+            texts = [unique_text(stream.as_py(), places.as_py() or [], run) for stream, places in zip(b.column(0), b.column(1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(texts, pa.string())], names=[*b.schema.names[2:], "text"])
 
     return rows
 
@@ -227,17 +326,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     source = pages.select(key.alias("key"), markup.alias("html"), host.alias("host"), pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"))
     url_type = dict(source.dtypes)["url"]
     parsed = materialise(small_batches(source).mapInArrow(_parse, f"{_PARSED}, host string, page_id long, url {url_type}"), "parsed_pages")
-    whole = parsed.where("text IS NOT NULL").select("page_id", "url", "text")
-
-    bare = parsed.where("text IS NULL")
-    shape = "host string, page long, prefix long, block int, place int"
-    order = ["host", "prefix", "page"]
-    hosts = bare.select("host").distinct()  # only hosts whose pages need the array
-    streams = parsed.join(hosts, "host", "left_semi")
-    array = streams.select("host", "key", "outside").mapInArrow(_suffixes(run), shape).repartitionByRange(*order).sortWithinPartitions(*order)
-    repeated = array.groupBy("host", "prefix").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("host", "prefix")
-    mine = bare.select("host", "key", "open").distinct().mapInArrow(_suffixes(run), shape)
-    covered = mine.join(repeated, ["host", "prefix"]).groupBy(F.col("page").alias("key")).agg(F.collect_list(F.struct("block", "place")).alias("covered"))
-    cleaned = bare.select("key", "open").distinct().join(covered, "key", "left").select("key", "open", "covered").mapInArrow(_unique_runs(run), "key long, text string")
-    rest = bare.select("page_id", "url", "key").join(cleaned, "key").select("page_id", "url", "text")
-    return whole.unionByName(rest)
+    covered = repeated_suffixes(parsed, run).groupBy(F.col("page").alias("key")).agg(F.collect_set("place").alias("places"))
+    whole = parsed.where("text IS NOT NULL").select("page_id", "url", "text")  # vetoed
+    bare = parsed.where("text IS NULL").join(covered, "key", "left").select("stream", "places", "page_id", "url")
+    return whole.unionByName(bare.mapInArrow(_unique_texts(run), f"page_id long, url {url_type}, text string"))
