@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
-from wearcast.llm import simhash
+from wearcast.llm import line_dedup, simhash
 from wearcast.llm.components import connected_components
 from wearcast.llm.line_dedup import dedup_lines, removed_lines
 
@@ -71,6 +72,27 @@ def test_line_dedup_cuts_only_the_rows_own_lines(spark):
         assert sum(line in r["text"] for r in dedup_lines(twice).collect()) == 1
 
 
+def test_line_tables_hold_hashes_only(spark):
+    """The table of all lines has no text; lines that may have a neighbour are
+    read again from their documents, once each, also from repeated rows."""
+    rows = [(None, "\n A  b\tc d E\nx"), (None, "\n A  b\tc d E\nx"), (None, "f g h i j"), (3, None), (3, "\n\r\n É b c d\x0be \n1 2 3 4\n1 2 3 4 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._lines(docs, "doc_id", "text", 5)
+    assert dict(lines.dtypes) == {"doc_id": "bigint", "text_hash": "bigint", "pos": "int", "lid": "binary", "halves": "array<bigint>"}
+    wanted = lines.dropDuplicates(["lid"]).select("lid", line_dedup._place().alias("first"), F.lit(1).alias("shared"))
+    got = line_dedup._with_words(line_dedup._texts(docs, "doc_id", "text"), wanted).select(F.md5("norm"), F.lower(F.hex("lid")), "norm").collect()
+    assert sorted(r["norm"] for r in got) == ["1 2 3 4 5", "a b c d e", "f g h i j", "é b c d e"]
+    assert all(r[0] == r[1] for r in got)
+
+
+@pytest.mark.parametrize("min_words", [1, 2])
+def test_line_dedup_of_short_lines(spark, min_words):
+    r = random.Random(min_words)
+    docs = {d: "\n".join(" ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 3))) for _ in range(3)) for d in range(12)}
+    got = {x["doc_id"]: x["text"] for x in dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), min_words=min_words).collect()}
+    assert got == brute.dedup_lines(docs, min_words)
+
+
 def test_line_dedup_has_no_python(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = dedup_lines(df)._jdf.queryExecution().toString()

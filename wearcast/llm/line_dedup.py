@@ -15,8 +15,8 @@ ones, always stay.
    as hashed keys: as the shorter line itself, and as the longer one the line
    without each word of the other half - once with the word's place (two lines
    that differ in that word only) and once without (a line with one word
-   less).  Prefix sums (XOR) of word-and-place hashes give all variants of a
-   line without rehashing it.
+   less).  Only here the words are read again, from the documents; the tables
+   of lines hold hashes.
 4. Equal keys meet in one map-side aggregate that keeps each key's earliest
    line, so a key shared by very many lines costs one row per task, and no
    pairs are made.  A line whose key has an earlier line is compared with it
@@ -28,6 +28,8 @@ order of work.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,39 @@ from wearcast.llm.common import materialise, order_key, text_or_empty
 FULL, REPLACED, LONGER = 0, 1, 2
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, pos, lid, norm, halves): the lines long enough to compare, with
-    single spaces between words, and a 128-bit hash of them."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text); a NULL text is empty."""
     text = text_or_empty(docs, text_col)
-    spaced = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
-    raw = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(spaced, "\n")).alias("pos", "line"))
-    norm = raw.select("doc_id", "text_hash", "pos", F.btrim("line").alias("norm"))
-    words = norm.where("norm <> ''").select("*", F.split("norm", " ").alias("w")).where(F.size("w") >= min_words)
-    return words.select("doc_id", "text_hash", "pos", F.unhex(F.md5("norm")).alias("lid"), "norm", _halves(F.col("w"), F.size("w")).alias("halves"))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def _with_spaced(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with the column spaced: ``text`` lower-cased, with single spaces between words."""
+    lower = F.col("_lower")
+    odd = [F.contains(lower, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")]  # most texts need no pattern
+    spaced = F.when(reduce(Column.__or__, odd), F.regexp_replace(lower, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")).otherwise(lower)
+    return df.withColumn("_lower", F.lower(text)).withColumn("spaced", spaced).drop("_lower")
+
+
+def _n_words(norm: Column) -> Column:
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+
+
+def _words(norm: Column, count: Column) -> Column:
+    """The first ``count`` words of a line, or its last for a negative count."""
+    return F.call_function("substring_index", norm, F.lit(" "), count)
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc_id, text_hash, pos, lid, halves): the lines long enough to compare, by a
+    128-bit hash of their words."""
+    texts = _texts(docs, id_col, text_col)
+    spaced = _with_spaced(texts, F.col("text")).select("doc_id", "text_hash", "spaced")
+    raw = spaced.select("doc_id", "text_hash", F.posexplode(F.split("spaced", "\n")).alias("pos", "line"))
+    norm = raw.select("doc_id", "text_hash", "pos", F.btrim("line").alias("norm")).where("norm <> ''")
+    fewer = _words(F.col("norm"), F.lit(max(min_words - 1, 0)))  # the whole line if it has fewer words than needed
+    words = norm.where(F.octet_length(fewer) < F.octet_length("norm")).withColumn("n", _n_words(F.col("norm")))
+    return words.select("doc_id", "text_hash", "pos", F.unhex(F.md5("norm")).alias("lid"), _halves(F.col("norm"), F.col("n")).alias("halves"))
 
 
 def _place() -> Column:
@@ -52,57 +78,41 @@ def _place() -> Column:
     return order_key(F.col("doc_id"), F.col("text_hash"), F.col("pos"))
 
 
-def _halves(w: Column, n: Column) -> Column:
+def _halves(norm: Column, n: Column) -> Column:
     """Hashes of the halves a neighbour would share: first and last, for the
     longer line of the pair having n words, then n + 1."""
 
     def keys(longer: Column) -> list[Column]:
         h = F.floor((longer - 1) / 2).cast("int")
-        return [F.xxhash64(F.lit(0), longer, F.slice(w, 1, h)), F.xxhash64(F.lit(1), longer, F.slice(w, n - h + 1, h))]
+        return [F.xxhash64(F.lit(0), longer, _words(norm, h)), F.xxhash64(F.lit(1), longer, _words(norm, -h))]
 
     return F.array(*keys(n), *keys(n + 1))
 
 
-def _running_xor(values: Column) -> Column:
-    zero = F.array(F.lit(0).cast("long"))
-    return F.aggregate(values, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
-
-
 def _variants(lines: DataFrame) -> DataFrame:
     """(lid, first, role, at, key) for the deletion variants of ``lines``, whose
     ``shared`` tells where another line offers the same half: its place, and
     whether a line of equal length or one word shorter does."""
-    hashed = lines.withColumn("w", F.split("norm", " ")).select(
-        "lid", "first", "w", "shared",
-        _running_xor(F.transform("w", lambda x, i: F.xxhash64(x, i))).alias("here"),
-        _running_xor(F.transform("w", lambda x, i: F.xxhash64(x, i - 1))).alias("moved"),
-    )
-    n = F.size("w")
-    whole = F.element_at("here", -1)
-
-    def without(i: Column) -> Column:
-        rest = F.element_at("moved", -1).bitwiseXOR(F.element_at("moved", i + 2))
-        return F.element_at("here", i + 1).bitwiseXOR(rest)
-
-    def row(role: int, at: Column, key: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), at.cast("int").alias("at"), key.alias("key"))
-
+    n = F.col("n")
     half = F.floor((n - 1) / 2).cast("int")  # shared first: the edit is behind it; shared last: before it
+    none = F.array().cast("array<struct<role:int,at:int>>")
 
-    def places(other: str) -> Column:
+    def places(role: int, other: str) -> Column:
         def side(place: int, start: Column, stop: Column) -> Column:
             wanted = F.exists("shared", lambda x: (x["place"] == place) & x[other])
             return F.when(wanted, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
 
-        return F.array_union(side(0, half, n - 1), side(1, F.lit(0), n - half - 1))
+        either = F.array_union(side(0, half, n - 1), side(1, F.lit(0), n - half - 1))
+        return F.transform(either, lambda i: F.struct(F.lit(role).alias("role"), i.cast("int").alias("at")))
 
     shorter = F.exists("shared", lambda x: x["place"] >= 2)
-    made = F.flatten(F.array(
-        F.when(shorter, F.array(row(FULL, F.lit(-1), whole))).otherwise(F.array().cast("array<struct<role:int,at:int,key:bigint>>")),
-        F.transform(places("equal"), lambda i: row(REPLACED, i, F.xxhash64(without(i), i))),
-        F.transform(places("shorter"), lambda i: row(LONGER, i, without(i))),
-    ))
-    return hashed.select("lid", "first", F.inline(made))
+    whole = F.when(shorter, F.array(F.struct(F.lit(FULL).alias("role"), F.lit(-1).alias("at")))).otherwise(none)
+    made = F.concat(whole, places(REPLACED, "equal"), places(LONGER, "shorter"))
+    rows = lines.withColumn("n", _n_words(F.col("norm"))).withColumn("made", made).select("lid", "first", "norm", "n", F.inline("made"))
+    norm, role, at = F.col("norm"), F.col("role"), F.col("at")
+    rest = F.btrim(F.concat(_words(norm, at), F.lit(" "), _words(norm, at - n + 1)))
+    key = F.when(role == FULL, F.xxhash64(norm)).when(role == REPLACED, F.xxhash64(rest, at)).otherwise(F.xxhash64(rest))
+    return rows.select("lid", "first", "role", "at", key.alias("key"))
 
 
 def _within_one_edit(role: Column, a: Column, at: Column, b: Column, b_at: Column) -> Column:
@@ -135,7 +145,7 @@ def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         "distinct_lines",
         release=True,
     )
-    near = _near(lines, distinct) if max_edits else distinct.select("lid").limit(0)
+    near = _near(_texts(docs, id_col, text_col), distinct) if max_edits else distinct.select("lid").limit(0)
     marked = (
         distinct.select("lid", "first", "copies")
         .join(near.withColumn("near", F.lit(True)), "lid", "left")
@@ -146,7 +156,17 @@ def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return out.select("doc_id", "text_hash", "pos", "near")
 
 
-def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def _with_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (lid, first, shared) with the line itself, ``norm``, read
+    from the document it is first in."""
+    by_doc = wanted.groupBy(F.col("first.doc_id").alias("in_doc"), F.col("first.text_hash").alias("in_text")).agg(F.collect_list(F.struct("lid", "first", "shared")).alias("here"))
+    mine = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("text_hash") == F.col("in_text"))
+    found = _with_spaced(texts.join(by_doc, mine).select("here", "text"), F.col("text")).select("here", F.split("spaced", "\n").alias("lines"))
+    rows = found.select(F.inline(F.transform("here", lambda x: F.struct(x["lid"].alias("lid"), x["first"].alias("first"), x["shared"].alias("shared"), F.btrim(F.get("lines", x["first"]["pos"])).alias("norm")))))
+    return rows.groupBy("lid").agg(F.first("first").alias("first"), F.first("norm").alias("norm"), F.first("shared").alias("shared"))  # rows may repeat
+
+
+def _near(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     """(lid): distinct lines with an earlier line one word edit away."""
     halves = distinct.select("lid", F.posexplode("halves").alias("place", "key"))
     longer = F.count_if(F.col("place") < 2)
@@ -154,10 +174,9 @@ def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     here = F.struct("place", (F.col("longer") > 1).alias("equal"), (F.col("shorter") > 0).alias("shorter"))
     shared = halves.join(met, "key").groupBy("lid").agg(F.collect_list(here).alias("shared"))  # four at most
     wanted = materialise(distinct.select("lid", "first").join(shared, "lid"), "shared_halves", release=True)
-    found = lines.select("lid", "norm", _place().alias("here")).join(wanted, "lid").where("here = first")
-    lines = materialise(found.groupBy("lid").agg(F.first("first").alias("first"), F.first("norm").alias("norm"), F.first("shared").alias("shared")), "near_lines", release=True)
+    lines = materialise(_with_words(texts, wanted), "near_lines", release=True)
 
-    variants = _variants(lines)
+    variants = materialise(_variants(lines), "variants")
     line = F.struct("first", "lid", "at")
     earliest = variants.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, line)).alias(f"m{r}") for r in (FULL, REPLACED, LONGER)])
     partner = F.when(F.col("role") == REPLACED, F.col(f"m{REPLACED}")).when(F.col("role") == LONGER, F.col(f"m{FULL}")).otherwise(F.col(f"m{LONGER}"))
