@@ -1,16 +1,24 @@
 """L1, L2, L7 for many models at once: one set of trees per (athlete, activity)
-or any other key, all grown together, level by level.
-
-A level is one histogram: class weights per (group, label, node, feature,
-value), a partially aggregated shuffle, from which native window sums give the
-gini gain of every threshold and the best split of every open node of every
-tree of every group.  ``max_depth`` histograms grow all trees; nothing loops
-over groups or labels, and nothing is collected.  A group with a third of all
-rows is summed up in every task first, and the windows behind it hold at most
-``max_bins`` values x classes per node and feature.
+or any other key.
+
+Training rows are laid side by side by group (``group_tasks.packer``), classes
+as numbers, and a task grows all trees of thousands of groups together from
+exact counts by (group, label, node, feature, value, class)
+(``group_tasks.grower``): nothing loops over groups, and rows cross the network
+as packed numbers.
+
+A group of more than ``MOST_ROWS`` rows, or with values that are not finite, is
+grown level by level over all tasks, and so are all groups where rows have
+weights, a key is of a kind that Python compares otherwise or a label has more
+than ``MOST_CLASSES`` classes.  A level is one histogram: class weights per
+(group, label, node, feature, value), a partially aggregated shuffle, from which
+native window sums give the gini gain of every threshold.  Such a group is
+summed up in every task first, and the windows behind it hold at most
+``max_bins`` values x classes per node and feature.  Both ways give the same trees.
 
 Models are rows of one node table (``trees.NODE_SCHEMA`` behind the group's
-columns); they are applied by a join on the group, or taken out one by one.
+columns).  Rows meet the models of their part of the groups in a task, rows of a
+large group in several; or a model is taken out by itself.
 """
 
 from __future__ import annotations
@@ -21,27 +29,32 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wearcast import schema as S
 from wearcast.functions.weather import humidity_fraction
+from wearcast.operators.group_tasks import applier, bundler, grower, packer, unpacker
 from wearcast.operators.model import feature_cuts
 from wearcast.operators.trees import TreeModel, model_of_rows
 from wearcast.session import shared_path
 
 GROUP = ("athlete", "activity")
 WEIGHT = "_weight"
+MOST_ROWS = 1_000_000  # of a group in one task
+MOST_CLASSES = 64
 
 
-def _stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def _stored(df: DataFrame, name: str, release: bool = False, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage.
     With ``release`` the driver collects its garbage then, upon which Spark
     deletes the shuffle files that led to the table."""
     spark = df.sparkSession
     path = shared_path(spark, "trees", name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
@@ -166,21 +179,103 @@ def fit_groups(
     key is a group of its own.  A label that a group never has gets no tree."""
     keys, labels = [f"g{i}" for i in range(len(group))], [*categorical, *boolean]
     cuts = feature_cuts(df, features, max_bins, weight_col)
-    values = _binned(df, features, cuts)
-    w = F.sum(F.col(weight_col).cast("double")) if weight_col else F.count(F.lit(1)).cast("double")
     named = [F.col(g).alias(k) for g, k in zip(group, keys)]
     known = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])
-    wide = df.where(known).select(
-        *named, *([weight_col] if weight_col else []),
-        F.array(*values.values()).alias("x"), F.array(*[F.col(c).cast("string") for c in labels]).alias("y"))
-    # rows of a group side by side (a large one over several files): a task then sums up most of a histogram itself
-    base = _stored(wide.groupBy(*keys, "x", "y").agg(w.alias("w")).hint("rebalance", *keys), "rows", release=True)
+    texts = None if weight_col or not _plain(df, group) else _class_texts(df.where(known), labels)
+    if texts is None:
+        values = _binned(df, features, cuts)
+        w = F.sum(F.col(weight_col).cast("double")) if weight_col else F.count(F.lit(1)).cast("double")
+        wide = df.where(known).select(
+            *named, *([weight_col] if weight_col else []),
+            F.array(*values.values()).alias("x"), F.array(*[F.col(c).cast("string") for c in labels]).alias("y"))
+        # rows of a group side by side (a large one over several files): a task then sums up most of a histogram itself
+        base = _stored(wide.groupBy(*keys, "x", "y").agg(w.alias("w")).hint("rebalance", *keys), "rows", release=True)
+        every = _grow_levels(base, keys, len(labels), max_depth, min_gain)
+    else:
+        coded, places = _coded(df, labels, texts)
+        rows = df.where(known).select(*named, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], *coded)
+        every = _grow_in_tasks(rows, keys, [cuts.get(f) for f in features], places, texts, max_depth, min_gain)
+    return _named(every, keys, group, labels, categorical, features, cuts)
+
+
+def _plain(df: DataFrame, group: Sequence[str]) -> bool:
+    """Whether keys that are equal to Spark are equal to a task's Python."""
+    kinds = (T.BooleanType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.StringType(), T.DateType(), T.TimestampType(), T.TimestampNTZType())
+    return len(group) > 0 and all(df.schema[g].dataType in kinds for g in group)
+
+
+def _class_texts(rows: DataFrame, labels: Sequence[str]) -> list[list[str]] | None:
+    """The classes of each label in order; None when one has more than
+    ``MOST_CLASSES``."""
+    texts = {c: ["false", "true"] if rows.schema[c].dataType == T.BooleanType() else [] for c in labels}
+    rest = [c for c in texts if not texts[c]]
+    if rest:
+        held = rows.groupBy(*[F.col(c).cast("string").alias(f"y{i}") for i, c in enumerate(rest)]).count()
+        pairs = held.select(F.posexplode(F.array(*[f"y{i}" for i in range(len(rest))])).alias("i", "v")).where("v IS NOT NULL").distinct()
+        found = pairs.limit(MOST_CLASSES * len(rest) + 1).collect()  # classes, at most so many a label
+        for r in found:
+            texts[rest[r["i"]]].append(r["v"])
+        if max(map(len, texts.values())) > MOST_CLASSES:
+            return None
+    return [sorted(texts[c], key=str.encode) for c in labels]
+
+
+def _coded(df: DataFrame, labels: Sequence[str], texts: Sequence[Sequence[str]]) -> tuple[list[Column], list[tuple[int, int]]]:
+    """A row's classes as few whole numbers, digits of which are the classes'
+    numbers from 1 (0: no class); and the column and the factor of each
+    label's digit."""
+    columns, places, size = [F.lit(0).cast("long")], [], 1
+    for label, classes in zip(labels, texts):
+        if size * (len(classes) + 1) >= 2**62:
+            columns, size = [*columns, F.lit(0).cast("long")], 1
+        if df.schema[label].dataType == T.BooleanType():
+            number = F.when(F.col(label), 2).when(~F.col(label), 1)
+        else:
+            number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label).cast("string")) if classes else F.lit(None)
+        columns[-1] = columns[-1] + F.coalesce(number.cast("long"), F.lit(0).cast("long")) * F.lit(size).cast("long")
+        places.append((len(columns) - 1, size))
+        size *= len(classes) + 1
+    return [c.alias(f"c{i}") for i, c in enumerate(columns)], places
+
+
+def _grow_in_tasks(rows: DataFrame, keys: list[str], cuts: list[list[float] | None], places: list[tuple[int, int]], texts: list[list[str]], max_depth: int, min_gain: float) -> DataFrame:
+    """All trees of a group in one task; groups of more than ``MOST_ROWS`` rows,
+    or with values that are not finite, level by level."""
+    values, codes = [f"x{i}" for i in range(len(cuts))], [c for c in rows.columns if c not in keys and c.startswith("c")]
+    of_keys = [rows.schema[k] for k in keys]
+    numbers = [T.StructField(c, T.BinaryType()) for c in (*values, *codes)]
+    packed_as = T.StructType([*of_keys, T.StructField("n", T.LongType()), T.StructField("odd", T.BooleanType()), *numbers])
+    # rows of a group side by side (a large one over several files)
+    packed = _stored(rows.hint("rebalance", *keys).mapInArrow(packer(keys, values, cuts, codes), packed_as), "rows", release=True, compression="zstd")
+    apart = packed.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("odd").alias("odd")).where(F.col("odd") | (F.col("n") > MOST_ROWS))
+    apart = _stored(apart.select(*[F.col(k).alias(f"{k}_") for k in keys]), "apart")
+    mine = _same([F.col(k) for k in keys], [F.col(f"{k}_") for k in keys])
+    some = not apart.isEmpty()
+    whole = packed.join(F.broadcast(apart), mine, "left_anti") if some else packed
+    made = (("label", T.IntegerType()), ("node", T.LongType()), ("value", T.StringType()), ("f", T.IntegerType()), ("t", T.DoubleType()))
+    grown_as = T.StructType([*of_keys, *[T.StructField(*m) for m in made]])
+    dealt = whole.repartition(*keys).sortWithinPartitions(*keys)
+    every = _stored(dealt.mapInArrow(grower(keys, values, codes, places, texts, max_depth, min_gain), grown_as), "nodes", release=True)
+    if some:
+        flat_as = T.StructType([*of_keys, *[T.StructField(v, T.DoubleType()) for v in values], *[T.StructField(c, T.LongType()) for c in codes]])
+        flat = packed.join(F.broadcast(apart), mine, "left_semi").mapInArrow(unpacker(keys, values, codes), flat_as)
+        digits = [F.expr(f"CAST({codes[column]} div {factor}L % {len(classes) + 1} AS INT)") for (column, factor), classes in zip(places, texts)]
+        y = [F.get(F.array(F.lit(None).cast("string"), *[F.lit(c) for c in classes]), digit) for digit, classes in zip(digits, texts)]
+        wide = flat.select(*keys, F.array(*values).alias("x"), F.array(*y).alias("y"))
+        base = _stored(wide.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).hint("rebalance", *keys), "large", release=True)
+        every = every.unionByName(_grow_levels(base, keys, len(texts), max_depth, min_gain))
+    return every
+
+
+def _grow_levels(base: DataFrame, keys: list[str], n_labels: int, max_depth: int, min_gain: float) -> DataFrame:
+    """All trees of all groups, a histogram a level.  ``base`` has the keys,
+    ``x`` (values by feature), ``y`` (class texts by label) and the weight ``w``."""
     splits: DataFrame | None = None
     nodes: list[DataFrame] = []
     for depth in range(max_depth + 1):
         rows = base
         if splits is not None:
-            by_group = _split_arrays(splits, keys, len(labels))
+            by_group = _split_arrays(splits, keys, n_labels)
             rows = base.join(by_group.withColumnsRenamed({k: f"{k}_" for k in keys}), _same([F.col(k) for k in keys], [F.col(f"{k}_") for k in keys]))
         last = depth == max_depth
         hist = _histogram(rows, keys, depth, last).persist(StorageLevel.MEMORY_AND_DISK)
@@ -197,12 +292,11 @@ def fit_groups(
         found = _stored(found.select(*keys, "label", "node", "value", "f", "t", "l_pure", "r_pure"), f"nodes{depth}")
         hist.unpersist()
         gc.collect()  # the level's shuffle files go with it
-        df.sparkSession.sparkContext._jvm.System.gc()
+        base.sparkSession.sparkContext._jvm.System.gc()
         nodes.append(found)
         here = found.where("f IS NOT NULL")
         splits = here if splits is None else splits.unionByName(here)
-    every = reduce(lambda a, b: a.unionByName(b), nodes)
-    return _named(every, keys, group, labels, categorical, features, cuts)
+    return reduce(lambda a, b: a.unionByName(b), nodes).drop("l_pure", "r_pure")
 
 
 def _split_arrays(splits: DataFrame, keys: list[str], n_labels: int) -> DataFrame:
@@ -246,6 +340,64 @@ def predict_groups(
     group without a model or without a tree for the label, have NULL
     predictions.  Columns called ``pred_<label>`` are replaced."""
     labels = [*categorical, *boolean]
+    taken = [(humidity_fraction("pct_humidity") if normalize_humidity and f == "pct_humidity" else F.col(f)).cast("double") for f in features]
+    rows = df.drop(*[f"pred_{lab}" for lab in labels])
+    if _plain(rows, group) and all(rows.schema[g].dataType == nodes.schema[g].dataType for g in group) and _to_python(rows):
+        return _predict_in_tasks(nodes, rows, group, categorical, boolean, features, taken)
+    return _predict_natively(nodes, rows, group, categorical, labels, features, taken)
+
+
+def _to_python(df: DataFrame) -> bool:
+    """Whether every column can go through Python."""
+    try:
+        to_arrow_schema(df.schema)
+    except PySparkException:
+        return False
+    return True
+
+
+def _predict_in_tasks(nodes: DataFrame, rows: DataFrame, group: Sequence[str], categorical: Sequence[str], boolean: Sequence[str], features: Sequence[str], taken: Sequence[Column]) -> DataFrame:
+    """Rows meet their group's model in a task, groups of more than
+    ``MOST_ROWS`` rows in several."""
+    labels, keys = [*categorical, *boolean], [f"_k{i}" for i in range(len(group))]
+    texts = lambda values: F.array(*[F.lit(x) for x in values])
+    text = F.col("value").cast("string")
+    number = lambda names, c: (F.array_position(texts(names), F.col(c)) - 1).cast("int")
+    nodes_ = nodes.select(
+        *[F.col(g).alias(k) for g, k in zip(group, keys)], number(labels, "label").alias("label"), "node", number(features, "feature").alias("f"), F.col("threshold").alias("t"), "strict", "left", "right",
+        F.when(F.col("label").isin(*categorical), text).alias("value"), F.when(F.col("label").isin(*boolean), text.cast("boolean")).alias("flag"))
+    bundle = T.StructType([nodes_.schema[k] for k in keys] + [T.StructField(c, T.BinaryType()) for c in ("_tree", "_texts")])
+    models = nodes_.where("label >= 0").mapInArrow(bundler(keys), bundle)
+    rest = [c for c in rows.columns if c not in group]
+    # a feature that is read as it stands goes once
+    as_is = (T.DoubleType(), T.BooleanType())
+    inputs = {f"_x{i}": x for i, (f, x) in enumerate(zip(features, taken)) if f in group or f == "pct_humidity" or rows.schema[f].dataType not in as_is}
+    names = [f"_x{i}" if f"_x{i}" in inputs else f for i, f in enumerate(features)]
+    slim = rows.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], *rest, *[x.alias(name) for name, x in inputs.items()])
+    mine = _same([F.col(k) for k in keys], [F.col(f"{k}_") for k in keys])
+    large = slim.groupBy(*keys).count().where(F.col("count") > MOST_ROWS)
+    parts = F.ceil(F.col("count") / MOST_ROWS).cast("int").alias("_parts")
+    large = _stored(large.select(*[F.col(k).alias(f"{k}_") for k in keys], parts), "large_groups")
+    part = F.lit(0)
+    if not large.isEmpty():
+        of_part = F.pmod(F.xxhash64(*[c for c in slim.columns if isinstance(slim.schema[c].dataType, T.AtomicType) and slim.schema[c].dataType != T.VariantType()]), F.col("_parts")).cast("int")
+        slim = slim.join(F.broadcast(large), mine, "left").withColumn("_part", F.coalesce(of_part, F.lit(0)))
+        models = models.join(F.broadcast(large), mine, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
+        part = F.col("_part")
+    both = slim.select(*keys, F.lit(1).alias("_kind"), *rest, *inputs, *[F.lit(None).cast("binary").alias(c) for c in ("_tree", "_texts")], part.alias("_part")).unionByName(
+        models.select(*keys, F.lit(0).alias("_kind"), *[F.lit(None).cast(slim.schema[c].dataType).alias(c) for c in (*rest, *inputs)], "_tree", "_texts", part.alias("_part")))
+    dealt = both.repartition(*keys, "_part").sortWithinPartitions("_kind").drop("_part")
+    preds = [f"pred_{lab}" for lab in labels]
+    kinds = [T.StringType() if lab in categorical else T.BooleanType() for lab in labels]
+    kept = [T.StructField(k, rows.schema[g].dataType) for g, k in zip(group, keys)] + [rows.schema[c] for c in rest]
+    out = dealt.mapInArrow(
+        applier(keys, names, [*keys, *rest], preds, [lab in categorical for lab in labels]), T.StructType([*kept, *[T.StructField(p, kind) for p, kind in zip(preds, kinds)]]))
+    place = dict(zip(group, keys))
+    return out.select(*[F.col(place[c]).alias(c) if c in place else F.col(c) for c in rows.columns], *preds)
+
+
+def _predict_natively(nodes: DataFrame, df: DataFrame, group: Sequence[str], categorical: Sequence[str], labels: Sequence[str], features: Sequence[str], taken: Sequence[Column]) -> DataFrame:
+    """The same for keys of any kind, each row with its group's model."""
     # a tree as an array by node number, its children as places in that array
     entry = F.struct("node", "feature", "threshold", "strict", "left", "right", "value")
     held = nodes.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("label", entry.alias("e")))).alias("all"))
@@ -264,9 +416,8 @@ def predict_groups(
     raw = held.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], *[tree_of(lab).alias(f"_e{i}") for i, lab in enumerate(labels)])
     deepest = [(F.length(F.bin(F.coalesce(F.array_max(F.transform(f"_e{i}", lambda e: e["node"])), F.lit(1).cast("long")))) - 1).alias(f"_d{i}") for i in range(len(labels))]
     models = raw.select(*[f"_k{i}" for i in range(len(group))], *[placed(F.col(f"_e{i}")).alias(f"_t{i}") for i in range(len(labels))], *deepest)
-    taken = [(humidity_fraction("pct_humidity") if normalize_humidity and f == "pct_humidity" else F.col(f)).cast("double") for f in features]
     complete = reduce(lambda a, b: a & b, [c.isNotNull() for c in taken])
-    rows = df.drop(*[f"pred_{lab}" for lab in labels]).withColumn("_x", F.when(complete, F.array(*taken)))
+    rows = df.withColumn("_x", F.when(complete, F.array(*taken)))
     joined = rows.join(models, _same([F.col(g) for g in group], [F.col(f"_k{i}") for i in range(len(group))]), "left")
 
     def leaf(tree: Column, depth: Column) -> Column:
@@ -323,9 +474,10 @@ def refresh_groups(df: DataFrame, path: str, group: Sequence[str] = GROUP, modif
         state = newest.join(known, _same([F.col(g) for g in group], [F.col(n) for n in names]), "left")
         state = state.select(*group, "data_micros", (F.col("_seen").isNull() | (F.col("_seen") < F.col("data_micros"))).alias("fitted"))
     state = _stored(state, "state")
+    some_fresh = not state.where("NOT fitted").isEmpty()
     stale = state.where("fitted").select(*[F.col(g).alias(n) for g, n in zip(group, names)], F.col("data_micros").alias("_micros"))
     mine = _same([F.col(g) for g in group], [F.col(n) for n in names])
-    made = fit_groups(df.join(stale, mine, "left_semi"), group, **fit_kw).join(stale, mine).withColumn("data_micros", F.col("_micros")).drop(*names, "_micros")
+    made = fit_groups(df.join(stale, mine, "left_semi") if some_fresh else df, group, **fit_kw).join(stale, mine).withColumn("data_micros", F.col("_micros")).drop(*names, "_micros")
     version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
     target = f"{path}/v={version}"
     (made if old is None else old.join(stale, mine, "left_anti").unionByName(made)).write.parquet(target)

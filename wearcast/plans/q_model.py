@@ -104,12 +104,12 @@ def grouped_models(spark, sf_dir):
     together and stored as one node table; every line item is then predicted
     by its own group's stored model."""
     from wearcast.operators import grouped as G
-    from wearcast.plans.inputs import LINEITEM_TRAINING, spark_view
+    from wearcast.plans.inputs import LINEITEM_TRAINING, spark_view, with_plain_round
 
     shaped = [c for c in LINEITEM_TRAINING if c[0] not in LABEL_RULES] + _KEYS + list(_OWN.items()) + [("modified", "1")]
-    train = spark_view(read_table(spark, sf_dir, "lineitem"), shaped)
+    train = spark_view(read_table(spark, sf_dir, "lineitem"), with_plain_round(shaped))
     nodes, _ = G.refresh_groups(train, shared_path(spark, "grouped_models"))
-    out = G.predict_groups(nodes, train.drop(*S.LABELS))
+    out = G.predict_groups(nodes, train.drop(*S.LABELS, "modified"))
     return out.select("row_id", "athlete", "activity", *[f"pred_{lab}" for lab in S.LABELS])
 
 
