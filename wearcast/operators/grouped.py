@@ -251,14 +251,14 @@ def _grow_in_tasks(rows: DataFrame, keys: list[str], cuts: list[list[float] | No
     apart = _stored(apart.select(*[F.col(k).alias(f"{k}_") for k in keys]), "apart")
     mine = _same([F.col(k) for k in keys], [F.col(f"{k}_") for k in keys])
     some = not apart.isEmpty()
-    whole = packed.join(F.broadcast(apart), mine, "left_anti") if some else packed
+    whole = packed.join(apart, mine, "left_anti") if some else packed
     made = (("label", T.IntegerType()), ("node", T.LongType()), ("value", T.StringType()), ("f", T.IntegerType()), ("t", T.DoubleType()))
     grown_as = T.StructType([*of_keys, *[T.StructField(*m) for m in made]])
     dealt = whole.repartition(*keys).sortWithinPartitions(*keys)
     every = _stored(dealt.mapInArrow(grower(keys, values, codes, places, texts, max_depth, min_gain), grown_as), "nodes", release=True)
     if some:
         flat_as = T.StructType([*of_keys, *[T.StructField(v, T.DoubleType()) for v in values], *[T.StructField(c, T.LongType()) for c in codes]])
-        flat = packed.join(F.broadcast(apart), mine, "left_semi").mapInArrow(unpacker(keys, values, codes), flat_as)
+        flat = packed.join(apart, mine, "left_semi").mapInArrow(unpacker(keys, values, codes), flat_as)
         digits = [F.expr(f"CAST({codes[column]} div {factor}L % {len(classes) + 1} AS INT)") for (column, factor), classes in zip(places, texts)]
         y = [F.get(F.array(F.lit(None).cast("string"), *[F.lit(c) for c in classes]), digit) for digit, classes in zip(digits, texts)]
         wide = flat.select(*keys, F.array(*values).alias("x"), F.array(*y).alias("y"))
